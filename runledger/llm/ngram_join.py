@@ -28,15 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from . import textnum as tn
-from .common import connected_components, cut
+from .common import cut
+from .posting import WIDE, linked_roots, shared_posts
 
 #: Counters of the frequency sketch, in blocks of BLOCK; fixed, so the broadcast is 4 MB at any size.
 SKETCH, BLOCK = 1 << 22, 1 << 16
 FRAGMENTS = 8
-WIDE = 32
 
 
 def _set_hash(u: np.ndarray) -> int:
@@ -168,34 +167,8 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
 
     prefix = docs.select("text").mapInArrow(_prefixes(n, num, den, order), "node long, n int, toks array<long>")
     prefix = prefix.groupBy("node").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
-    posts = prefix.select("node", "n", F.posexplode("toks").alias("pos", "tok"))
-    by = Window.partitionBy("tok")
-    posts = posts.withColumns({"c": F.count("*").over(by), "low": F.min(F.struct("node", "n", "pos")).over(by)}).where("c > 1")
-    posts = cut(posts, "posts")
-
-    def bounded(x: DataFrame) -> DataFrame:
-        """Length and positional bounds of a pair with sizes na, nb and places pa, pb."""
-        most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-        return x.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").where(most * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb").distinct()
-
-    def meet(x: DataFrame, also: str) -> DataFrame:
-        left = x.select("tok", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), *[F.col(c).alias(f"{c}_a") for c in x.columns if c == "root"])
-        right = x.select("tok", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), *[F.col(c).alias(f"{c}_b") for c in x.columns if c == "root"])
-        return left.join(right, "tok").where("a < b").where(also)
-
-    few = meet(posts.where(F.col("c") <= wide), "true").select("a", "b", "na", "nb", "pa", "pb")
-    star = posts.where((F.col("c") > wide) & (F.col("node") != F.col("low.node"))).select(F.col("low.node").alias("a"), F.col("node").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb"), F.col("low.pos").alias("pa"), F.col("pos").alias("pb"))
-    pairs = cut(bounded(few.union(star)), "pairs")
-    links = cut(_verified(docs, pairs, n, num, den), "links")
-    roots = cut(connected_components(links), "roots")
-
-    many = posts.where(F.col("c") > wide)
-    if not many.isEmpty():
-        rooted = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rooted.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
-        more = cut(bounded(meet(rooted.join(mixed, "tok", "left_semi"), "root_a <> root_b")).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            roots = cut(connected_components(links.union(_verified(docs, more, n, num, den))), "roots")
+    posts = shared_posts(prefix.select("node", "n", F.posexplode("toks").alias("pos", "tok")))
+    roots = linked_roots(posts, lambda pairs: _verified(docs, pairs, n, num, den), num, den, wide)
 
     first = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     classes = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -218,8 +191,8 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS s
   FROM d, LATERAL (SELECT unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i) WHERE len(w) > 0),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
 e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id AS node, doc_id AS low FROM d UNION SELECT e.b, r.low FROM r JOIN e ON r.node = e.a WHERE r.low < e.b)
 SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, least(min(r.low), d.doc_id) AS component_id

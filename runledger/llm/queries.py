@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, ngram_join, token_grammar, toxicity
+from . import decontam, fingerprint, langid, licenses, lines, mixing, ngram_join, secrets, token_grammar, toxicity
 from .common import table
 
 
@@ -20,14 +20,34 @@ def op1_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_grammar.token_table(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_components(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(table(spark, sf_dir, "documents"), 4, 85, 100)
 
@@ -39,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_token_grammar, op3_source_mix, op6_decontaminate, op9_ngram_join, op10_toxicity]
+    own = [op1_token_grammar, op2_line_dedup, op3_source_mix, op4_language, op5_licenses, op6_decontaminate, op7_fingerprint, op8_secrets, op9_ngram_join, op10_toxicity]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
