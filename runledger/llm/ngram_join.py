@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .common import cut
-from .posting import WIDE, linked_roots, shared_posts
+from .posting import WIDE, linked_roots
 
-#: Counters of the frequency sketch, in blocks of BLOCK; fixed, so the broadcast is 4 MB at any size.
-SKETCH, BLOCK = 1 << 22, 1 << 16
+#: Counters of the frequency sketch, in blocks of BLOCK; fixed, so the broadcast is 8 MB at any size.
+SKETCH, BLOCK = 1 << 23, 1 << 16
 FRAGMENTS = 8
 
 
@@ -49,7 +49,13 @@ def _sets(n: int, with_sketch: bool):
     """Per row (id, n_shingles, node); at the end of a task its sketch in blocks."""
 
     def run(batches):
-        total = np.zeros(SKETCH, np.uint32)
+        total, waiting = np.zeros(SKETCH, np.uint32), []
+
+        def add() -> None:
+            if waiting:
+                total[:] += np.bincount(np.concatenate(waiting), minlength=SKETCH).astype(np.uint32)
+                waiting.clear()
+
         for batch in batches:
             count, node = [], []
             for w in tn.words(batch.column(1), "space"):
@@ -57,9 +63,12 @@ def _sets(n: int, with_sketch: bool):
                 count += map(len, own)
                 node += map(_set_hash, own)
                 if with_sketch and own:
-                    total += np.bincount((np.concatenate(own) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                    waiting.append((np.concatenate(own) & np.uint64(SKETCH - 1)).astype(np.int32))
+                    if sum(map(len, waiting)) > SKETCH // 4:
+                        add()
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(node, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], ["id", "n", "node", "block", "counts"])
+        add()
         if with_sketch and total.any():
             parts = [pa.compress(total[i : i + BLOCK].tobytes(), "zstd", asbytes=True) for i in range(0, SKETCH, BLOCK)]
             rows = len(parts)
@@ -167,8 +176,8 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
 
     prefix = docs.select("text").mapInArrow(_prefixes(n, num, den, order), "node long, n int, toks array<long>")
     prefix = prefix.groupBy("node").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
-    posts = shared_posts(prefix.select("node", "n", F.posexplode("toks").alias("pos", "tok")))
-    roots = linked_roots(posts, lambda pairs: _verified(docs, pairs, n, num, den), num, den, wide)
+    nodes = cut(prefix, "prefixes")
+    roots = linked_roots(nodes, True, lambda pairs: _verified(docs, pairs, n, num, den), num, den, wide)
 
     first = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     classes = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
