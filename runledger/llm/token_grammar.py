@@ -27,9 +27,12 @@ block; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +44,15 @@ from .common import cut, new_path, slots
 
 MAGIC, FIRST_RULE, END_ID = b"RPG1", 1 << 17, 2
 BLOCK_TOKENS = 1 << 20
+#: Texts encoded in one call of the library.
+GROUP = 512
 BLOCKS = "shard int, block int, first_id long, n_docs int, n_tokens long, payload binary"
 
 
 class Pieces(dict):
-    """Ids, as bytes, of pieces seen before; None for a piece that must not stand alone."""
+    """Ids, as bytes, of pieces that follow a space: at most MOST (some 200 MB), then anew."""
 
-    MOST = 400_000
+    MOST = 800_000
 
     def __init__(self, path: str):
         import os
@@ -57,40 +62,63 @@ class Pieces(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def learn(self, pieces) -> None:
-        if len(self) > self.MOST:
-            self.clear()
-        new = [p for p in pieces if p not in self]
-        whole = [p for p in new if p[1:] and not p[1].isspace()]
-        for p, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
-            self[p] = np.array(e.ids, np.uint32).tobytes()
-        for p in new:
-            self.setdefault(p, None)
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        head, *rest = text.split(" ")
-        pieces = [" " + p for p in rest]
-        if head and not head[-1:].isspace() or not rest:
-            pieces.insert(0, "\0" + head)
-        else:
-            return self.alone(text)
-        try:
-            got = list(map(self.__getitem__, pieces))
-        except KeyError:
-            self.learn_heads(pieces)
-            got = list(map(self.__getitem__, pieces))
-        return self.alone(text) if None in got else b"".join(got)
-
-    def learn_heads(self, pieces: list[str]) -> None:
-        first, *rest = pieces
-        self.learn(set(rest))
-        self[first] = self.alone(first[1:]) if first[1:] else b""
+        self.model = self.tokenizer.model
+        self.line = self.alone("\n")
+        self.marks = {m: self.alone(m) for m in ".,"}
 
     def alone(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def word(self, piece: str) -> bytes:
+        """A space and ASCII letters are one pre-token: straight to the library's model."""
+        return array("I", [t.id for t in self.model.tokenize("\u0120" + piece)]).tobytes()
+
+    def each(self, pieces: list[str], lead: str) -> list[bytes]:
+        """Ids of each piece after ``lead``. Pieces without white space are encoded as lines
+        of one text: a line end is a token of its own, at which the ids come apart."""
+        out = {p: self.alone(lead + p) for p in pieces if p.split() != [p]}
+        if lead:
+            for p in pieces:
+                if p.isascii():
+                    if p.isalpha():
+                        out[p] = self.word(p)
+                    elif p[-1] in self.marks and p[:-1].isalpha():
+                        out[p] = self.word(p[:-1]) + self.marks[p[-1]]
+        plain = [p for p in pieces if p not in out]
+        if plain and len(self.line) == 4:
+            data = self.alone("\n".join([lead + p for p in plain]))
+            cuts = (np.flatnonzero(np.frombuffer(data, np.uint32) == np.frombuffer(self.line, np.uint32)[0]) * 4).tolist()
+            if len(cuts) != len(plain) - 1:
+                return [self.alone(lead + p) for p in pieces]
+            out.update(zip(plain, [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)])]))
+        return [out[p] if p in out else self.alone(lead + p) for p in pieces]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian uint32."""
+        joined = [not t or bool(_JOINED.search(t)) for t in texts]
+        parts = [t.split(" ") for t, j in zip(texts, joined) if not j]
+        heads = iter(self.each([p[0] for p in parts], ""))
+        flat = list(chain.from_iterable(p[1:] for p in parts))
+        got = list(map(self.get, flat))
+        missing = list({p for p, g in zip(flat, got) if g is None})
+        if missing:
+            if len(self) + len(missing) > self.MOST:
+                self.clear()
+            self.update(zip(missing, self.each(missing, " ")))
+            got = [self[p] if g is None else g for p, g in zip(flat, got)]
+        out, at, own = [], 0, iter(parts)
+        for t, j in zip(texts, joined):
+            if j:
+                out.append(self.alone(t) if t else b"")
+            else:
+                n = len(next(own)) - 1
+                out.append(next(heads) + b"".join(got[at : at + n]))
+                at += n
+        return out
+
+
+#: A space before other white space or at the end, or other white space at the end of the first piece.
+_JOINED = re.compile(r" \s| \Z|\A\s")
 
 
 @lru_cache(maxsize=2)
@@ -98,7 +126,7 @@ def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def compress(seq: np.ndarray, last: np.ndarray, rounds: int = 8, per_round: int = 512, min_count: int = 24):
+def compress(seq: np.ndarray, last: np.ndarray, rounds: int = 5, per_round: int = 1024, min_count: int = 24):
     """Re-Pair in batches: (symbols, position of each kept symbol's end mark, left, right, length)."""
     left, right, length = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], np.zeros(0, np.uint32)
     n_rules = 0
@@ -249,13 +277,15 @@ def _encode(path: str, block_tokens: int):
 
         end = np.array([END_ID], np.uint32).tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = pieces.encode(text.as_py() or "") + end
-                ids.append(doc_id)
-                docs.append(data)
-                total += len(data) // 4
-                if total >= block_tokens:
-                    yield flush()
+            for i in range(0, batch.num_rows, GROUP):
+                part = batch.slice(i, GROUP)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for doc_id, data in zip(part.column(0).to_pylist(), pieces.encode_many(texts)):
+                    ids.append(doc_id)
+                    docs.append(data + end)
+                    total += len(data) // 4 + 1
+                    if total >= block_tokens:
+                        yield flush()
         if ids:
             yield flush()
 
