@@ -57,9 +57,10 @@ def likeness(a: str, b: str):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows as (k, h, t): doc_id with null as the smallest long, hash of the text, text."""
+    """Rows as (k, h, t): doc_id with null as the smallest long, hash of the text, text. Both
+    joins of the texts use exactly these columns, so they share one shuffle."""
     t = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(t).alias("h"), t.alias("t"), F.col("doc_id").isNull().alias("no_id"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(t).alias("h"), t.alias("t"))
 
 
 def _chain(docs: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     lent = lent.dropDuplicates(["rk", "rh"]).withColumnsRenamed({"rk": "k", "rh": "h"})
     both = rows.join(lent, ["k", "h"])
     edited = F.concat(F.substring(F.col("t"), F.lit(1), (F.col("n") - F.col("need")).cast("int")), F.col("tail"))
-    both = both.select(F.when(~F.col("no_id"), F.col("k")).alias("doc_id"), F.col("n").alias("n_chars"), edited.alias("edited"), F.col("fp").alias("fingerprint"), "nfp")
+    both = both.select(F.nullif(F.col("k"), F.lit(-(1 << 63))).alias("doc_id"), F.col("n").alias("n_chars"), edited.alias("edited"), F.col("fp").alias("fingerprint"), "nfp")
     both = both.withColumn("edited_sha256", F.sha2("edited", 256))
     both = with_fingerprint(both, "edited", "edited_fingerprint")
     return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "nfp").alias("near_next"))
