@@ -177,7 +177,7 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     prefix = docs.select("text").mapInArrow(_prefixes(n, num, den, order), "node long, n int, toks array<long>")
     prefix = prefix.groupBy("node").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
     nodes = cut(prefix, "prefixes")
-    roots = linked_roots(nodes, True, lambda pairs: _verified(docs, pairs, n, num, den), num, den, wide)
+    roots = linked_roots(nodes, lambda pairs: _verified(docs, pairs, n, num, den), num, den, wide)
 
     first = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     classes = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

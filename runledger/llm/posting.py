@@ -1,12 +1,12 @@
 """Linking sets that meet in posting lists, in DataFrame functions only.
 
-``nodes`` has rows (node, n, toks), and lead where tokens are unordered: a node of size ``n`` meets others on any of its
-tokens. If tokens are in a global order (a prefix of the node's set), places bound what two
-nodes can still share. Lists of up to ``wide`` nodes try all their pairs. A wider list first
-links its nodes to its leader (smallest place, or smallest ``lead``); after components are known, only nodes
-of it that are still apart meet each other, each pair once, at its first common token, and
-only if the common part of their prefixes leaves a link possible. So a big group of copies
-does not become all its pairs, and no two linked nodes end up apart.
+``nodes`` has rows (node, n, toks): a node of size ``n`` meets others on any of its tokens,
+which are a prefix of its set in a global order, so places bound what two nodes can still
+share. Lists of up to ``wide`` nodes try all their pairs. A wider list first links its nodes
+to its leader (smallest place); after components are known, only nodes of it that are still
+apart meet each other, each pair once, at its first common token, and only if the common
+part of their prefixes leaves a link possible. So a big group of copies does not become all
+its pairs, and no two linked nodes end up apart.
 """
 
 from __future__ import annotations
@@ -22,34 +22,37 @@ from .common import connected_components, cut
 WIDE = 32
 
 
-def shared_posts(nodes: DataFrame, ordered: bool) -> DataFrame:
+def shared_posts(nodes: DataFrame) -> DataFrame:
     """One row per (tok, node) whose list has two nodes or more, with the list's length c and
-    its leader."""
+    its leader, the node with the fewest rarer tokens."""
     by = Window.partitionBy("tok")
-    if ordered:  # the node with the fewest rarer tokens leads
-        posts, lead = nodes.select("node", "n", F.posexplode("toks").alias("pos", "tok")), F.struct(F.col("pos").alias("at"), "node", "n", "pos")
-    else:
-        posts, lead = nodes.select("node", "n", "lead", F.lit(0).alias("pos"), F.explode("toks").alias("tok")), F.struct("lead", "node", "n", "pos")
-    posts = posts.withColumns({"c": F.count("*").over(by), "low": F.min(lead).over(by)}).drop("lead")
+    posts = nodes.select("node", "n", F.posexplode("toks").alias("pos", "tok"))
+    posts = posts.withColumns({"c": F.count("*").over(by), "low": F.min(F.struct(F.col("pos").alias("at"), "node", "n", "pos")).over(by)})
     return cut(posts.where("c > 1"), "posts")
 
 
-def linked_roots(nodes: DataFrame, ordered: bool, verify: Callable[[DataFrame], DataFrame], num: int, den: int, wide: int = WIDE) -> DataFrame:
+def meet(x: DataFrame, also: str = "true") -> DataFrame:
+    """The pairs of nodes in one list, the smaller node first, for which ``also`` holds."""
+    more = [c for c in x.columns if c in ("root", "toks")]
+    left = x.select("tok", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), *[F.col(c).alias(f"{c}_a") for c in more])
+    right = x.select("tok", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), *[F.col(c).alias(f"{c}_b") for c in more])
+    return left.join(right, "tok").where("a < b").where(also).select("a", "b", "na", "nb", "pa", "pb")
+
+
+def near_sizes(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sizes allow a Jaccard similarity of num/den, each once."""
+    return pairs.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b", "na", "nb").distinct()
+
+
+def linked_roots(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int, wide: int = WIDE) -> DataFrame:
     """(node, root) of all nodes that have a link. ``verify`` keeps, of pairs (a, b, na, nb),
     those (a, b) whose Jaccard similarity is num/den or more."""
-    posts = shared_posts(nodes, ordered)
+    posts = shared_posts(nodes)
 
     def bounded(x: DataFrame) -> DataFrame:
         """Length and positional bounds of a pair with sizes na, nb and places pa, pb."""
         most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-        x = x.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").where(most * (num + den) >= num * (F.col("na") + F.col("nb")))
-        return x.select("a", "b", "na", "nb").distinct()
-
-    def meet(x: DataFrame, also: str = "true") -> DataFrame:
-        more = [c for c in x.columns if c in ("root", "toks")]
-        left = x.select("tok", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), *[F.col(c).alias(f"{c}_a") for c in more])
-        right = x.select("tok", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), *[F.col(c).alias(f"{c}_b") for c in more])
-        return left.join(right, "tok").where("a < b").where(also).select("a", "b", "na", "nb", "pa", "pb")
+        return near_sizes(x.where(most * (num + den) >= num * (F.col("na") + F.col("nb"))), num, den)
 
     few = meet(posts.where(F.col("c") <= wide))
     star = posts.where((F.col("c") > wide) & (F.col("node") != F.col("low.node")))
@@ -64,9 +67,9 @@ def linked_roots(nodes: DataFrame, ordered: bool, verify: Callable[[DataFrame],
     rooted = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
     left = rooted.join(mixed, "tok", "left_semi").join(nodes.select("node", "toks"), "node")
+    # what the prefixes share, and at most all that follows the shorter one's end
     apart = "root_a <> root_b and get(array_intersect(toks_a, toks_b), 0) = tok"
-    if ordered:  # what the prefixes share, and at most all that follows the shorter one's end
-        apart += f" and (size(array_intersect(toks_a, toks_b)) + greatest(na - size(toks_a), nb - size(toks_b))) * {num + den} >= {num} * (na + nb)"
+    apart += f" and (size(array_intersect(toks_a, toks_b)) + greatest(na - size(toks_a), nb - size(toks_b))) * {num + den} >= {num} * (na + nb)"
     apart = meet(left, apart)
     more = cut(bounded(apart).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
