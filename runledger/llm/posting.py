@@ -3,14 +3,16 @@
 ``nodes`` has rows (node, n, toks): a node of size ``n`` meets others on any of its tokens,
 which are a prefix of its set in a global order, so places bound what two nodes can still
 share. Lists of up to ``wide`` nodes try all their pairs. A wider list first links its nodes
-to its leader (smallest place); after components are known, only nodes of it that are still
-apart meet each other, each pair once, at its first common token, and only if the common
-part of their prefixes leaves a link possible. So a big group of copies does not become all
-its pairs, and no two linked nodes end up apart.
+to a few leaders of about their size (the one with the fewest rarer tokens, and LEADERS by
+hash); after components are known, only nodes of it that are still apart meet each other,
+each pair once, at its first common token, and only if the common part of their prefixes
+leaves a link possible. So a big group of copies does not become all its pairs, and no two
+linked nodes end up apart.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -19,16 +21,27 @@ from pyspark.sql import Window
 
 from .common import connected_components, cut
 
-WIDE = 32
+WIDE, LEADERS = 32, 3
 
 
 def shared_posts(nodes: DataFrame) -> DataFrame:
-    """One row per (tok, node) whose list has two nodes or more, with the list's length c and
-    its leader, the node with the fewest rarer tokens."""
-    by = Window.partitionBy("tok")
+    """One row per (tok, node) whose list has two nodes or more, with the list's length c."""
     posts = nodes.select("node", "n", F.posexplode("toks").alias("pos", "tok"))
-    posts = posts.withColumns({"c": F.count("*").over(by), "low": F.min(F.struct(F.col("pos").alias("at"), "node", "n", "pos")).over(by)})
-    return cut(posts.where("c > 1"), "posts")
+    return cut(posts.withColumn("c", F.count("*").over(Window.partitionBy("tok"))).where("c > 1"), "posts")
+
+
+def led(posts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of each node with the leaders of its list, of its own class of size and the
+    next smaller, within the length and positional bounds."""
+    posts = posts.withColumn("size", F.floor(F.log("n") / math.log(den / num))) if num < den else posts.withColumn("size", F.col("n"))
+    me = F.struct("node", "n", "pos")
+    ranks = [F.col("pos"), *[F.xxhash64("node", F.lit(i)) for i in range(LEADERS)]]
+    leaders = posts.groupBy("tok", "size").agg(F.array(*[F.min(F.struct(r.alias("at"), me.alias("me")))["me"] for r in ranks]).alias("leaders"))
+    each = posts.select("tok", me.alias("me"), F.explode(F.array("size", F.col("size") - 1)).alias("size"))
+    near = F.expr(f"filter(array_distinct(leaders), x -> x.node <> me.node AND {den} * least(x.n, me.n) >= {num} * greatest(x.n, me.n) AND least(x.n - x.pos, me.n - me.pos) * {num + den} >= {num} * (x.n + me.n))")
+    pairs = each.join(leaders, ["tok", "size"]).select("me", F.explode(near).alias("by"))
+    pairs = pairs.select(F.least("me", "by").alias("a"), F.greatest("me", "by").alias("b"))
+    return pairs.selectExpr("a.node AS a", "b.node AS b", "a.n AS na", "b.n AS nb", "a.pos AS pa", "b.pos AS pb")
 
 
 def meet(x: DataFrame, also: str = "true") -> DataFrame:
@@ -55,9 +68,7 @@ def linked_roots(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], num
         return near_sizes(x.where(most * (num + den) >= num * (F.col("na") + F.col("nb"))), num, den)
 
     few = meet(posts.where(F.col("c") <= wide))
-    star = posts.where((F.col("c") > wide) & (F.col("node") != F.col("low.node")))
-    star = star.select(F.col("low.node").alias("a"), F.col("node").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb"), F.col("low.pos").alias("pa"), F.col("pos").alias("pb"))
-    pairs = cut(bounded(few.union(star)), "pairs")
+    pairs = cut(bounded(few.union(led(posts.where(F.col("c") > wide), num, den))), "pairs")
     links = cut(verify(pairs), "links")
     roots = cut(connected_components(links), "roots")
 
