@@ -1,8 +1,7 @@
 """Fuzzy line dedup by MinHash (operator 2), in DataFrame functions only.
 
 Lines (trimmed, lower-cased) become sets of character shingles: SHINGLE characters from
-each word start on. (Shingles from every character on cost about six times as much; see the
-README.) Equal lines are one node. A node's signature is a one-permutation MinHash of BINS
+every character on. Equal lines are one node. A node's signature is a one-permutation MinHash of BINS
 bins, empty bins borrowing from the first non-empty bin in their own pseudo-random order;
 BANDS bands of two bins each give a recall of 0.9997 at a similarity of 0.8. Nodes that meet
 in a band are verified by their exact Jaccard similarity. Bands that hold more than ``wide``
@@ -28,7 +27,7 @@ SHINGLE, BINS, BANDS = 12, 16, 8
 #: Counters of the frequency sketch that orders shingles; fixed, so its broadcast has at most as many rows.
 SKETCH = 1 << 18
 _SPACE = " \t\n\x0b\x0c\r"
-_AT_WORD = rf"(?=([^\x20\x09-\x0D].{{0,{SHINGLE - 1}}}))[^\x20\x09-\x0D]++"
+_AT_EACH = rf"(?s)(?=(.{{{SHINGLE}}}|\A.+))."
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -37,11 +36,15 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("line", F.btrim("line", F.lit(_SPACE))).where("line <> ''")
 
 
+def _shingles(line: str):
+    """The distinct shingle hashes of a line."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(_AT_EACH), F.lit(1)), lambda x: F.xxhash64(x)))
+
+
 def _with_shingles(lines: DataFrame) -> DataFrame:
     """... with grams, the sorted distinct shingle hashes, instead of line."""
     keep = [c for c in lines.columns if c != "line"]
-    raw = F.transform(F.regexp_extract_all("line", F.lit(_AT_WORD), F.lit(1)), lambda x: F.xxhash64(x))
-    return lines.select(*keep, F.sort_array(F.array_distinct(raw)).alias("grams"))
+    return lines.select(*keep, F.sort_array(_shingles("line")).alias("grams"))
 
 
 def _signature(grams: str):
@@ -90,19 +93,19 @@ def _links(lines: DataFrame, found: DataFrame, num: int, den: int, wide: int) ->
     many = posts.where(F.col("c") > wide).select("node").distinct()
     wanted = few.select(F.explode(F.array("a", "b")).alias("node"), F.lit(False).alias("many")).union(many.withColumn("many", F.lit(True)))
     wanted = cut(wanted.groupBy("node").agg(F.max("many").alias("many")), "wanted")
-    # only lines that may have a partner are shingled again, each distinct one once
-    grams = lines.select("node", "line").join(wanted, "node").groupBy("node", "many").agg(F.first("line").alias("line"))
-    grams = cut(_with_shingles(grams), "grams")
+    texts = cut(lines.select("node", "line").join(wanted, "node").groupBy("node", "many").agg(F.first("line").alias("line")), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-        both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("m"))
+        # pairs move the lines, which are an eighth of their shingles' size
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
+        both = both.select("a", "b", "na", "nb", F.size(F.array_intersect(_shingles("la"), _shingles("lb"))).alias("m"))
         return both.where(f"{den} * m >= {num} * (na + nb - m)").select("a", "b")
 
     links = verify(few)
-    if grams.where("many").isEmpty():
+    if texts.where("many").isEmpty():
         return links
-    prefixes = cut(_rarest(grams.where("many"), num, den), "prefixes")
+    grams = cut(_with_shingles(texts.where("many").select("node", "line")), "grams")
+    prefixes = cut(_rarest(grams, num, den), "prefixes")
     return links.union(linked_roots(prefixes, verify, num, den, wide).select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 

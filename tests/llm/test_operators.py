@@ -106,6 +106,22 @@ def test_lines_in_wide_bands(spark, wide):
     assert {r.doc_id: r.first_doc_id for r in got} == dict(enumerate(root))
 
 
+def test_lines_by_every_character(spark):
+    """Lines without spaces, in scripts without spaces, and with long words, by brute force."""
+    same = "数据处理系统的设计与实现"
+    text = [
+        "https://example.com/articles/one-thing", "https://example.com/reports/2024-another",
+        same + "包括许多不同的部分和方法以及它们之间的关系", same + "需要考虑性能可靠性还有使用者的各种真实需求",
+        "deadbeefcafe" * 3 + "0123456789" * 9, "deadbeefcafe" * 3 + "0123456789" * 9 + "x", "deadbeefcafe" * 3 + "9876543210" * 9,
+        "a short", "a short", "😀" * 11 + "ab", "😀" * 11 + "ac", "x" * 30, "x" * 40,
+    ]
+    got = lines.line_components(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")).collect()
+    sets = [{t[i : i + lines.SHINGLE] for i in range(max(1, len(t) - lines.SHINGLE + 1))} for t in text]
+    low = [min(b for b in range(len(text)) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])) for a in range(len(text))]
+    assert low == [0, 1, 2, 3, 4, 4, 6, 7, 7, 9, 10, 11, 11]
+    assert {r.doc_id: (r.n_shingles, r.first_doc_id) for r in got} == {i: (len(s), r) for i, (s, r) in enumerate(zip(sets, low))}
+
+
 def brute_targets(sizes, weights=(1, 2, 3), cap=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s) + [None] * (None in sizes)
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
