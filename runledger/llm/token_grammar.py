@@ -18,7 +18,7 @@ FIRST_RULE are token ids; FIRST_RULE + r is rule r.
 
 The encoder takes pieces between single spaces, which the byte-level pre-tokenizer never
 joins across, and remembers the ids the library gives for a piece; a text in which white
-space follows a space is encoded whole.
+space follows a space, or which holds one of the tokenizer's added tokens, is encoded whole.
 
 Defined cases: null text is empty, so its only id is the end id; a null doc_id sorts first;
 repeated rows are encoded again each, in order of (doc_id, text); an empty table writes no
@@ -61,8 +61,8 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line = self.alone("\n")
         self.marks = {m: self.alone(m) for m in ".,"}
 
@@ -95,7 +95,7 @@ class Pieces(dict):
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian uint32."""
-        joined = [not t or bool(_JOINED.search(t)) for t in texts]
+        joined = [not t or bool(_JOINED.search(t)) or any(a in t for a in self.added) for t in texts]
         parts = [t.split(" ") for t, j in zip(texts, joined) if not j]
         heads = iter(self.each([p[0] for p in parts], ""))
         flat = list(chain.from_iterable(p[1:] for p in parts))

@@ -64,6 +64,21 @@ def test_tokens(docs, empty, spark, tmp_path):
     assert token_grammar.token_table(empty, queries.tokenizer_path()).count() == 0
 
 
+def test_tokens_of_added_token(spark):
+    """The tokenizer's added token becomes its own id wherever a text holds it."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "two words\nand <|endoftext|><|endoftext|>\nmore", "no <|endoftext> here"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    got = token_grammar.Pieces(queries.tokenizer_path()).encode_many(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(token_grammar.token_table(frame, queries.tokenizer_path()).collect())
+    assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(w) + 1, zlib.crc32(np.array(w + [2], "<u4").tobytes())) for w in want]
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(1)
     docs = [rng.integers(0, 6, n).astype("<u4").tobytes() + np.array([2], "<u4").tobytes() for n in (0, 1, 5000, 7, 20000)]
