@@ -3,7 +3,7 @@
 Texts are range-partitioned by doc_id and encoded in order; every partition is written as a
 sequence of *blocks* of about ``block_tokens`` ids. A block is its own grammar: in rounds,
 the most frequent pairs of neighbouring symbols (never across a document end) become
-nonterminals, as long as a pair occurs often enough to pay. The block's payload holds the
+nonterminals, until no pair occurs often enough to pay. The block's payload holds the
 rules, their expansion lengths, the start of each document in symbols and in ids, and the
 symbol sequence, so one document (or one id) decodes without the rest of the block.
 
@@ -126,28 +126,28 @@ def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def compress(seq: np.ndarray, last: np.ndarray, rounds: int = 5, per_round: int = 1024, min_count: int = 24):
+def compress(seq: np.ndarray, last: np.ndarray, per_round: int = 1024, min_count: int = 24):
     """Re-Pair in batches: (symbols, position of each kept symbol's end mark, left, right, length)."""
     left, right, length = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], np.zeros(0, np.uint32)
     n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         a, b = seq[:-1], seq[1:]
         free = ~last[:-1]
         bucket = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(14)
         counts = np.bincount(bucket[free], minlength=1 << 18)
         top = np.argpartition(counts, -per_round)[-per_round:]
-        hot = np.zeros(1 << 18, bool)
-        hot[top[counts[top] >= min_count]] = True
-        at = np.flatnonzero(hot[bucket] & free)
-        if not len(at):
-            break
-        pair = a[at].astype(np.uint64) << np.uint64(32) | b[at]
-        kinds, which, n = np.unique(pair, return_inverse=True, return_counts=True)
-        take = n >= min_count
-        at, which = at[take[which]], which[take[which]]
-        if not len(at):
+        # a bucket may be full of rare pairs: if all of the top ones are, every full bucket is tried
+        for full in (top[counts[top] >= min_count], np.flatnonzero(counts >= min_count)):
+            hot = np.zeros(1 << 18, bool)
+            hot[full] = True
+            at = np.flatnonzero(hot[bucket] & free)
+            pair = a[at].astype(np.uint64) << np.uint64(32) | b[at]
+            kinds, which, n = np.unique(pair, return_inverse=True, return_counts=True)
+            take = n >= min_count
+            at, which = at[take[which]], which[take[which]]
+            if len(at):
+                break
+        else:
             break
         # in a stretch of overlapping occurrences every other one is replaced
         fresh = np.ones(len(at), bool)
@@ -167,10 +167,7 @@ def compress(seq: np.ndarray, last: np.ndarray, rounds: int = 5, per_round: int
         last[at] |= last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        before = len(seq)
         seq, last, n_rules = seq[stay], last[stay], n_rules + len(used)
-        if len(seq) > 0.97 * before:
-            break
     return seq, last, np.concatenate(left), np.concatenate(right), length
 
 

@@ -88,6 +88,24 @@ def test_grammar_round_trip():
     assert all(block.document(i).astype("<u4").tobytes() == d for i, d in enumerate(docs))
 
 
+def test_grammar_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(2)
+    end = np.array([2], "<u4")
+    passage = rng.permutation(np.arange(100, 300)).astype("<u4")
+    docs = [np.concatenate([passage, end]).tobytes()] * 1000
+    block = token_grammar.Block(token_grammar.pack(list(range(1000)), docs))
+    assert len(block.symbols) == 1000 and block.length.max() == 201
+    # the passage between other ids, and pairs of many kinds
+    docs = [np.concatenate([rng.integers(1000, 1400, 40), passage, rng.integers(1000, 1400, 40), end]).astype("<u4").tobytes() for _ in range(2000)]
+    block = token_grammar.Block(token_grammar.pack(list(range(2000)), docs))
+    assert [d.astype("<u4").tobytes() for _, d in block.documents()] == docs
+    assert len(block.symbols) < 2000 * (40 + 40 + 1 + 2)
+    left, right = block.symbols[:-1].astype(np.uint64), block.symbols[1:].astype(np.uint64)
+    inside = np.ones(len(left), bool)
+    inside[block.at[1:-1].astype(np.int64) - 1] = False
+    assert np.unique(left[inside] << np.uint64(32) | right[inside], return_counts=True)[1].max() < 24
+
+
 def test_lines(docs, empty):
     got = lines.line_components(docs).collect()
     # identical rows share their decision
