@@ -188,11 +188,15 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
 
 
 def one_per_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without near copies: of each component the document with the smallest doc_id
-    stays, one row of it if it is repeated. Rows without doc_id are kept when alone."""
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__key")
-    found = cut(similarity_components(docs, n, num, den).where("doc_id <=> component_id").select(key).distinct(), "kept")
-    return docs.withColumn("__key", key).join(found, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    """``docs`` without near copies: of each component one row stays, the one with the smallest
+    doc_id (null last), then the smallest hash of its text. Rows, not ids, are told apart: rows
+    that repeat a doc_id or have none stay when alone, as each row without n-grams does."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = similarity_components(rows.select(F.col("__row").alias("doc_id"), "text"), n, num, den).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), "__row")
+    best = rows.select("__row", place.alias("place")).join(found, "__row").groupBy("group").agg(F.min("place").alias("place"))
+    kept = cut(best.select("place.__row"), "kept")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 ORACLE = r"""

@@ -317,6 +317,21 @@ def test_ngram_join(docs, empty, spark, wide):
         assert ngram_join.similarity_components(empty, 4, 85, 100).count() == 0
 
 
+def test_one_per_group_keeps_rows_apart(spark):
+    """Rows without an id or with a repeated one go only as near copies."""
+    near = BASE.replace("word59", "x")
+    rows = [(None, "first text without an id"), (None, "second and other text without"), (None, "third of them"), (None, near), (None, None), (None, ""),
+            (5, BASE), (9, BASE.upper()), (7, "clean text under a repeated id"), (7, "another clean text under it"), (7, near), (8, "said twice by one id"), (8, "said twice by one id")]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, node int").repartition(3)
+    out = ngram_join.one_per_group(frame)
+    assert out.columns == frame.columns
+    gone = [(None, near), (9, BASE.upper()), (7, near), (8, "said twice by one id")]
+    want = list(rows)
+    for r in gone:
+        want.remove(r)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_toxicity(docs, empty, spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = toxicity.toxicity(docs, labels).collect()
