@@ -155,6 +155,24 @@ def test_lines_by_every_character(spark):
     assert {r.doc_id: (r.n_shingles, r.first_doc_id) for r in got} == {i: (len(s), r) for i, (s, r) in enumerate(zip(sets, low))}
 
 
+@pytest.mark.parametrize("wide", [2, 32])
+def test_wide_bands_by_every_character(spark, wide):
+    """The rows of test_lines_in_wide_bands against sets of all shingles."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}q" for i in range(400)]
+    core = list(rng.choice(words, 40))
+    text = [" ".join(core + list(rng.choice(words, n))) for n in rng.integers(1, 15, 90)] + ["short line", " ".join(core)]
+    got = lines.line_components(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"), wide=wide).collect()
+    sets = [{t[i : i + lines.SHINGLE] for i in range(max(1, len(t) - lines.SHINGLE + 1))} for t in text]
+    root = list(range(len(text)))
+    for a in range(len(text)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert {r.doc_id: r.first_doc_id for r in got} == dict(enumerate(root))
+
+
 def brute_targets(sizes, weights=(1, 2, 3), cap=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s) + [None] * (None in sizes)
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
