@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +18,14 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own in tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, one of our
+    own in local mode, as in tests; on a cluster an error, for a local folder is not shared."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="runledger-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -34,10 +39,34 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     from files that survive a lost executor, and nothing above is computed twice."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    for made in getattr(_open, "cuts", [])[-1:]:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_open = threading.local()
+
+
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is cut, after which the cuts made on the way are removed."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        levels = _open.__dict__.setdefault("cuts", [])
+        levels.append([])
+        try:
+            result = f(*args, **kwargs)
+        finally:
+            inner = levels.pop()
+        result = cut(result, f.__name__)
+        for path in inner:
+            drop_path(result.sparkSession, path)
+        return result
+
+    return run
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a folder that this library wrote."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -48,6 +77,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that none of ``columns`` has, upper or lower case."""
+    low = {c.lower() for c in columns}
+    while name in low:
+        name += "_"
+    return name
+
+
 def ascii_lower(col):
     """Lower-case A-Z only."""
     return F.translate(col, _UPPER, _UPPER.lower())
@@ -57,13 +94,14 @@ def slots(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+@tidy
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
     """Distributed union-find by alternating large-star and small-star rounds.
 
     ``edges`` has two comparable id columns. Returns (node, root): root is the smallest id
     of the component. Each round is one min-aggregation (with map-side combine) and one
     join on the node id, cut to a durable table; rounds needed grow with the logarithm of
-    the component size. Nodes without an edge are not listed. Self-loops and repeated
+    the component size. The result is cut, the rounds' tables are removed. Nodes without an edge are not listed. Self-loops and repeated
     edges are allowed.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()

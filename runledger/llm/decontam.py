@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import ALNUM_WORD, ascii_lower, cut
-from .ngram_join import id_filter
+from .common import ALNUM_WORD, ascii_lower, cut, fresh, tidy
+from .posting import id_filter
 
 SHINGLE = 5
 _RUN = pa.struct([("start", pa.int32()), ("words", pa.list_(pa.string()))])
@@ -113,6 +113,7 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return rows.groupBy("words").agg(F.collect_set("item_id").alias("item_ids")).select(F.xxhash64("words").alias("win"), "words", "item_ids")
 
 
+@tidy
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated per row of ``docs``."""
     spark, k = docs.sparkSession, min(SHINGLE, window)
@@ -122,7 +123,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     shortest = windows.agg(F.min(F.size("words"))).first()[0] or 0
     wanted = id_filter(table.select(F.explode("shingles").alias("s")).distinct(), "s")
 
-    scanned = docs.select("doc_id", "text").mapInArrow(_scan(k, window, sizes, wanted), "doc_id long, n_words long, runs array<struct<start:int,words:array<string>>>")
+    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(k, window, sizes, wanted), "doc_id long, n_words long, runs array<struct<start:int,words:array<string>>>")
     scanned = cut(scanned.withColumn("rid", F.monotonically_increasing_id()), "scanned")
     runs = scanned.where(F.size("runs") > 0).select("rid", F.posexplode("runs").alias("run_no", "run")).where(F.size("run.words") >= shortest)
     runs = cut(runs.select("rid", "run_no", F.col("run.words").alias("run_words"), F.col("run.start").alias("run_start")), "runs")
@@ -151,10 +152,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` without the documents that hold a window of an item; all their columns.
-    Rows of one doc_id go together."""
-    bad = cut(decontaminate(docs, items, window).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct(), "bad")
-    return docs.join(bad, F.expr("doc_id <=> __bad"), "left_anti")
+    """``docs`` without the rows that hold a window of an item; all their columns. Whether a
+    row goes is settled by its text (told apart by a 64-bit hash), not by its doc_id, so rows
+    with a null or repeated id are judged each on its own."""
+    key, bad = F.xxhash64(F.coalesce("text", F.lit(""))), fresh("bad_text", docs.columns)
+    found = decontaminate(docs.select(key.alias("doc_id"), "text"), items, window).where("contaminated")
+    found = found.select(F.col("doc_id").alias(bad)).distinct()
+    return docs.join(found, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found[bad], "left_anti")
 
 
 ORACLE = r"""

@@ -4,10 +4,11 @@ Sizes (words) are summed per source with map-side combine. Sources in code-point
 null last, take weights cyclically and share the size of the whole; a target stops at
 ``cap`` times its source's size and the excess is shared again by weight. That fixed point
 is a water level, found with running sums over the sources (one row each) in order of
-cap / weight. A document is taken floor(rate) times, and once more where a hash of its id
-lies under the fraction of the rate. Of SEEDS seeds for that hash each source uses the one
-whose taken words come nearest to its target; all are summed in the same aggregation, so
-no document order and no per-source task is needed.
+cap / weight. A document is taken floor(rate) times, and once more where a hash of its id and
+of ``seed`` lies under the fraction of the rate: one draw, so the chance of the extra copy is
+the fraction for every document, whatever else its source holds, and no document order and no
+per-source task is needed. A source's taken words miss its target by the luck of the draw
+only, which shrinks as the source grows.
 
 Defined cases: null text has size 0; null source is a source of its own, the last; sources
 without words have target 0 and their documents are taken 0 times; repeated rows (equal
@@ -21,9 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import NON_SPACE_WORD, cut
-
-SEEDS = 16
+from .common import NON_SPACE_WORD, cut, fresh, tidy
 
 
 def word_count(text):
@@ -46,53 +45,39 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return per.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 
-def _draws(doc_id):
-    """SEEDS strings of 8 hex digits, uniform by doc_id."""
-    digests = [F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f"#{j}"))) for j in range(SEEDS // 4)]
-    return [F.substring(d, 1 + 8 * i, 8) for d in digests for i in range(4)]
-
-
-def _under():
-    """The fraction of the rate as 8 hex digits: a draw below it wins one more copy."""
-    return F.lower(F.lpad(F.hex(F.floor((F.col("rate") - F.floor("rate")) * 4294967296).cast("long")), 8, "0"))
-
-
-def _decided(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
-    """Per source: source_size, target, rate and the seed it uses."""
-    targets = cut(source_targets(sizes, weights, cap), "targets").withColumn("under", _under())
-    rows = sizes.join(targets.withColumnRenamed("source", "s"), F.expr("source <=> s")).drop("s")
-    sums = [F.sum(F.when(d < F.col("under"), F.col("size")).otherwise(0)).alias(f"x{i}") for i, d in enumerate(_draws(F.col("doc_id")))]
-    sums = rows.groupBy("source").agg(*sums)
-    off = [F.struct(F.abs(F.col(f"x{i}") - (F.col("rate") - F.floor("rate")) * F.col("source_size")).alias("off"), F.lit(i).alias("seed")) for i in range(SEEDS)]
-    best = sums.withColumnRenamed("source", "s").join(targets, F.expr("source <=> s"))
-    return cut(best.select("source", "source_size", "target", "rate", F.least(*off)["seed"].alias("seed")), "decided")
-
-
-def _copies():
-    draws = F.array(*_draws(F.col("doc_id")))
-    return F.floor("rate") + F.when(F.element_at(draws, F.col("seed") + 1) < _under(), 1).otherwise(0)
+def _copies(rate, doc_id, seed: int):
+    """floor(rate), and one more where the document's draw (8 hex digits, uniform by doc_id and
+    seed) is below the fraction of the rate."""
+    draw = F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f"#{seed}"))), 1, 8)
+    under = F.lower(F.lpad(F.hex(F.floor((rate - F.floor(rate)) * 4294967296).cast("long")), 8, "0"))
+    return F.floor(rate) + F.when(draw < under, 1).otherwise(0)
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+@tidy
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 0) -> DataFrame:
     """Per row of ``docs``: doc_id, size, source_size, target, taken, copies."""
     sizes = cut(_sizes(docs), "sizes")
-    per = _decided(sizes, weights, cap).withColumnRenamed("source", "s")
-    rows = sizes.join(per, F.expr("source <=> s")).withColumn("copies", _copies())
+    per = cut(source_targets(sizes, weights, cap), "targets").withColumnRenamed("source", "s")
+    rows = sizes.join(per, F.expr("source <=> s")).withColumn("copies", _copies(F.col("rate"), F.col("doc_id"), seed))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), F.col("copies").cast("long").alias("copies"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 0) -> DataFrame:
     """The mix itself: every row of ``docs``, all its columns, as many times as it is taken."""
-    per = _decided(cut(_sizes(docs), "sizes"), weights, cap).select(*[F.col(c).alias(f"__{c}") for c in ("source", "rate", "seed")])
-    rows = docs.join(per, F.expr("source <=> __source"))
-    under = F.lower(F.lpad(F.hex(F.floor((F.col("__rate") - F.floor("__rate")) * 4294967296).cast("long")), 8, "0"))
-    extra = F.when(F.element_at(F.array(*_draws(F.col("doc_id"))), F.col("__seed") + 1) < under, 1).otherwise(0)
-    copies = (F.floor("__rate") + extra).cast("int")
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    source, rate, copy = (fresh(c, docs.columns) for c in ("of_source", "of_rate", "of_copy"))
+    per = _rates(docs, weights, cap).select(F.col("source").alias(source), F.col("rate").alias(rate))
+    rows = docs.join(per, docs["source"].eqNullSafe(per[source]))
+    copies = _copies(F.col(rate), F.col("doc_id"), seed).cast("int")
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+
+
+@tidy
+def _rates(docs: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    return source_targets(cut(_sizes(docs), "sizes"), weights, cap)
 
 
 ORACLE = r"""
@@ -105,13 +90,8 @@ run AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS t, CAST(sum(w) OVE
 lev AS (SELECT *, (t - before_) / (ws - wb) AS level, 3 * source_size / w <= (t - before_) / (ws - wb) AS full_ FROM run),
 tgt AS (SELECT source, source_size, CASE WHEN full_ THEN CAST(3 * source_size AS DOUBLE) ELSE least(CAST(3 * source_size AS DOUBLE), w * (max(CASE WHEN NOT full_ THEN level END) OVER ())) END AS target FROM lev),
 rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM tgt),
-limits AS (SELECT *, rate - floor(rate) AS frac, lower(lpad(to_hex(CAST(floor((rate - floor(rate)) * 4294967296) AS BIGINT)), 8, '0')) AS under FROM rates),
-draws AS (SELECT s.doc_id, s.size, l.*, k.k, substr(md5(coalesce(CAST(s.doc_id AS VARCHAR), 'null') || '#' || CAST(k.k // 4 AS VARCHAR)), CAST(1 + 8 * (k.k % 4) AS INTEGER), 8) < l.under AS won
-  FROM s JOIN limits l ON s.source IS NOT DISTINCT FROM l.source CROSS JOIN range(16) k(k)),
-offs AS (SELECT source, k, abs(sum(CASE WHEN won THEN size ELSE 0 END) - any_value(frac) * any_value(source_size)) AS off FROM draws GROUP BY source, k),
-seeds AS (SELECT source, arg_min(k, {'o': off, 'k': k}) AS k FROM offs GROUP BY source)
-SELECT d.doc_id, d.size, d.source_size, d.target,
-  CAST(d.size * (floor(d.rate) + CASE WHEN d.won THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-  CAST(floor(d.rate) + CASE WHEN d.won THEN 1 ELSE 0 END AS BIGINT) AS copies
-FROM draws d JOIN seeds ON d.k = seeds.k AND d.source IS NOT DISTINCT FROM seeds.source
+limits AS (SELECT *, lower(lpad(to_hex(CAST(floor((rate - floor(rate)) * 4294967296) AS BIGINT)), 8, '0')) AS under FROM rates)
+SELECT s.doc_id, s.size, l.source_size, l.target, CAST(s.size * c.copies AS BIGINT) AS taken, CAST(c.copies AS BIGINT) AS copies
+FROM s JOIN limits l ON s.source IS NOT DISTINCT FROM l.source,
+LATERAL (SELECT floor(l.rate) + CASE WHEN substr(md5(coalesce(CAST(s.doc_id AS VARCHAR), 'null') || '#0'), 1, 8) < l.under THEN 1 ELSE 0 END AS copies) c
 """

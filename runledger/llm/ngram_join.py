@@ -2,36 +2,36 @@
 
 Documents are sets of word n-grams. Texts with equal sets collapse into one *class* first,
 so a group of exact copies costs one row. A global n-gram order (frequency class from a
-fixed-size count sketch, then hash) gives each class the short prefix that any linked
-partner must share; classes meet on prefix n-grams, subject to length and positional
-bounds. Surviving pairs are counted exactly: the n-gram space is cut into fragments
-(ranges of the n-gram hash), each fragment counts its partial overlap of a pair on its own,
-and the parts are summed per pair. Components come from distributed union-find.
-
-An n-gram shared by more than ``wide`` classes first links every class to the smallest one
-of its list; only classes that are still in different components are then compared with
-each other, so a big group of copies does not become all its pairs, and no link between
-components is lost.
+fixed-size count sketch, then hash) is cut at pivots into FRAGMENTS ranges that hold about
+equally many n-gram occurrences; every class is cut into segments, one a fragment. The
+overlap of two classes is the sum of what they share in each fragment: each fragment counts
+its part on its own, only the counts travel on, and they are summed per pair.
+
+Which pairs are counted is settled by the rare end of the order: two classes can link only
+if they share an n-gram of their prefixes (size - ceil(t * size) + 1 n-grams from the rare
+end), within length and positional bounds. An n-gram shared by more than ``wide`` classes
+first links every class to a few leaders of its list; only classes that are still in
+different components are then compared with each other, so a big group of copies does not
+become all its pairs, and no link between components is lost. Components come from
+distributed union-find.
 
 Defined cases: null or blank text has no n-grams and links with nothing; fewer words than n
 make one n-gram of the whole sequence; repeated rows each get a result row; a null doc_id is
 a row like any other, and gives way to a non-null id as the smallest of its component;
-other columns are ignored. N-grams are compared by 64-bit hash, classes by a 64-bit hash of
-the set.
+other columns are ignored; doc_id is cast to long. N-grams are compared by 64-bit hash,
+classes by a 64-bit hash of the set.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import cut
-from .posting import WIDE, linked_roots
+from .common import cut, fresh, tidy
+from .posting import WIDE, id_filter, linked_roots, passing
 
 #: Counters of the frequency sketch, in blocks of BLOCK; fixed, so the broadcast is 8 MB at any size.
 SKETCH, BLOCK = 1 << 23, 1 << 16
@@ -87,11 +87,32 @@ def _add_up(batches):
     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([t for _, t in out], pa.binary())], ["block", "classes"])
 
 
+def _order_keys(u: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Places in the global order: frequency class above, hash below."""
+    return rank[(u & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | u >> np.uint64(8)
+
+
+def pivots(rank: np.ndarray, fragments: int = FRAGMENTS) -> np.ndarray:
+    """Keys that cut the global order into ranges of about equally many occurrences. Within a
+    frequency class hashes are uniform, so a cut inside one is a share of its hash range."""
+    load = np.bincount(rank, minlength=256) * (np.exp2(np.arange(256) / 8.0) - 1)
+    if not load.sum():
+        return np.zeros(fragments - 1, np.uint64)
+    upto = np.concatenate([[0.0], np.cumsum(load)])
+    out = []
+    for part in range(1, fragments):
+        at = upto[-1] * part / fragments
+        k = min(int(np.searchsorted(upto, at, "right")) - 1, 255)
+        share = (at - upto[k]) / load[k] if load[k] else 0.0
+        out.append((k << 56) + int(share * ((1 << 56) - 1)))
+    return np.array(out, np.uint64)
+
+
 def _prefixes(n: int, num: int, den: int, order):
     """One row for each non-empty text: class, size, and its prefix in the global order."""
 
     def run(batches):
-        rank = order.value
+        rank, _ = order.value
         for batch in batches:
             node, size, toks = [], [], []
             for w in tn.words(batch.column(0), "space"):
@@ -100,17 +121,18 @@ def _prefixes(n: int, num: int, den: int, order):
                         keep = len(u) - -(-num * len(u) // den) + 1
                         node.append(_set_hash(u))
                         size.append(len(u))
-                        toks.append(tn.signed(u[np.lexsort((u, rank[(u & np.uint64(SKETCH - 1)).astype(np.int64)]))[:keep]]))
+                        toks.append(tn.signed(u[np.lexsort((u, _order_keys(u, rank)))[:keep]]))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int32()), tn.lists(toks, pa.int64())], ["node", "n", "toks"])
 
     return run
 
 
-def _fragments(n: int, wanted):
-    """(class, fragment, n-grams) of the classes that the filter lets through."""
+def _segments(n: int, order, wanted):
+    """(class, fragment, n-grams) of the classes that the filter lets through: their segments
+    between the pivots of the global order."""
 
     def run(batches):
-        bits = wanted.value
+        bits, (rank, cuts_at) = wanted.value, order.value
         top = np.uint64(len(bits) * 8 - 1)
         for batch in batches:
             node, frag, parts = [], [], []
@@ -121,63 +143,53 @@ def _fragments(n: int, wanted):
                     h = _set_hash(u)
                     at = int(np.uint64(h & 0xFFFFFFFFFFFFFFFF) & top)
                     if bits[at >> 3] >> (at & 7) & 1:
-                        cuts = np.searchsorted(u >> np.uint64(61), np.arange(FRAGMENTS + 1, dtype=np.uint64))
-                        for f in range(FRAGMENTS):
-                            if cuts[f] < cuts[f + 1]:
+                        keys = _order_keys(u, rank)
+                        by = np.argsort(keys, kind="stable")
+                        ends = [0, *np.searchsorted(keys[by], cuts_at).tolist(), len(u)]
+                        for f in range(len(ends) - 1):
+                            if ends[f] < ends[f + 1]:
                                 node.append(h)
                                 frag.append(f)
-                                parts.append(tn.signed(u[cuts[f] : cuts[f + 1]]))
+                                parts.append(tn.signed(u[by[ends[f] : ends[f + 1]]]))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(frag, pa.int32()), tn.lists(parts, pa.int64())], ["node", "frag", "grams"])
 
     return run
 
 
-def id_filter(ids: DataFrame, column: str, most_bits: int = 1 << 26):
-    """A broadcast bit map of the ids, of at most most_bits bits (8 MB): lets every wanted id
-    through, and few others. The bits travel as counts of the set positions, or as whole
-    blocks once those are fewer."""
-    spark = ids.sparkSession
-    n = ids.count()
-    size = min(most_bits, max(1 << 16, 1 << math.ceil(math.log2(64 * n + 1))))
-    bits = np.zeros(size // 8, np.uint8)
-    at = F.expr(f"{column} & {size - 1}L")
-    # 32768 bits to a block, as bitmap_construct_agg makes them
-    for block, part in ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("block")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).toLocalIterator():
-        part = np.frombuffer(part, np.uint8)
-        lo = block * 4096
-        bits[lo : lo + len(part)] |= part[: len(bits) - lo]
-    return spark.sparkContext.broadcast(bits)
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose similarity is at least num/den, by exact counts."""
+def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, order) -> DataFrame:
+    """The pairs (a, b, na, nb) whose similarity is at least num/den: partial overlaps counted
+    fragment by fragment, summed per pair.
+
+    Both sides of a pair read the same shuffle of segments by (class, fragment); a segment is
+    moved once more, to the pair, as the other side needs it."""
     wanted = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
     # the class of a group of copies is built once per task and merged by its key
-    grams = docs.select("text").mapInArrow(_fragments(n, wanted), "node long, frag int, grams array<long>").groupBy("node", "frag").agg(F.first("grams").alias("grams"))
-    grams = cut(grams, "grams")
-    left = grams.select(F.col("node").alias("a"), "frag", F.col("grams").alias("ga"))
-    right = grams.select(F.col("node").alias("b"), "frag", F.col("grams").alias("gb"))
-    part = pairs.join(right, "b").join(left, ["a", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("both"))
+    found = docs.select("text").mapInArrow(_segments(n, order, wanted), "node long, frag int, grams array<long>").groupBy("node", "frag").agg(F.first("grams").alias("grams"))
+    left = found.select(F.col("node").alias("a"), "frag", F.col("grams").alias("ga"))
+    right = found.select(F.col("node").alias("b"), "frag", F.col("grams").alias("gb"))
+    each = pairs.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    part = each.join(right, ["b", "frag"]).join(left, ["a", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("both"))
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
     return total.where(f"{den} * both >= {num} * (na + nb - both)").select("a", "b")
 
 
+@tidy
 def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, wide: int = WIDE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = cut(docs.mapInArrow(_sets(n, True), "id long, n long, node long, block int, counts binary"), "sets")
     sets = scanned.where("block is null").select(F.col("id").alias("doc_id"), "n", "node")
     rank = np.zeros(SKETCH, np.uint8)
     blocks = scanned.where("block is not null").select("block", "counts").repartition("block").mapInArrow(_add_up, "block int, classes binary")
     for block, classes in blocks.toLocalIterator():  # SKETCH bytes in all, whatever the input
         rank[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(classes, np.uint8)
-    order = spark.sparkContext.broadcast(rank)
+    order = spark.sparkContext.broadcast((rank, pivots(rank)))
 
     prefix = docs.select("text").mapInArrow(_prefixes(n, num, den, order), "node long, n int, toks array<long>")
     prefix = prefix.groupBy("node").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
     nodes = cut(prefix, "prefixes")
-    roots = linked_roots(nodes, lambda pairs: _verified(docs, pairs, n, num, den), num, den, wide)
+    roots = linked_roots(nodes, lambda pairs: _verified(docs, pairs, n, num, den, order), num, den, wide, lambda ids: passing(nodes.select("node", "toks"), ids))
 
     first = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     classes = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -190,13 +202,21 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
 def one_per_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without near copies: of each component one row stays, the one with the smallest
     doc_id (null last), then the smallest hash of its text. Rows, not ids, are told apart: rows
-    that repeat a doc_id or have none stay when alone, as each row without n-grams does."""
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = similarity_components(rows.select(F.col("__row").alias("doc_id"), "text"), n, num, den).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group"))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), "__row")
-    best = rows.select("__row", place.alias("place")).join(found, "__row").groupBy("group").agg(F.min("place").alias("place"))
-    kept = cut(best.select("place.__row"), "kept")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    that repeat a doc_id or have none stay when alone, as each row without n-grams does. All
+    columns are kept, whatever their names."""
+    row = fresh("row", docs.columns)
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    return rows.join(_chosen(rows, row, n, num, den), row, "left_semi").select(*docs.columns)
+
+
+@tidy
+def _chosen(rows: DataFrame, row: str, n: int, num: int, den: int) -> DataFrame:
+    """The ids (column ``row``) of the rows that stay."""
+    own = rows.select(F.col(row).alias("row"), "doc_id", "text")
+    found = similarity_components(own.select(F.col("row").alias("doc_id"), "text"), n, num, den).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), "row")
+    best = own.select("row", place.alias("place")).join(found, "row").groupBy("group").agg(F.min("place").alias("place"))
+    return best.select(F.col("place.row").alias(row))
 
 
 ORACLE = r"""
