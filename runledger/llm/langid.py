@@ -6,18 +6,25 @@ last one ended. The fewer phrases a text needs, normalised by its length and by
 the sample (phrases x log2(sample) / characters), the closer it is to the language; the
 cheapest language wins.
 
-All texts of a batch are parsed together: texts are cut into segments of SEGMENT characters,
-and one numpy step advances every segment by one character through the automaton's
-transition table. A phrase ends with its segment, for every language alike.
-
-The sample has at most ``sample_docs`` documents and ``sample_chars`` normalised characters
-per language (64 and 32,768), chosen by a hash of doc_id: its size, the automata and the
-broadcast do not grow with the corpus. Every text is predicted whole.
+All texts of a batch are parsed together: texts are cut into segments, and one numpy step
+advances every segment by one character through the automaton's transition table. Each
+segment is first parsed as if a phrase began with it. Then the phrase that the segment before
+really ended in is carried on into it, until a phrase of the true parse begins where one of
+the segment's own does: from there on both are the same. So counts are those of one unbroken
+parse of the whole text, at any segment length. Texts whose parses do not meet within a
+segment (long runs of one pattern) are parsed character by character.
+
+The sample has at most ``sample_docs`` documents a language, chosen by a hash of doc_id, from
+each a window of ``sample_chars`` / 8 characters at a place chosen by the same hash,
+``sample_chars`` normalised characters a language, and the ``max_langs`` languages with most
+documents (64, 32,768 and 256): its size, the automata and the broadcast do not grow with the
+corpus. Every text is predicted whole.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any
 labelled row all are ``und``; ties go to the language that sorts first; a null doc_id is
 predicted like any other row, is not held out and teaches nothing; repeated rows teach once;
-other columns are ignored.
+a letter that no sample has is a phrase of its own; other columns are ignored; doc_id is cast
+to long.
 """
 
 from __future__ import annotations
@@ -82,35 +89,86 @@ class Parser:
         self.code[[ord(c) for c in everything if c.isalpha()]] = self.width - 1
         for i, c in enumerate(letters):
             self.code[ord(c)] = i + 1
-        self.tables, self.bits = [], []
+        self.tables, self.bits, self.dead = [], [], []
         for lang in self.langs:
             moves = suffix_automaton(self.code[np.array([ord(c) for c in samples[lang]], np.int64)].tolist() if samples[lang] else [])
-            flat = np.full((len(moves), self.width), -1, np.int32)
+            # the last state has no moves: a text begins in it, and so does what follows an unknown letter
+            flat = np.full((len(moves) + 1, self.width), -1, np.int32)
             for s, m in enumerate(moves):
                 if m:
                     flat[s, list(m)] = np.fromiter(m.values(), np.int32, len(m)) * self.width
             self.tables.append(flat.ravel())
+            self.dead.append(len(moves) * self.width)
             self.bits.append(np.log2(2 + len(samples[lang])))
 
-    def phrases(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Phrases of each segment by language; segments ordered by size, longest first."""
-        count = np.full((len(self.langs), len(start)), 1, np.int32)
-        state = np.zeros((len(self.langs), len(start)), np.int32)
-        alive = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")
-        for p in range(len(alive)):
-            n = int(alive[p])
-            c = codes[start[:n] + p]
-            for lang, flat in enumerate(self.tables):
-                s = state[lang, :n]
-                to = flat.take(s + c)
-                bad = np.flatnonzero(to < 0)
-                if len(bad):
-                    again = flat.take(c[bad])
-                    count[lang, bad] += 1
-                    to[bad] = np.maximum(again, 0)
-                state[lang, :n] = to
+    def plain(self, codes: list[int], lang: int) -> int:
+        """Phrases of one text, character by character."""
+        flat, dead, count = self.tables[lang], self.dead[lang], 0
+        state = dead
+        for c in codes:
+            to = int(flat[state + c])
+            if to < 0:
+                count += 1
+                to = int(flat[c])
+                to = dead if to < 0 else to
+            state = to
         return count
 
+    def phrases(self, codes: np.ndarray, first: np.ndarray, n: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+        """Phrases of each text (first, n: where its codes are) by language."""
+        total = np.zeros((len(self.langs), len(n)))
+        parts = -(-n // segment)
+        of = np.repeat(np.arange(len(n)), parts)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, size = first[of] + at * segment, np.minimum(segment, n[of] - at * segment)
+        order = np.argsort(-size, kind="stable")
+        alive = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")
+        follows = np.flatnonzero(at > 0)
+        for lang, flat in enumerate(self.tables):
+            dead = self.dead[lang]
+            begins = np.zeros(len(codes) + 1, np.int32)  # where phrases of the segments begin
+            state = np.full(len(of), dead, np.int32)
+            for p in range(len(alive)):
+                own = order[: int(alive[p])]
+                state[own], bad = self._step(flat, dead, state[own], codes[start[own] + p])
+                begins[start[own][bad] + p] = 1
+            upto = np.concatenate([[0], np.cumsum(begins[:-1])])
+            count = (upto[start + size] - upto[start]).astype(np.int64)
+            # carry the true parse over each joint
+            lane, s, p, lost = follows, state[follows - 1], 0, []
+            extra = np.zeros(len(of), np.int64)
+            while len(lane):
+                over = p >= size[lane]
+                if over.any():
+                    lost.append(lane[over])
+                    lane, s = lane[~over], s[~over]
+                    if not len(lane):
+                        break
+                s, bad = self._step(flat, dead, s, codes[start[lane] + p])
+                here = start[lane[bad]] + p
+                met = begins[here] == 1
+                # from here on the segment's own count holds
+                back = lane[bad][met]
+                count[back] = upto[start[back] + size[back]] - upto[start[back] + p]
+                extra[lane[bad][~met]] += 1
+                stay = np.ones(len(lane), bool)
+                stay[bad[met]] = False
+                lane, s, p = lane[stay], s[stay], p + 1
+            total[lang] = np.bincount(of, weights=count + extra, minlength=len(n))
+            for i in np.unique(of[np.concatenate(lost)]).tolist() if lost else ():
+                total[lang, i] = self.plain(codes[first[i] : first[i] + n[i]].tolist(), lang)
+        return total
+
+    @staticmethod
+    def _step(flat: np.ndarray, dead: int, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one character each, and which of them began a phrase with it."""
+        to = flat.take(state + c)
+        bad = np.flatnonzero(to < 0)
+        if len(bad):
+            again = flat.take(c[bad])
+            to[bad] = np.where(again < 0, dead, again)
+        return to, bad
+
     def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(costs by text and language, whether the text has a letter)."""
         low = [t.lower() for t in texts]
@@ -124,13 +182,7 @@ class Parser:
         codes, owner = codes[keep], owner[keep]
         n = np.bincount(owner, minlength=len(texts))
         first = np.cumsum(n) - n
-        segments = -(-n // SEGMENT)
-        of = np.repeat(np.arange(len(texts)), segments)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(segments) - segments, segments)
-        start, left = first[of] + at * SEGMENT, np.minimum(SEGMENT, n[of] - at * SEGMENT)
-        order = np.argsort(-left, kind="stable")
-        count = self.phrases(codes, start[order], left[order])
-        total = np.stack([np.bincount(of[order], weights=row, minlength=len(texts)) for row in count], 1) if self.langs else np.zeros((len(texts), 0))
+        total = self.phrases(codes, first, n).T
         return total * np.array(self.bits) / np.maximum(n, 1)[:, None], letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -143,17 +195,22 @@ class Parser:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, letters)], np.where(letters, share, 0.0)
 
 
-def learn(docs: DataFrame, held: str = HELD, sample_docs: int = 64, sample_chars: int = 32_768) -> dict[str, str]:
+def learn(docs: DataFrame, held: str = HELD, sample_docs: int = 64, sample_chars: int = 32_768, max_langs: int = 256) -> dict[str, str]:
     """The bounded sample of normalised text of each language."""
-    fit = docs.where(f"doc_id is not null and lang is not null and text is not null and not ({held})").select("doc_id", "lang")
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = cut(fit.distinct().withColumn("r", F.row_number().over(by)).where(F.col("r") <= sample_docs), "chosen")
-    rows = docs.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "r", F.substring("text", 1, 4 * sample_chars).alias("text"))
+    fit = docs.where(f"doc_id is not null and lang is not null and text is not null and not ({held})")
+    fit = fit.withColumn("h", F.xxhash64("doc_id"))
+    size = fit.groupBy("lang").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "lang").limit(max_langs)
+    # a share of each language by hash, so that no language is sorted whole
+    share = F.pmod("h", F.lit(1 << 30)) * F.col("size") <= F.lit(8 * sample_docs).cast("double") * (1 << 30)
+    some = fit.select("doc_id", "lang", "h").join(F.broadcast(size), "lang").where(share).select("doc_id", "lang", "h").distinct()
+    by = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = cut(some.withColumn("r", F.row_number().over(by)).where(F.col("r") <= sample_docs).drop("h"), "chosen")
+    room = sample_chars // 8  # no document fills more than an eighth of the sample
+    at = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - room, F.lit(0)) + 1).cast("int") + 1
+    rows = fit.select("doc_id", "lang", F.substring(F.col("text"), at, F.lit(room)).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "r", "text")
     out: dict[str, list[str]] = {}
-    for row in sorted(rows.collect(), key=lambda x: (x["lang"], x["r"], x["text"] or "")):
-        own, text = out.setdefault(row["lang"], []), normal(row["text"] or "")
-        room = sample_chars // 8
-        own.append(text[:room])  # no document fills more than an eighth of the sample
+    for row in sorted(rows.collect(), key=lambda x: (x["lang"], x["r"], x["text"])):
+        out.setdefault(row["lang"], []).append(normal(row["text"]))
     return {lang: " ".join(dict.fromkeys(t for t in parts if t))[:sample_chars] for lang, parts in out.items()}
 
 
@@ -177,7 +234,7 @@ def predict(docs: DataFrame, samples: dict[str, str], held: str = HELD) -> DataF
                 i = j
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
     return rows.select("doc_id", F.coalesce(F.expr(held), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 

@@ -1,14 +1,16 @@
 """Secret scans (operator 8), in DataFrame functions only.
 
 Base kinds are regexes: assign, access and hex. The method adds ``entropy`` spans: candidate
-strings of the base64 or hex alphabet are slid over by a window of WINDOW characters whose
+strings of the base64 alphabet fall into character classes (hex, letters alone in both cases,
+mixed) and are slid over by a window of WINDOW characters whose
 symbol counts are kept incrementally (one in, one out); the highest Shannon entropy of a
 window is held against the threshold of the candidate's character class, and candidates on
 the allow list (placeholders, runs, identifiers) are suppressed. The allow list never touches
 base spans.
 
 Positions: the pieces that ``split`` leaves around a regex's matches and the matches
-themselves, in turn, add up to code-point offsets.
+themselves, in turn, add up to code-point offsets. The running sums go by blocks of about the
+square root of their number, so many matches in one text cost no square.
 
 Defined cases: null text is empty; a text without secrets has zero counts, the digest of the
 empty string and an empty span list; overlapping spans of different kinds all count; repeated
@@ -27,30 +29,45 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "entropy"]
 
 WINDOW = 20
-#: Candidates mix letters and digits; a string of letters alone is a word, of digits a number.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
-IS_HEX = r"\A[0-9A-Fa-f]+\z"
-HEX_BITS, BASE64_BITS = 2.8, 3.7
+#: Candidates mix letters and digits, or capitals and small letters; digits alone are a number.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])|(?=[a-z]*[A-Z])(?=[A-Z]*[a-z]))[A-Za-z0-9+/_=-]{20,}"
+IS_HEX, IS_LETTERS = r"\A[0-9A-Fa-f]+\z", r"\A[A-Za-z]+\z"
+#: Bits a character of the richest window, by class; joined words stay below the letters' 4.1.
+HEX_BITS, LETTER_BITS, BASE64_BITS = 2.8, 4.1, 3.7
 SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 # The allow list, matched in lower case anywhere in a candidate.
 ALLOWED = r"example|sample|placeholder|changeme|dummy|your[_-]?|xxxx|0000000|1234567|abcdefg|\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 
 
-def _spans(text: str, regex: str, kind: int, keep=None):
-    """All matches as structs (start, kind, end, value) in order; ``keep`` filters values."""
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+def _sums(sizes):
+    """Running sums of a short array."""
+    return F.aggregate(sizes, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x)))
+
 
-    def grow(acc, x):
-        start = acc["end"] + F.length(x["piece"])
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("end"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+def running(sizes):
+    """Running sums of an array, by blocks of about the square root of its length."""
+    width = F.greatest(F.ceil(F.sqrt(F.size(sizes))).cast("int"), F.lit(1))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / width).cast("int")), lambda b: F.slice(sizes, b * width + 1, width))
+    inside = F.transform(blocks, _sums)
+    base = _sums(F.transform(inside, lambda x: F.element_at(x, -1)))
+    moved = F.transform(inside, lambda x, i: F.transform(x, lambda v: v + F.when(i > 0, F.get(base, i - 1)).otherwise(0)))
+    return F.when(F.size(sizes) > 0, F.flatten(moved)).otherwise(F.array().cast("array<int>"))
 
-    turns = F.arrays_zip(F.split(text, regex).alias("piece"), found.alias("value"))
-    turns = F.filter(turns, lambda x: x["value"].isNotNull())
-    out = F.aggregate(turns, F.struct(F.lit(0).alias("end"), none.alias("out")), grow, lambda a: a["out"])
-    out = F.filter(out, lambda s: keep(s["value"])) if keep else out
-    return F.when(F.col(text).rlike(regex), out).otherwise(none)
+
+def with_spans(rows: DataFrame, text: str, regex: str, kind: int, name: str, keep=None) -> DataFrame:
+    """``rows`` with all matches as structs (start, kind, end, value) in order, in the column
+    ``name``; ``keep`` filters values."""
+    own = rows.columns
+    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    some = F.col(text).rlike(regex)
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    # step by step, so that each array is made once
+    rows = rows.withColumn("_values", F.when(some, found))
+    rows = rows.withColumn("_turns", F.when(F.col("_values").isNotNull(), F.zip_with(F.slice(F.split(text, regex), F.lit(1), F.size("_values")), "_values", lambda p, v: F.length(p) + F.length(v))))
+    rows = rows.withColumn("_ends", running(F.col("_turns")))
+    spans = F.zip_with("_ends", "_values", lambda e, v: F.struct((e - F.length(v)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), v.alias("value")))
+    spans = F.filter(spans, lambda s: keep(s["value"])) if keep else spans
+    return rows.select(*own, F.when(F.col("_values").isNotNull(), spans).otherwise(none).alias(name))
 
 
 def _xlog(c):
@@ -77,7 +94,7 @@ def window_entropy(value):
 
 
 def _random(value):
-    limit = F.when(value.rlike(IS_HEX), HEX_BITS).otherwise(BASE64_BITS)
+    limit = F.when(value.rlike(IS_HEX), HEX_BITS).when(value.rlike(IS_LETTERS), LETTER_BITS).otherwise(BASE64_BITS)
     return ~F.lower(value).rlike(ALLOWED) & (window_entropy(value) >= limit)
 
 
@@ -89,13 +106,10 @@ def _joined(spans):
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy per row of ``docs``."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    rows = rows.select(
-        "doc_id",
-        _spans("t", ASSIGN, 0, lambda v: F.length(F.regexp_extract(v, ASSIGN, 1)) >= 6).alias("assign"),
-        _spans("t", ACCESS, 1).alias("access"),
-        _spans("t", HEX, 2).alias("hex"),
-        _spans("t", CANDIDATE, 3, _random).alias("entropy"),
-    )
+    rows = with_spans(rows, "t", ASSIGN, 0, "assign", lambda v: F.length(F.regexp_extract(v, ASSIGN, 1)) >= 6)
+    rows = with_spans(rows, "t", ACCESS, 1, "access")
+    rows = with_spans(rows, "t", HEX, 2, "hex")
+    rows = with_spans(rows, "t", CANDIDATE, 3, "entropy", _random).drop("t")
     base = F.array_sort(F.concat("assign", "access", "hex"))
     rows = rows.withColumns({"base": base, "every": F.array_sort(F.concat("assign", "access", "hex", "entropy"))})
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]

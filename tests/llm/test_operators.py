@@ -222,12 +222,30 @@ def test_language(docs, empty, spark):
     assert langid.languages(empty).count() == 0
 
 
-def test_phrases_by_hand():
-    p = langid.Parser({"x": "abcab"})
-    cost, _ = p.costs(["abcabz", "ab ab"])
-    bits = np.log2(7)
-    assert cost[0, 0] == pytest.approx(2 * bits / 6)  # abcab, then z, which no sample has
-    assert cost[1, 0] > 0
+def brute_phrases(text, sample):
+    """Longest match of the sample from where the last phrase ended, at least one letter."""
+    at = count = 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in sample and text[at] in sample:
+            n += 1
+        at, count = at + n, count + 1
+    return count
+
+
+def test_phrases_by_brute_force():
+    rng = np.random.default_rng(4)
+    word = lambda letters, n: "".join(rng.choice(list(letters), n))
+    samples = {"x": "abcab", "y": word("abcde ", 900).strip(), "z": "a" * 7}
+    samples = {k: " ".join(v.split()) for k, v in samples.items()}
+    p = langid.Parser(samples)
+    texts = ["abcabz", "ab ab", "a" * 3000, "q" * 1200, word("abc", 5), word("abcde", 513), word("abcde", 512), word("abcdeq ", 4000), word("ab", 2049), "abcab" * 400, ""]
+    texts = [" ".join(t.split()) for t in texts]
+    cost, _ = p.costs(texts)
+    for i, t in enumerate(texts):
+        for j, lang in enumerate(p.langs):
+            want = brute_phrases(t, samples[lang]) * np.log2(2 + len(samples[lang])) / max(1, len(t))
+            assert cost[i, j] == pytest.approx(want), (i, lang)
 
 
 def test_licenses(docs, empty):
@@ -295,6 +313,39 @@ def test_secrets(docs, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def brute_entropy_spans(t):
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t):
+        v = m[0]
+        first = re.match(r"[A-Za-z]*", v)[0]
+        if not (re.search("[0-9]", v) and re.search("[A-Za-z]", v) or re.match("[a-z]+[A-Z]|[A-Z]+[a-z]", first)):
+            continue
+        bits = secrets.HEX_BITS if re.fullmatch("[0-9A-Fa-f]+", v) else secrets.LETTER_BITS if v.isalpha() else secrets.BASE64_BITS
+        windows = [v[i : i + 20] for i in range(len(v) - 19)]
+        best = max(-sum(w.count(c) / 20 * np.log2(w.count(c) / 20) for c in set(w)) for w in windows)
+        if best >= bits and not re.search(secrets.ALLOWED.replace(r"\z", r"\Z"), v.lower()):
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_entropy_spans(spark):
+    rng = np.random.default_rng(8)
+    some = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"), n)) for n in (19, 20, 25, 40, 80)]
+    texts = [" ".join(some), "key=" + some[3] + "\n" + some[4] + ".", "A1" * 15, "thisIsALongCamelCaseIdentifierNameOfMine", "QwErTyUiOpAsDfGhJkLzXcVbNm", "0123456789" * 3, "myexample9Zx81kQvT7Lm4Kp8Rw3", "x" * 30, "3f786850e387550fdab836ed7e6dc881de23001b", "",
+             "".join(rng.choice(list("ab \n"), 400)) + some[2]]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        spans = [tuple(map(int, x.split(":")[1:])) for x in got[i].spans.split(",") if x.startswith("entropy")]
+        assert spans == brute_entropy_spans(t), i
+    assert sum(got[i].n_entropy for i in got) >= 6
+
+
+def test_many_secrets_in_one_text(spark):
+    one = "deadbeefdeadbeefdeadbeef00 x "
+    r = secrets.scan(spark.createDataFrame([(1, one * 50_000)], "doc_id long, text string")).select("n_hex", "spans").first()
+    assert r.n_hex == 50_000 and r.spans.endswith(f"hex:{len(one) * 49_999}:{len(one) * 49_999 + 26}")
+
+
 def test_window_entropy(spark):
     value = "Zx9Q2vT7Lm4Kp8Rw3Yb6aaaaaaaa"
     def h(s):
