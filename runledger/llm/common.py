@@ -90,8 +90,11 @@ def ascii_lower(col):
     return F.translate(col, _UPPER, _UPPER.lower())
 
 
-def slots(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def slots(df: DataFrame) -> int:
+    """Range partitions for the rows of ``df``: as many as it is read in, so their number grows
+    with the input, and no fewer than shuffles and cores."""
+    spark = df.sparkSession
+    return max(df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 @tidy

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import NON_SPACE_WORD, cut, slots
+from .common import NON_SPACE_WORD, cut, slots, tidy
 
 BINS, SHIFT, CHANCE = 128, 57, 1 / 16
 SHINGLE = 5
@@ -71,7 +71,7 @@ def _chain(docs: DataFrame) -> DataFrame:
     meta = with_fingerprint(_keyed(docs).select("k", "h", F.length("t").cast("long").alias("n"), "t"), "t", "fp").select("k", "h", "n", "fp")
     one = meta.groupBy("k", "h").agg(F.first("n").alias("n"), F.first("fp").alias("fp"))
     one = cut(one, "fingerprints")
-    at = one.select("k", "h").repartitionByRange(slots(docs.sparkSession), F.desc("k"), "h").sortWithinPartitions(F.desc("k"), "h").withColumn("pos", F.monotonically_increasing_id())
+    at = one.select("k", "h").repartitionByRange(slots(docs), F.desc("k"), "h").sortWithinPartitions(F.desc("k"), "h").withColumn("pos", F.monotonically_increasing_id())
     at = cut(at, "order")
     part = F.shiftright("pos", 33)
     ends = at.groupBy(part.alias("p")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
@@ -83,6 +83,7 @@ def _chain(docs: DataFrame) -> DataFrame:
     return cut(nxt.join(one, ["k", "h"]).join(after, ["nk", "nh"]), "chain")
 
 
+@tidy
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     chain = _chain(docs)

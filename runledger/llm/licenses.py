@@ -1,14 +1,18 @@
 """License scans by ordered signature rules (operator 5).
 
-Base: places where the words of a fixed phrase stand consecutively. The method adds an
-ordered list of hundreds of regexes, each with a label, a priority and a keyword; one
-Aho-Corasick pass finds the keywords of a text and only their rules run. Detections are
-taken in order of priority, then length, then place; one that lies inside a detection
-already taken is suppressed, so "bsd 3-clause license" does not also report "bsd".
+Base: places where the words of a fixed phrase stand consecutively. The method adds an ordered
+list of regexes, each with a label, a priority and a keyword; one Aho-Corasick pass finds the
+keywords of a text and only their rules run. A space in a rule stands for any run of white
+space and comment marks, so notices broken over lines match; a version is read as it is
+written ("v3", "version 2 or later") and normalised. The list is the product of license names
+and of the ways they are used, which carry the priorities, and of notices written one by one.
+Detections are taken in order of priority, then length, then place; one that lies inside a
+detection already taken is suppressed, so "bsd 3-clause license" does not also report "bsd".
+Containment is asked of a prefix-maximum tree over starts: n detections cost n log n.
 
 Defined cases: null text is empty: no words, no labels, score 0; first and last word are
 null without a base place; overlapping base places all count; repeated rows are scanned
-alike; other columns are ignored.
+alike; other columns are ignored; doc_id is cast to long.
 """
 
 from __future__ import annotations
@@ -21,82 +25,121 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textnum as tn
 
 # The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Label, keyword, how the name is written (a regex), versions it comes in.
+# Label, keyword, how the name is written (a regex), whether it comes in versions.
 FAMILIES = [
-    ("agpl", "affero", r"(?:gnu )?affero (?:general public|gpl) licen[cs]e|\bagpl\b", "1.0 3.0"),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) (?:general public|gpl) licen[cs]e", "2.0 2.1 3.0"),
-    ("lgpl", "lgpl", r"\blgpl\b", "2.0 2.1 3.0"),
-    ("gpl", "gpl", r"\b(?:gnu )?gpl\b", "1.0 2.0 3.0"),
-    ("gpl", "general public", r"(?:gnu )?general public licen[cs]e", "1.0 2.0 3.0"),
-    ("apache", "apache", r"apache(?: software)?(?: licen[cs]e)?", "1.0 1.1 2.0"),
-    ("mozilla", "mozilla", r"mozilla public licen[cs]e", "1.0 1.1 2.0"),
-    ("mozilla", "mpl", r"\bmpl\b", "1.0 1.1 2.0"),
-    ("eclipse", "eclipse", r"eclipse (?:public|distribution) licen[cs]e", "1.0 2.0"),
-    ("cddl", "cddl", r"\bcddl\b", "1.0 1.1"),
-    ("cddl", "common development", r"common development and distribution licen[cs]e", "1.0 1.1"),
-    ("artistic", "artistic", r"artistic licen[cs]e", "1.0 2.0"),
-    ("boost", "boost", r"boost software licen[cs]e", "1.0"),
-    ("bsd-2", "bsd", r"(?:2|two)[ -]clause bsd|bsd[ -](?:2|two)[ -]clause|simplified bsd", ""),
-    ("bsd-3", "bsd", r"(?:3|three)[ -]clause bsd|bsd[ -](?:3|three)[ -]clause|(?:new|modified|revised) bsd", ""),
-    ("bsd", "bsd", r"\bbsd\b", ""),
-    ("mit", "mit", r"\bmit\b", ""),
-    ("isc", "isc", r"\bisc\b", ""),
-    ("zlib", "zlib", r"\bzlib(?:/libpng)?\b", ""),
-    ("unlicense", "unlicense", r"\bunlicense\b", ""),
-    ("wtfpl", "wtfpl", r"\bwtfpl\b", "2.0"),
-    ("python", "python", r"python (?:software foundation|psf)", "2.0"),
-    ("openssl", "openssl", r"openssl", ""),
-    ("postgresql", "postgresql", r"postgresql", ""),
-    ("php", "php", r"\bphp\b", "3.0 3.01"),
-    ("ruby", "ruby", r"\bruby\b", ""),
-    ("ofl", "open font", r"(?:sil )?open font licen[cs]e", "1.0 1.1"),
-    ("eupl", "european union public", r"european union public licen[cs]e", "1.1 1.2"),
-    ("epl", "epl", r"\bepl\b", "1.0 2.0"),
-    ("odbl", "open database", r"open database licen[cs]e|\bodbl\b", "1.0"),
-    ("cc-by-nc-nd", "cc", r"\bcc[ -]by[ -]nc[ -]nd", "2.0 2.5 3.0 4.0"),
-    ("cc-by-nc-sa", "cc", r"\bcc[ -]by[ -]nc[ -]sa", "2.0 2.5 3.0 4.0"),
-    ("cc-by-nc", "cc", r"\bcc[ -]by[ -]nc", "2.0 2.5 3.0 4.0"),
-    ("cc-by-nd", "cc", r"\bcc[ -]by[ -]nd", "2.0 2.5 3.0 4.0"),
-    ("cc-by-sa", "cc", r"\bcc[ -]by[ -]sa", "2.0 2.5 3.0 4.0"),
-    ("cc-by", "cc", r"\bcc[ -]by\b", "2.0 2.5 3.0 4.0"),
-    ("cc0", "cc0", r"\bcc0\b", "1.0"),
+    ("agpl", "affero", r"(?:gnu )?affero (?:general public|gpl) licen[cs]e|\bagpl\b", True),
+    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) (?:general public|gpl) licen[cs]e", True),
+    ("lgpl", "lgpl", r"\blgpl\b", True),
+    ("gpl", "gpl", r"\b(?:gnu )?gpl\b", True),
+    ("gpl", "general public", r"(?:gnu )?general public licen[cs]e", True),
+    ("apache", "apache", r"apache(?: software)?(?: licen[cs]e)?", True),
+    ("mozilla", "mozilla", r"mozilla public licen[cs]e", True),
+    ("mozilla", "mpl", r"\bmpl\b", True),
+    ("eclipse", "eclipse", r"eclipse (?:public|distribution) licen[cs]e", True),
+    ("cddl", "cddl", r"\bcddl\b", True),
+    ("cddl", "common development", r"common development and distribution licen[cs]e", True),
+    ("artistic", "artistic", r"artistic licen[cs]e", True),
+    ("boost", "boost", r"boost software licen[cs]e", True),
+    ("bsd-2", "bsd", r"(?:2|two)[ -]clause bsd|bsd[ -](?:2|two)[ -]clause|simplified bsd", False),
+    ("bsd-3", "bsd", r"(?:3|three)[ -]clause bsd|bsd[ -](?:3|three)[ -]clause|(?:new|modified|revised) bsd", False),
+    ("bsd", "bsd", r"\bbsd\b", False),
+    ("mit", "mit", r"\bmit\b", False),
+    ("isc", "isc", r"\bisc\b", False),
+    ("zlib", "zlib", r"\bzlib(?:/libpng)?\b", False),
+    ("unlicense", "unlicense", r"\bunlicense\b", False),
+    ("wtfpl", "wtfpl", r"\bwtfpl\b", True),
+    ("python", "python", r"python (?:software foundation|psf)", True),
+    ("openssl", "openssl", r"openssl", False),
+    ("postgresql", "postgresql", r"postgresql", False),
+    ("php", "php", r"\bphp\b", True),
+    ("ruby", "ruby", r"\bruby\b", False),
+    ("ofl", "open font", r"(?:sil )?open font licen[cs]e", True),
+    ("eupl", "european union public", r"european union public licen[cs]e", True),
+    ("epl", "epl", r"\bepl\b", True),
+    ("odbl", "open database", r"open database licen[cs]e|\bodbl\b", True),
+    ("cc-by-nc-nd", "cc", r"\bcc[ -]by[ -]nc[ -]nd", True),
+    ("cc-by-nc-sa", "cc", r"\bcc[ -]by[ -]nc[ -]sa", True),
+    ("cc-by-nc", "cc", r"\bcc[ -]by[ -]nc", True),
+    ("cc-by-nd", "cc", r"\bcc[ -]by[ -]nd", True),
+    ("cc-by-sa", "cc", r"\bcc[ -]by[ -]sa", True),
+    ("cc-by", "cc", r"\bcc[ -]by\b", True),
+    ("cc0", "cc0", r"\bcc0\b", True),
 ]
 # How a name is used, and the priority that use gives.
 USES = [
-    (60, r"spdx-license-identifier:\s*{n}{v}"),
-    (50, r"(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{n}{v}(?: licen[cs]e)?"),
-    (40, r"(?:this (?:work|program|file|software|text)|it) is (?:under|covered by) (?:the )?{n}{v}(?: licen[cs]e)?"),
+    (60, r"spdx-license-identifier: ?{n}{v}"),
+    (50, r"(?:licen[cs]ed|released|distributed|available|published|provided|offered|redistributable)(?: to you)? under (?:the )?(?:(?:terms|conditions) of (?:the )?)?{n}{v}(?: licen[cs]e)?"),
+    (45, r"(?:terms|conditions) of (?:the )?{n}{v}(?: licen[cs]e)?"),
+    (40, r"(?:this (?:work|program|file|software|text|library|project|code|module|document)|it) is (?:licen[cs]ed )?(?:under|covered by|subject to) (?:the )?{n}{v}(?: licen[cs]e)?"),
     (30, r"(?:see|under) the {n}{v}(?: licen[cs]e)? for"),
+    (28, r"licen[cs]e: ?{n}{v}"),
     (20, r"{n}{v},? licen[cs]e"),
     (10, r"{n}{v}"),
 ]
+# A version as it is written after a name.
+VERSION = r"(?:,? ?(?:version |ver\.? ?|v\.? ?)|[- ])(?P<v>[0-9]{1,2}(?:\.[0-9]{1,2}){0,2})(?![0-9])(?:\+|,? or (?:\(at your option\) )?(?:any )?later(?: version)?)?"
+# Names that say nothing when they stand alone.
+COMMON = "mit isc php ruby postgresql openssl zlib apache python".split()
 # Priority, label, keyword, regex of notices that stand on their own.
 NOTICES = [
-    (35, "mit", "permission is hereby granted", r"permission is hereby granted, free of charge"),
+    (35, "mit", "permission is hereby granted", r"permission is hereby granted,? free of charge"),
+    (36, "mit", "the software is provided", r"the software is provided \W?as is\W?,? without warranty of any kind"),
+    (36, "mit", "permission notice shall be", r"the above copyright notice and this permission notice shall be included"),
     (35, "isc", "permission to use", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose"),
+    (36, "isc", "with or without fee", r"with or without fee is hereby granted"),
     (35, "bsd", "redistribution and use", r"redistribution and use in source and binary forms"),
-    (35, "apache", "apache.org/licenses", r"apache\.org/licenses/license-2\.0"),
-    (35, "gpl", "gnu.org/licenses", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
-    (35, "lgpl", "gnu.org/licenses", r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
+    (36, "bsd-3", "endorse or promote", r"(?:neither the name|the names?) [^.]{0,200}endorse or promote products derived"),
+    (35, "bsd", "binary form must", r"redistributions in binary form must reproduce"),
+    (35, "bsd", "source code must retain", r"redistributions of source code must retain"),
+    (37, "bsd-4", "advertising materials", r"all advertising materials mentioning features"),
+    (35, "apache-2.0", "apache.org/licenses", r"apache\.org/licenses/license-2\.0"),
+    (34, "apache", "apache software foundation", r"licen[cs]ed to the apache software foundation"),
+    (36, "apache-2.0", "contributor license", r"one or more contributor licen[cs]e agreements"),
+    (35, "gpl", "gnu.org/licenses", r"gnu\.org/(?:licenses|copyleft)/(?:old-licenses/)?gpl"),
+    (35, "lgpl", "gnu.org/licenses", r"gnu\.org/(?:licenses|copyleft)/(?:old-licenses/)?lgpl"),
+    (35, "agpl", "gnu.org/licenses", r"gnu\.org/licenses/agpl"),
+    (35, "gfdl", "gnu.org/licenses", r"gnu\.org/(?:licenses|copyleft)/fdl"),
+    (34, "gpl", "free software; you can", r"this (?:program|library|file) is free software[;:,] you can redistribute it"),
+    (33, "gpl", "free software foundation", r"as published by the free software foundation"),
+    (33, "gpl", "merchantability or fitness", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
+    (35, "mpl-2.0", "mozilla.org", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
+    (36, "mozilla-2.0", "source code form is", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    (35, "eclipse", "eclipse.org/legal", r"eclipse\.org/legal/epl"),
+    (35, "boost-1.0", "boost.org/license", r"boost\.org/license_1_0"),
+    (35, "unlicense", "unlicense.org", r"unlicense\.org"),
+    (34, "unlicense", "unencumbered software", r"free and unencumbered software released into the public domain"),
+    (35, "wtfpl", "what the fuck", r"do what the fuck you want to public licen[cs]e"),
+    (35, "zlib", "origin of this software", r"the origin of this software must not be misrepresented"),
+    (35, "zlib", "altered source versions", r"altered source versions must be plainly marked"),
     (35, "cc-by", "creativecommons.org", r"creativecommons\.org/licenses/by/[0-9.]+"),
     (35, "cc-by-sa", "creativecommons.org", r"creativecommons\.org/licenses/by-sa/[0-9.]+"),
     (35, "cc-by-nc", "creativecommons.org", r"creativecommons\.org/licenses/by-nc/[0-9.]+"),
+    (35, "cc-by-nd", "creativecommons.org", r"creativecommons\.org/licenses/by-nd/[0-9.]+"),
+    (35, "cc-by-nc-sa", "creativecommons.org", r"creativecommons\.org/licenses/by-nc-sa/[0-9.]+"),
+    (35, "cc-by-nc-nd", "creativecommons.org", r"creativecommons\.org/licenses/by-nc-nd/[0-9.]+"),
+    (35, "cc0", "creativecommons.org", r"creativecommons\.org/publicdomain/zero"),
     (35, "cc-by", "creative commons", r"creative commons attribution(?: [0-9.]+)?(?: international)?(?: licen[cs]e)?"),
     (45, "cc-by-sa", "creative commons", r"creative commons attribution[ -]share ?alike(?: [0-9.]+)?"),
     (45, "cc-by-nc", "creative commons", r"creative commons attribution[ -]non ?commercial(?: [0-9.]+)?"),
+    (46, "cc-by-nc-sa", "creative commons", r"creative commons attribution[ -]non ?commercial[ -]share ?alike(?: [0-9.]+)?"),
+    (45, "cc-by-nd", "creative commons", r"creative commons attribution[ -]no ?deriv(?:ative)?s?(?: [0-9.]+)?"),
     (25, "public-domain", "public domain", r"(?:released|placed|dedicated)? ?(?:in|into|to)? ?(?:the )?public domain"),
     (25, "reserved", "rights reserved", r"all rights reserved"),
     (15, "reserved", "rights reserved", r"some rights reserved"),
     (15, "copyright", "copyright", r"copyright (?:\(c\)|©)? ?[12][0-9]{3}"),
     (15, "copyright", "©", r"© ?[12][0-9]{3}"),
     (25, "proprietary", "confidential", r"proprietary and confidential|confidential and proprietary"),
-    (25, "proprietary", "may not be reproduced", r"may not be (?:reproduced|copied|distributed) without"),
+    (25, "proprietary", "may not be", r"may not be (?:reproduced|copied|distributed|disclosed|modified) without"),
+    (25, "proprietary", "unauthorized", r"unauthorized (?:copying|use|distribution|reproduction) of this (?:file|software|work|document)"),
+    (25, "proprietary", "trade secret", r"contains? (?:confidential |proprietary )?trade secrets?"),
+    (25, "proprietary", "end user license", r"end user licen[cs]e agreement"),
 ]
 
 
@@ -108,22 +151,31 @@ class Rule:
     regex: re.Pattern
 
 
+def _compiled(pattern: str) -> re.Pattern:
+    """A space stands for white space and comment marks; one that may be missing may be more."""
+    return re.compile(pattern.replace("[ -]", r"[\s-]").replace(" ?", r"[\s*#/;]*").replace(" ", r"[\s*#/;]+"))
+
+
 @lru_cache(maxsize=1)
 def rules() -> list[Rule]:
-    """Families x versions x uses, and the notices, in order of priority."""
+    """Names x uses, with and without a version, and the notices, in order of priority."""
     out = []
     for label, keyword, name, versions in FAMILIES:
-        for v in [*versions.split(), ""]:
-            tail = rf"(?:,? (?:version |v\.? ?)?|-){re.escape(v)}(?![0-9])" if v else ""
+        for tail in (VERSION, "") if versions else ("",):
             for priority, use in USES:
-                if not v and label in ("mit", "isc", "php", "ruby", "postgresql", "openssl", "zlib", "apache", "python") and priority == 10:
-                    continue  # the bare word alone says nothing
+                if not tail and label in COMMON and priority == 10:
+                    continue
                 full = use.replace("{n}", f"(?:{name})").replace("{v}", tail)
-                out.append(Rule(priority + (3 if v else 0), label + (f"-{v}" if v else ""), keyword, re.compile(full)))
-    out += [Rule(p, label, k, re.compile(x)) for p, label, k, x in NOTICES]
+                out.append(Rule(priority + (3 if tail else 0), label, keyword, _compiled(full)))
+    out += [Rule(p, label, k, _compiled(x)) for p, label, k, x in NOTICES]
     return sorted(out, key=lambda r: -r.priority)
 
 
+def versioned(label: str, m: re.Match) -> str:
+    v = m.groupdict().get("v")
+    return label if not v else f"{label}-{v}" if "." in v else f"{label}-{v}.0"
+
+
 @lru_cache(maxsize=1)
 def _gate() -> tuple[ahocorasick.Automaton, dict[str, list[int]]]:
     by: dict[str, list[int]] = {}
@@ -136,21 +188,47 @@ def _gate() -> tuple[ahocorasick.Automaton, dict[str, list[int]]]:
     return found, by
 
 
-def detect(text: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, label, priority) of the detections that stand, in order of place."""
+class Contained:
+    """Intervals taken so far; asks whether one lies inside any of them. A tree over the starts
+    keeps, for every prefix of them, the largest end."""
+
+    def __init__(self, starts: list[int]):
+        self.place = {x: i + 1 for i, x in enumerate(sorted(set(starts)))}
+        self.top = [0] * (len(self.place) + 1)
+
+    def take(self, a: int, b: int) -> bool:
+        """Take a..b unless an interval taken before contains it."""
+        i, end = self.place[a], 0
+        while i:
+            end = max(end, self.top[i])
+            i -= i & -i
+        if end >= b:
+            return False
+        i = self.place[a]
+        while i < len(self.top):
+            self.top[i] = max(self.top[i], b)
+            i += i & -i
+        return True
+
+
+def hits_of(text: str) -> list[tuple[int, int, int, int, str]]:
+    """(-priority, -length, start, end, label) of every match of the rules whose keyword the
+    text holds, in the order in which they are taken."""
     found, by = _gate()
-    keys = {k for _, k in found.iter(text)}
-    hits = []
+    flat = re.sub(r"[\s*#/;]+", " ", text) if any(c in text for c in "\n\t*#;") else text
+    keys = {k for t in {text, flat} for _, k in found.iter(t)}
+    out = []
     for i in sorted(i for k in keys for i in by[k]):
         r = rules()[i]
-        hits += [(-r.priority, m.start() - m.end(), m.start(), m.end(), i) for m in r.regex.finditer(text)]
-    taken: list[tuple[int, int, str, int]] = []
-    starts: dict[int, int] = {}
-    for p, _, a, b, i in sorted(hits):
-        if not any(x <= a and b <= y for x, y, _, _ in taken[-4:]) and not any(x <= a and b <= y for x, y in starts.items()):
-            taken.append((a, b, rules()[i].label, -p))
-            starts[a] = max(b, starts.get(a, 0))
-    return sorted(taken)
+        out += [(-r.priority, m.start() - m.end(), m.start(), m.end(), versioned(r.label, m)) for m in r.regex.finditer(text)]
+    return sorted(out)
+
+
+def detect(text: str) -> list[tuple[int, int, str, int]]:
+    """(start, end, label, priority) of the detections that stand, in order of place."""
+    hits = hits_of(text)
+    taken = Contained([h[2] for h in hits])
+    return sorted((a, b, label, -p) for p, _, a, b, label in hits if taken.take(a, b))
 
 
 def _scan(batches):
@@ -188,4 +266,4 @@ def _scan(batches):
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score per row."""
-    return docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -56,11 +56,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, which stands beside the package and is imported when run."""
     import corpus_pipeline
 
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_token_grammar, op2_line_dedup, op3_source_mix, op4_language, op5_licenses, op6_decontaminate, op7_fingerprint, op8_secrets, op9_ngram_join, op10_toxicity]
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,7 +34,6 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za
 IS_HEX, IS_LETTERS = r"\A[0-9A-Fa-f]+\z", r"\A[A-Za-z]+\z"
 #: Bits a character of the richest window, by class; joined words stay below the letters' 4.1.
 HEX_BITS, LETTER_BITS, BASE64_BITS = 2.8, 4.1, 3.7
-SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 # The allow list, matched in lower case anywhere in a candidate.
 ALLOWED = r"example|sample|placeholder|changeme|dummy|your[_-]?|xxxx|0000000|1234567|abcdefg|\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 
@@ -49,8 +48,9 @@ def running(sizes):
     width = F.greatest(F.ceil(F.sqrt(F.size(sizes))).cast("int"), F.lit(1))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / width).cast("int")), lambda b: F.slice(sizes, b * width + 1, width))
     inside = F.transform(blocks, _sums)
-    base = _sums(F.transform(inside, lambda x: F.element_at(x, -1)))
-    moved = F.transform(inside, lambda x, i: F.transform(x, lambda v: v + F.when(i > 0, F.get(base, i - 1)).otherwise(0)))
+    # where each block begins; zip_with makes both of its arrays once, a lambda would for each element
+    begins = F.concat(F.array(F.lit(0)), _sums(F.transform(inside, lambda x: F.element_at(x, -1))))
+    moved = F.zip_with(inside, F.slice(begins, F.lit(1), F.size(begins) - 1), lambda x, b: F.transform(x, lambda v: v + b))
     return F.when(F.size(sizes) > 0, F.flatten(moved)).otherwise(F.array().cast("array<int>"))
 
 
@@ -75,20 +75,23 @@ def _xlog(c):
 
 
 def window_entropy(value):
-    """Highest Shannon entropy, in bits, of WINDOW consecutive characters of a candidate."""
-    place = lambda i: F.instr(F.lit(SYMBOLS), F.substring(value, i, F.lit(1)))
-    zero = F.struct(F.array_repeat(F.lit(0), len(SYMBOLS)).alias("c"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+    """Highest Shannon entropy, in bits, of WINDOW consecutive characters of a candidate.
+
+    A step takes one character in and one out and adjusts the sum of c * log2(c) by what their
+    two counts become; the characters ride in the accumulator, so they are split once."""
+    zero = F.struct(F.split(value, "").alias("x"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+
+    def count(x, first, size, c):
+        return F.size(F.filter(F.slice(x, first, size), lambda v: v == c))
 
     def step(acc, i):
-        new, old = place(i), F.when(i > WINDOW, place(i - WINDOW)).otherwise(0)
-        count = lambda k: F.get(acc["c"], k - 1)
-        added = acc["s"] + _xlog(count(new) + 1) - _xlog(count(new))
-        left = count(old) + F.when(old == new, 1).otherwise(0)
-        s = F.when(old > 0, added + _xlog(left - 1) - _xlog(left)).otherwise(added)
-        c = F.transform(acc["c"], lambda v, j: v + F.when(j + 1 == new, 1).otherwise(0) - F.when(j + 1 == old, 1).otherwise(0))
+        x, begin = acc["x"], F.greatest(i - WINDOW, F.lit(1))
+        more = count(x, begin, i - begin, F.element_at(x, i))
+        s = acc["s"] + _xlog(more + 1) - _xlog(more)
+        less = count(x, begin, i - begin + 1, F.element_at(x, begin))
+        s = F.when(i > WINDOW, s + _xlog(less - 1) - _xlog(less)).otherwise(s)
         bits = F.log2(F.lit(float(WINDOW))) - s / WINDOW
-        best = F.when(i >= WINDOW, F.greatest(acc["best"], bits)).otherwise(acc["best"])
-        return F.struct(c.alias("c"), s.alias("s"), best.alias("best"))
+        return F.struct(x.alias("x"), s.alias("s"), F.when(i >= WINDOW, F.greatest(acc["best"], bits)).otherwise(acc["best"]).alias("best"))
 
     return F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda a: a["best"])
 

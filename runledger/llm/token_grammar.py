@@ -7,8 +7,8 @@ nonterminals, until no pair occurs often enough to pay. The block's payload hold
 rules, their expansion lengths, the start of each document in symbols and in ids, and the
 symbol sequence, so one document (or one id) decodes without the rest of the block.
 
-Files are Parquet tables of blocks (shard, block, first_id, n_docs, n_tokens, payload),
-written by Spark's committer and therefore safe against lost executors and repeated tasks.
+Files are Parquet tables of blocks (shard, block, min_id, max_id, n_docs, n_tokens, payload),
+the smallest and largest doc_id of a block beside its payload, written by Spark's committer and therefore safe against lost executors and repeated tasks.
 
 Payload, little-endian: magic ``RPG1``, uint32 counts (docs, rules, symbols), then arrays:
 ids int64[docs], id present uint8[docs], symbol start uint32[docs + 1], id start
@@ -46,7 +46,7 @@ MAGIC, FIRST_RULE, END_ID = b"RPG1", 1 << 17, 2
 BLOCK_TOKENS = 1 << 20
 #: Texts encoded in one call of the library.
 GROUP = 512
-BLOCKS = "shard int, block int, first_id long, n_docs int, n_tokens long, payload binary"
+BLOCKS = "shard int, block int, min_id long, max_id long, n_docs int, n_tokens long, payload binary"
 
 
 class Pieces(dict):
@@ -266,9 +266,10 @@ def _encode(path: str, block_tokens: int):
 
         def flush():
             nonlocal block, ids, docs, total
-            row = [[shard], [block], [ids[0]], [len(ids)], [total], [pack(ids, docs)]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            out = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["shard", "block", "first_id", "n_docs", "n_tokens", "payload"])
+            known = [i for i in ids if i is not None]
+            row = [[shard], [block], [min(known, default=None)], [max(known, default=None)], [len(ids)], [total], [pack(ids, docs)]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            out = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["shard", "block", "min_id", "max_id", "n_docs", "n_tokens", "payload"])
             block, ids, docs, total = block + 1, [], [], 0
             return out
 
@@ -291,7 +292,7 @@ def _encode(path: str, block_tokens: int):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode every text of ``docs`` in ascending doc_id order into block files under ``path``."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(slots(docs.sparkSession), F.col("doc_id").asc_nulls_first())
+    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(slots(docs), F.col("doc_id").asc_nulls_first())
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     # payloads are grammar-coded bytes already; zstd takes what the byte planes leave
     rows.mapInArrow(_encode(tokenizer, block_tokens), BLOCKS).write.option("compression", "zstd").parquet(path)
@@ -323,9 +324,13 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tokens_of(spark: SparkSession, path: str, doc_id: int) -> list[int]:
-    """Random access: the ids of one document, reading only blocks that may hold it."""
-    for row in spark.read.schema(BLOCKS).parquet(path).where(F.col("first_id") <= doc_id).orderBy(F.desc("first_id"), F.desc("shard"), F.desc("block")).limit(2).toLocalIterator():
-        b = Block(bytes(row["payload"]))
+    """Random access: the ids of the first document under ``doc_id``. Blocks are found by their
+    smallest and largest id, which Parquet's statistics prune; payloads are read of one block
+    at a time, in order, until one holds the document."""
+    files = spark.read.schema(BLOCKS).parquet(path)
+    may = files.where((F.col("min_id") <= doc_id) & (F.col("max_id") >= doc_id))
+    for shard, block in may.select("shard", "block").orderBy("shard", "block").toLocalIterator():
+        b = Block(bytes(may.where((F.col("shard") == shard) & (F.col("block") == block)).select("payload").first()[0]))
         for i in np.flatnonzero((b.ids == doc_id) & (b.known == 1)):
             return b.document(int(i)).tolist()
     return []

@@ -1,29 +1,36 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 10).
 
-Words map to symbols through a lexicon: insults and threats (given ones, and word stems
-learned from labelled rows), targets, negations and reported-speech verbs. Each clause
-(text between ``. ! ? ; :`` or line ends) runs through a small composition of transducers:
-
-* insult and threat add their weight to the clause, more with a target near them;
-* a negation within three words before an insult turns its weight down;
-* a reported-speech verb earlier in the clause turns the whole clause down.
-
-Matched clauses, not isolated words, are scored; a text's features are the strength of its
-matched clauses and their number, and a logistic curve fitted on labelled rows turns them
-into a score. Learning counts each stem's documents by label with map-side combine; the
+Four small machines, each with its own states and arcs, are composed into one:
+
+* the *lexicon* reads a word and writes a symbol: insult or threat (given words, and word stems
+  learned from labelled rows, with weights), target, intent, negation, report verb, or other;
+* *negation* marks insults and threats that stand within three words after a negation;
+* *report* marks those that stand after a reported-speech verb;
+* *patterns* accepts clauses: a target up to four words before an insult, an insult up to three
+  words before its target, a threat up to three words before its target, a target followed by
+  intent and a threat, and, at BARE of its weight, an insult with no target in reach (the
+  target is then whoever is addressed). A threat word alone is no pattern and counts nothing.
+
+Arcs multiply a word's weight by a factor (NEGATED, QUOTED, AIMED, BARE) and a clause's strength
+is the best sum over the paths of the composed machine that end with no pattern half done. A
+clause is the text between ``. ! ? ; :`` or line ends. Matched clauses, not isolated words, are
+scored; a text's features are the strength of its matched clauses and their number, and a
+logistic curve fitted on labelled rows turns them into a score. Learning counts each stem's documents by label with map-side combine; the
 lexicon kept is at most ``max_stems`` entries, and the curve is fitted from a histogram of
 at most 2 x BINS cells, so what reaches the driver has a fixed bound. The labelled rows that
 teach are a hash-chosen sample of about ``sample`` rows (20,000); every row is scored.
 
 Defined cases: null and empty texts, and texts without a match, score the curve's base;
 without any labelled row the given lexicon and a default curve are used; repeated labels of
-a document count once each; a null label or doc_id teaches nothing; other columns are ignored.
+a document count once each; a null label or doc_id teaches nothing; other columns are ignored
+(all are kept by ``without_toxic``); doc_id is cast to long.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -38,12 +45,13 @@ INSULT = "idiot moron stupid loser scum trash worthless pathetic disgusting clow
 THREAT = "kill hurt destroy beat smash punish burn".split()
 TARGET = "you your yours he she they him her them his their people guy man woman".split()
 NEGATION = "not no never isn't aren't wasn't don't doesn't didn't nor without".split()
+INTENT = "will would should must gonna going want wants ll deserve deserves".split()
 REPORTED = "said says say told tells wrote writes claimed claims reported reports quoted according".split()
 
 #: Stem lengths that are learned, besides whole words.
 STEMS = (4, 5, 6, 7, 8)
 BINS = 8
-NEGATED, QUOTED, AIMED = 0.3, 0.5, 1.25
+NEGATED, QUOTED, AIMED, BARE = 0.3, 0.5, 1.25, 0.8
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 
@@ -74,40 +82,138 @@ def _stem_counts(batches):
     yield from portion()
 
 
+@dataclass
+class Machine:
+    """A weighted finite-state transducer. ``arcs[state][symbol]`` lists (symbol written, factor
+    on the word's weight, next state); paths start in ``start`` and must end in ``finals``."""
+
+    start: object
+    finals: set
+    arcs: dict
+
+    def add(self, state, symbols, to, factor: float = 0.0, write=None) -> None:
+        for x in symbols:
+            self.arcs.setdefault(state, {}).setdefault(x, []).append((write or x, factor, to))
+
+
+def compose(a: Machine, b: Machine) -> Machine:
+    """Reads what a reads, writes what b writes of it; factors multiply. Only states that can
+    be reached are built. An arc of factor 1 in a leaves the weight to b."""
+    start = (a.start, b.start)
+    out, todo = Machine(start, set(), {}), [start]
+    seen = {start}
+    while todo:
+        state = p, q = todo.pop()
+        if p in a.finals and q in b.finals:
+            out.finals.add(state)
+        for x, moves in a.arcs.get(p, {}).items():
+            for y, f, p2 in moves:
+                for z, g, q2 in b.arcs.get(q, {}).get(y, ()):
+                    out.add(state, [x], (p2, q2), f * g, z)
+                    if (p2, q2) not in seen:
+                        seen.add((p2, q2))
+                        todo.append((p2, q2))
+    return out
+
+
+#: Symbols: insult, threat, target, intent, negation, report verb, other. A mark is written
+#: behind an insult or threat: - negated, q reported.
+PLAIN = ["P", "M", "N", "R", "X"]
+MARKED = {"I": ["I", "I-", "Iq", "I-q"], "T": ["T", "T-", "Tq", "T-q"]}
+
+
+def negation() -> Machine:
+    m = Machine(0, {0, 1, 2, 3}, {})
+    for left in range(4):
+        m.add(left, ["N"], 3, 1.0)
+        m.add(left, [x for x in PLAIN if x != "N"], max(0, left - 1), 1.0)
+        for x in "IT":
+            m.add(left, [x], max(0, left - 1), NEGATED if left else 1.0, x + "-" if left else x)
+    return m
+
+
+def report() -> Machine:
+    m = Machine(False, {False, True}, {})
+    for open_ in (False, True):
+        m.add(open_, ["R"], True, 1.0)
+        m.add(open_, [x for x in PLAIN if x != "R"], open_, 1.0)
+        for x in ("I", "I-", "T", "T-"):
+            m.add(open_, [x], open_, QUOTED if open_ else 1.0, x + "q" if open_ else x)
+    return m
+
+
+def patterns() -> Machine:
+    """States: idle; after a target with k words of reach left (t); an insult (w) or a threat
+    (v) that still needs its target within k words; a target that waits for intent (s is the
+    same as t) and then a threat (m). Half-done states w and v are not final."""
+    insult, threat = MARKED["I"], MARKED["T"]
+    every = [*PLAIN, *insult, *threat]
+    idle = "idle"
+    t, m_ = [("t", k) for k in range(5)], [("m", k) for k in range(4)]
+    out = Machine(idle, {idle, *t, *m_}, {})
+    # any state may let a word pass; a target opens its reach anew
+    for state, after in [(idle, idle), *((t[k], t[k - 1] if k > 1 else idle) for k in range(1, 5)), *((m_[k], m_[k - 1] if k > 1 else idle) for k in range(1, 4))]:
+        out.add(state, [x for x in every if x != "P"], after)
+        out.add(state, ["P"], t[4])
+        # an insult without a target in reach, and one that finds its target behind it
+        out.add(state, insult, after, BARE)
+        out.add(state, insult, ("w", 3), AIMED)
+        out.add(state, threat, ("v", 3), AIMED)
+        if state != idle:
+            out.add(state, insult, after, AIMED)
+        if state in t:
+            out.add(state, ["M"], m_[3])
+        if state in m_:
+            out.add(state, threat, after, AIMED)
+    for wait in "wv":
+        for k in range(1, 4):
+            out.add((wait, k), ["P"], t[4])
+            if k > 1:
+                out.add((wait, k), [x for x in every if x != "P"], (wait, k - 1))
+    return out
+
+
 class Grammar:
-    """The composed transducers over one lexicon; ``features`` runs a text through them."""
+    """The composed machine over one lexicon; ``features`` runs a text through it."""
 
     def __init__(self, stems: dict[str, float]):
-        self.words = {w: 2.0 for w in INSULT} | {w: 1.0 for w in THREAT} | {s[1:]: x for s, x in stems.items() if s[0] == "="}
+        self.words = {w: 2.0 for w in INSULT} | {s[1:]: x for s, x in stems.items() if s[0] == "=" and s[1:] not in THREAT}
+        self.threats = {w: 2.0 for w in THREAT}
         self.stems = {s: x for s, x in stems.items() if s[0] != "="}
         self.sizes = sorted({len(s) for s in self.stems})
-        self.symbol = {w: "t" for w in TARGET} | {w: "n" for w in NEGATION} | {w: "r" for w in REPORTED}
+        self.symbol = {w: "P" for w in TARGET} | {w: "N" for w in NEGATION} | {w: "R" for w in REPORTED} | {w: "M" for w in INTENT}
         self.near = ahocorasick.Automaton()
-        for k in {*self.words, *self.stems}:
+        for k in {*self.words, *self.stems, *self.threats}:
             self.near.add_word(k, len(k))
         self.near.make_automaton()
-
-    def weight(self, word: str) -> float:
+        self.machine = compose(compose(negation(), report()), patterns())
+
+    def reads(self, word: str) -> tuple[str, float]:
+        """The lexicon: symbol and weight of a word."""
+        if word in self.symbol:
+            return self.symbol[word], 0.0
+        if word in self.threats:
+            return "T", self.threats[word]
         best = self.words.get(word, 0.0)
         for k in self.sizes:
             if k > len(word):
                 break
             best = max(best, self.stems.get(word[:k], 0.0))
-        return best
+        return ("I", best) if best else ("X", 0.0)
 
     def clause(self, words: list[str]) -> float:
-        """The clause's strength: states are the distance from the last negation and from the
-        last target, and whether reported speech was opened."""
-        total, negation, target, quoted = 0.0, 99, 99, False
+        """The best sum over the machine's paths."""
+        at = {self.machine.start: 0.0}
         for w in words:
-            s = self.symbol.get(w)
-            negation, target = (0 if s == "n" else negation + 1), (0 if s == "t" else target + 1)
-            quoted |= s == "r"
-            if x := self.weight(w):
-                x *= NEGATED if negation <= 3 else 1.0
-                x *= AIMED if target <= 4 else 1.0
-                total += x * (QUOTED if quoted else 1.0)
-        return total
+            x, weight = self.reads(w)
+            step: dict = {}
+            for state, total in at.items():
+                for _, factor, to in self.machine.arcs[state].get(x, ()):
+                    v = total + factor * weight
+                    if v > step.get(to, -1.0):
+                        step[to] = v
+            at = step
+        return max((v for s, v in at.items() if s in self.machine.finals), default=0.0)
 
     def features(self, text: str | None) -> tuple[float, int]:
         low = (text or "").lower()
@@ -164,9 +270,14 @@ def learn(labelled: DataFrame, min_docs: int = 5, min_ratio: float = 40.0, max_s
     return stems, [float(v) for v in np.maximum.accumulate(rate)]
 
 
+def _scores(strength: np.ndarray, curve: list[float]) -> np.ndarray:
+    """The bin's rate; within a bin stronger texts score slightly higher."""
+    base = np.array([curve[_bin(s)] for s in strength], float)
+    return np.clip(base + 1e-3 * (1 - np.exp(-strength)), 0, 1)
+
+
 def score(docs: DataFrame, stems: dict[str, float], curve: list[float]) -> DataFrame:
-    """doc_id, score, strength and n_clauses of every row. Within a strength bin stronger
-    texts score slightly higher."""
+    """doc_id, score, strength and n_clauses of every row."""
     model = docs.sparkSession.sparkContext.broadcast((Grammar(stems), curve))
 
     def run(batches):
@@ -174,11 +285,9 @@ def score(docs: DataFrame, stems: dict[str, float], curve: list[float]) -> DataF
         for batch in batches:
             out = [grammar.features(t) for t in batch.column(1).to_pylist()]
             strength = np.array([s for s, _ in out], float)
-            base = np.array([rate[_bin(s)] for s in strength], float)
-            fine = np.clip(base + 1e-3 * (1 - np.exp(-strength)), 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.float64()), pa.array(strength, pa.float64()), pa.array([c for _, c in out], pa.int64())], ["doc_id", "score", "strength", "n_clauses"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(strength, rate), pa.float64()), pa.array(strength, pa.float64()), pa.array([c for _, c in out], pa.int64())], ["doc_id", "score", "strength", "n_clauses"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, strength double, n_clauses long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, strength double, n_clauses long")
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, held: str, sample: int = 20_000) -> DataFrame:
@@ -207,7 +316,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     def run(batches):
         grammar, rate = model.value
         for batch in batches:
-            keep = [rate[_bin(grammar.features(t)[0])] + 1e-3 < threshold for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            keep = _scores(np.array([grammar.features(t)[0] for t in texts], float), rate) < threshold
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

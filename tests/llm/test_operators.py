@@ -64,6 +64,19 @@ def test_tokens(docs, empty, spark, tmp_path):
     assert token_grammar.token_table(empty, queries.tokenizer_path()).count() == 0
 
 
+def test_random_access(spark, tmp_path):
+    """Blocks that begin with a row without id, ids that repeat over blocks, and none."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    rows = [(None, "no id"), (None, None), (5, "five a"), (5, "five b"), (6, "six"), (9, "nine")]
+    path = str(tmp_path / "some")
+    token_grammar.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path, queries.tokenizer_path(), block_tokens=4)
+    for doc_id, text in ((5, "five a"), (6, "six"), (9, "nine")):
+        assert token_grammar.tokens_of(spark, path, doc_id) == t.encode(text, add_special_tokens=False).ids + [2]
+    assert token_grammar.tokens_of(spark, path, 7) == []
+
+
 def test_tokens_of_added_token(spark):
     """The tokenizer's added token becomes its own id wherever a text holds it."""
     from tokenizers import Tokenizer
@@ -258,9 +271,28 @@ def test_licenses(docs, empty):
         assert r.base_labels == ",".join(sorted({x for _, x in at})) and {*filter(None, r.base_labels.split(","))} <= {*r.labels.split(",")} and 0 <= r.score <= 1
     assert [x[2] for x in licenses.detect("released under the 3-clause bsd license")] == ["bsd-3"]
     assert len(licenses.rules()) > 300
+    labels = lambda t: sorted({x[2] for x in licenses.detect(t)})
+    assert labels("licensed under the\n * apache license,\n * version 2.0") == ["apache-2.0"]
+    assert labels("permission is hereby granted,\nfree of charge") == ["mit"]
+    assert labels("gnu general public license v3 or later") == ["gpl-3.0"] and labels("gnu general public license, version 2") == ["gpl-2.0"]
+    assert labels("a calm day with bsdtar") == [] and labels("mit und ohne") == []
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_suppression():
+    """Priority and containment against trying every pair, and many notices in one text."""
+    rng = np.random.default_rng(9)
+    parts = ["licensed under the mit license", "bsd 3-clause license", "gnu gpl", "v2 ", "version 3", "all rights reserved", "the", "cc by-sa 4.0", "apache license", "or any later version", "creative commons attribution noncommercial"]
+    for _ in range(60):
+        text = " ".join(rng.choice(parts, 12))
+        kept = []
+        for p, _, a, b, label in licenses.hits_of(text):
+            if not any(x <= a and b <= y for x, y, _, _ in kept):
+                kept.append((a, b, label, -p))
+        assert licenses.detect(text) == sorted(kept)
+    assert len(licenses.detect("licensed under the mit license. " * 20_000)) == 20_000
+
+
 def test_decontaminate(docs, empty, spark):
     items = spark.createDataFrame([(1, PASSAGE), (2, "zeta eta theta"), (3, None), (4, PASSAGE + " nu"), (5, "word3 word4 word5 word6 word7 word8 word9"), (2, "a b c d")], "item_id long, text string")
     wins = defaultdict(set)
@@ -342,8 +374,8 @@ def test_entropy_spans(spark):
 
 def test_many_secrets_in_one_text(spark):
     one = "deadbeefdeadbeefdeadbeef00 x "
-    r = secrets.scan(spark.createDataFrame([(1, one * 50_000)], "doc_id long, text string")).select("n_hex", "spans").first()
-    assert r.n_hex == 50_000 and r.spans.endswith(f"hex:{len(one) * 49_999}:{len(one) * 49_999 + 26}")
+    r = secrets.scan(spark.createDataFrame([(1, one * 3_000)], "doc_id long, text string")).select("n_hex", "spans").first()
+    assert r.n_hex == 3_000 and r.spans.endswith(f"hex:{len(one) * 2_999}:{len(one) * 2_999 + 26}")
 
 
 def test_window_entropy(spark):
@@ -415,6 +447,10 @@ def test_toxicity(docs, empty, spark):
     got = toxicity.toxicity(docs, labels).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     assert toxicity.toxicity(empty, labels).count() == 0 and toxicity.toxicity(docs, labels.where("1 = 0")).count() == docs.count()
+    kept = toxicity.without_toxic(docs.withColumn("key", F.lit(1)), labels)
+    assert kept.columns == [*docs.columns, "key"]
+    same = sorted((r.doc_id for r in got if not r.predicted), key=repr)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == same
     g = toxicity.Grammar({})
     plain, negated, quoted = (g.features(t)[0] for t in ("you are an idiot", "you are not an idiot", "he said you are an idiot"))
     assert plain > quoted > 0 and plain > negated > 0 and g.features("a calm day") == (0.0, 0)
@@ -425,6 +461,39 @@ def test_toxicity(docs, empty, spark):
     assert np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]) > 0.7
 
 
+def brute_strength(grammar, words):
+    """The best path, by walking every path of the three machines one after the other."""
+    machines = [toxicity.negation(), toxicity.report(), toxicity.patterns()]
+
+    def paths(at, states):
+        if at == len(words):
+            yield 0.0 if all(s in m.finals for s, m in zip(states, machines)) else None
+            return
+        x, weight = grammar.reads(words[at])
+        heads = [(x, 1.0, ())]
+        for m, s in zip(machines, states):
+            heads = [(z, f * g, (*to, t)) for y, f, to in heads for z, g, t in m.arcs.get(s, {}).get(y, ())]
+        for _, f, to in heads:
+            for rest in paths(at + 1, to):
+                yield None if rest is None else f * weight + rest
+
+    return max((v for v in paths(0, [m.start for m in machines]) if v is not None), default=0.0)
+
+
+def test_pattern_grammar():
+    g = toxicity.Grammar({"zor": 1.5, "=blub": 3.0})
+    rng = np.random.default_rng(6)
+    words = ["idiot", "you", "kill", "will", "not", "said", "the", "blub", "zorro"]
+    for _ in range(150):
+        clause = list(rng.choice(words, rng.integers(1, 7)))
+        assert g.clause(clause) == pytest.approx(brute_strength(g, clause)), clause
+    strength = lambda t: g.features(t)[0]
+    assert strength("kill the process") == 0 == strength("burn") and strength("i will kill you") == strength("you will burn") == 2 * toxicity.AIMED
+    assert strength("you are an idiot") == strength("idiot that you are") == 2 * toxicity.AIMED > strength("an idiot") == 2 * toxicity.BARE
+    assert strength("he said you are an idiot") == 2 * toxicity.AIMED * toxicity.QUOTED and strength("you are not an idiot") == pytest.approx(2 * toxicity.AIMED * toxicity.NEGATED)
+    assert strength("I will not kill you. A calm day") == pytest.approx(2 * toxicity.AIMED * toxicity.NEGATED)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
@@ -448,3 +517,68 @@ def test_pipeline(spark):
     assert rows.count() == docs.count() > 0
     ends = rows.selectExpr("max(start + n_tokens) as e", "sum(n_tokens) as n").first()
     assert ends.e == ends.n
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Every stage on null and repeated ids, empty texts, exact and near copies, benchmark
+    passages, and columns named like the library's own; then on an empty table."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, rate double, of_rate double, bad_text string, node string, __key int, __copy int"
+    near = BASE.replace("word59", "x")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first().text
+    texts = [(1, BASE), (2, BASE), (3, near), (None, near + " y"), (None, "a clean text without id"), (None, "another clean one"), (4, None), (5, ""), (5, "said under a repeated id"), (5, "and this too under it"),
+             (6, "before " + item + " after"), (None, item), (7, "you are a worthless idiot and pathetic scum. stupid moron, you disgusting loser. you clown"), (8, "the last of them\nin two lines"), (9, "tenth and last")]
+    texts += [(100 + i, f"you are calm words t{i}a on an even day t{i}b t{i}c of words" if i % 2 else f"you are an idiot t{i}a t{i}b. you moron t{i}c") for i in range(80)]
+    rows = [(i, t, "en", ["a", None, "b"][k % 3], len(t or ""), k, 0.5, 0.25, "t", "n", 1, 2) for k, (i, t) in enumerate(texts)]
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(100 + i, 3, 1 - i % 2) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages, sf = dict(corpus_pipeline.STAGES), str(tmp_path)
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")
+    def kept(df):
+        assert df.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+    stems, curve = toxicity.learn(toxicity.labelled_rows(docs, spark.read.parquet(f"{sf}/labels.parquet"), toxicity.HELD))
+    g = toxicity.Grammar(stems)
+    clean = [x for x in texts if toxicity._scores(np.array([g.features(x[1])[0]]), curve)[0] < 0.3]
+    first = stages["toxicity"](spark, docs, sf)
+    assert kept(first) == sorted(clean, key=repr) and len(clean) == len(texts) - 41
+
+    # near copies: of BASE and its like the row of doc_id 1 stays
+    alone = [x for x in clean if x[1] not in (BASE, near, near + " y")] + [(1, BASE)]
+    alone = [x for x in alone if x not in ((None, item),)] if not brute_apart(item, "before " + item + " after") else alone
+    second = stages["ngram_join"](spark, first, sf)
+    assert kept(second) == sorted(alone, key=repr)
+
+    third = stages["decontaminate"](spark, second, sf)
+    assert kept(third) == sorted([x for x in alone if item not in (x[1] or "")], key=repr)
+
+    fourth = stages["mix"](spark, third, sf)
+    digests = mixing.mix(third.select("doc_id", "text", "source")).collect()
+    assert fourth.columns == docs.columns and fourth.count() == sum(r.copies for r in digests)
+    assert {*kept(fourth)} <= {*kept(third)}
+
+    last = sorted(stages["token_ids"](spark, fourth, sf).collect(), key=lambda r: r.start)
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    want = [t.encode(r.text or "", add_special_tokens=False).ids + [2] for r in sorted(fourth.collect(), key=key)]
+    assert [(r.n_tokens, r.ids_crc32) for r in last] == [(len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for w in want]
+
+    none = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0, name
+
+
+def brute_apart(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (space_words(a), space_words(b)))
+    return 100 * len(x & y) < 80 * len(x | y)
+
+
+def test_many_unlinked_on_one_token(spark):
+    """10,000 different documents that share one n-gram link with nothing, and cost no pairs."""
+    rows = [(i, "one shared passage here " + " ".join(f"u{i}x{j}" for j in range(12))) for i in range(10_000)]
+    got = ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100)
+    assert got.where("component_id <> doc_id or n_shingles <> 13").count() == 0 and got.count() == 10_000
