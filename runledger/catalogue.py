@@ -181,35 +181,34 @@ def override_apply(spark, d):
 
 
 # --- diffs, retention, sizes ---------------------------------------------------------------
-_TWO = "a AS (SELECT key, arg_max(value, pos) AS v FROM log WHERE run_id % 10 = 1 GROUP BY 1), b AS (SELECT key, arg_max(value, pos) AS v FROM log WHERE run_id % 10 = 2 GROUP BY 1)"
+_PAIRS = "p AS (SELECT run_id, before FROM (SELECT run_id, lag(run_id) OVER (PARTITION BY run_id % 10 ORDER BY run_id) AS before FROM (SELECT DISTINCT user_id AS run_id FROM events)) WHERE before IS NOT NULL)"
 
 
-def _task(spark, d, k):
-    return log(spark, d).where(F.col("run_id") % 10 == k).groupBy("key").agg(F.max_by("value", "pos").alias("value"))
+def _runs(spark, d):
+    return saves(spark, d).select("task_id", "run_id").distinct()
 
 
-@query(f"WITH {LOG}, {_TWO} SELECT key, a.v AS before, b.v AS after FROM a FULL JOIN b USING (key) WHERE a.v IS DISTINCT FROM b.v")
+@query(f"""WITH {LOG}, {_PAIRS}, s AS (SELECT run_id, key, arg_max(value, pos) AS v FROM log GROUP BY 1, 2),
+a AS (SELECT p.run_id, s.key, s.v FROM p JOIN s ON s.run_id = p.before), b AS (SELECT s.* FROM p JOIN s USING (run_id))
+SELECT run_id, key, a.v AS before, b.v AS after FROM a FULL JOIN b USING (run_id, key) WHERE a.v IS DISTINCT FROM b.v""")
 def state_diff(spark, d):
-    return an.diff(_task(spark, d, 1), _task(spark, d, 2), ["key"])
-
-
-def _side(spark, d, k):
-    rows = log(spark, d).where(F.col("run_id") % 10 == k)
-    return rows.groupBy("stage").agg(F.lit("done").alias("status"), sc.digest(F.max("pos").cast("string")).alias("input_hash"), F.count("*").cast("int").alias("visits"))
-
-
-_SIDE = "(SELECT stage, substr(sha256(CAST(max(pos) AS VARCHAR)), 1, 16) AS h, CAST(count(*) AS INTEGER) AS v FROM log WHERE run_id % 10 = {} GROUP BY 1)"
+    return an.diff_with_previous(fold.state_fold(log(spark, d)), _runs(spark, d), ["key"])
 
 
-@query(f"WITH {LOG}, a AS {_SIDE.format(1)}, b AS {_SIDE.format(2)} SELECT stage, CASE WHEN a.h IS NOT NULL THEN 'done' END AS status_a, CASE WHEN b.h IS NOT NULL THEN 'done' END AS status_b, a.h <> b.h AS input_changed, coalesce(a.v, 0) AS visits_a, coalesce(b.v, 0) AS visits_b FROM a FULL JOIN b USING (stage)")
+@query(f"""WITH {LOG}, {_PAIRS}, s AS (SELECT run_id, stage, substr(sha256(CAST(max(pos) AS VARCHAR)), 1, 16) AS h, CAST(count(*) AS INTEGER) AS v FROM log GROUP BY 1, 2),
+a AS (SELECT p.run_id, s.stage, s.h, s.v FROM p JOIN s ON s.run_id = p.before), b AS (SELECT s.* FROM p JOIN s USING (run_id))
+SELECT run_id, stage, CASE WHEN a.h IS NOT NULL THEN 'done' END AS status_a, CASE WHEN b.h IS NOT NULL THEN 'done' END AS status_b, a.h <> b.h AS input_changed, coalesce(a.v, 0) AS visits_a, coalesce(b.v, 0) AS visits_b
+FROM a FULL JOIN b USING (run_id, stage)""")
 def diff_stages(spark, d):
-    return an.diff_stages(_side(spark, d, 1), _side(spark, d, 2))
+    rows = log(spark, d).groupBy("run_id", "stage").agg(F.lit("done").alias("status"), sc.digest(F.max("pos").cast("string")).alias("input_hash"), F.count("*").cast("int").alias("visits"))
+    return an.diff_stages(rows, _runs(spark, d))
 
 
-@query(f"WITH {LOG}, a AS (SELECT stage, count(*) AS v FROM log WHERE run_id % 10 = 1 GROUP BY 1), b AS (SELECT stage, count(*) AS v FROM log WHERE run_id % 10 = 2 GROUP BY 1) SELECT stage, a.v AS before, b.v AS after FROM a FULL JOIN b USING (stage) WHERE a.v IS DISTINCT FROM b.v")
+@query(f"""WITH {LOG}, {_PAIRS}, s AS (SELECT run_id, stage, count(*) AS v FROM log GROUP BY 1, 2),
+a AS (SELECT p.run_id, s.stage, s.v FROM p JOIN s ON s.run_id = p.before), b AS (SELECT s.* FROM p JOIN s USING (run_id))
+SELECT run_id, stage, a.v AS before, b.v AS after FROM a FULL JOIN b USING (run_id, stage) WHERE a.v IS DISTINCT FROM b.v""")
 def diff_visits(spark, d):
-    n = [log(spark, d).where(F.col("run_id") % 10 == k).groupBy("stage").agg(F.count("*").alias("value")) for k in (1, 2)]
-    return an.diff(*n, ["stage"])
+    return an.diff_with_previous(log(spark, d).groupBy("run_id", "stage").agg(F.count("*").alias("value")), _runs(spark, d), ["stage"])
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS text FROM documents")
@@ -306,9 +305,9 @@ def structure_hash(spark, d):
     return rows.select(sc.digest(F.array_join(F.transform("rows", lambda r: r["row"]), "|")).alias("structure_hash"))
 
 
-@query("SELECT pos, stage, input_hash FROM (SELECT event_id AS pos, event_type AS stage, sha256(props) AS input_hash, lag(sha256(props)) OVER (PARTITION BY event_type ORDER BY event_id) AS b FROM events) WHERE input_hash = b")
+@query("SELECT run_id, pos, stage, input_hash FROM (SELECT user_id AS run_id, event_id AS pos, event_type AS stage, sha256(props) AS input_hash, lag(sha256(props)) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS b FROM events) WHERE input_hash = b")
 def skip_candidates(spark, d):
-    return an.skip_candidates(t(spark, d, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("stage"), F.sha2("props", 256).alias("input_hash")))
+    return an.skip_candidates(t(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("stage"), F.sha2("props", 256).alias("input_hash")))
 
 
 @query("SELECT event_type AS stage, count(DISTINCT substr(sha256(props), 1, 16)) AS versions FROM events GROUP BY 1 HAVING count(DISTINCT substr(sha256(props), 1, 16)) > 1")
@@ -329,7 +328,7 @@ def invalid_values(spark, d):
     return t(spark, d, "events").where(~sc.finite(x) | x.isNull()).select("event_id")
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'nan' WHEN 1 THEN 'inf' WHEN 2 THEN '-inf' ELSE printf('%.3f', value) END AS value FROM events")
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'nan' WHEN 1 THEN 'inf' WHEN 2 THEN '-inf' ELSE CAST(value AS VARCHAR) END AS value FROM events")
 def json_safe(spark, d):
     k = F.col("event_id") % 5
     x = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")).otherwise(F.col("value"))
@@ -343,13 +342,14 @@ def corrupt_records(spark, d):
     return t(spark, d, "events").select("event_id", read.alias("r")).where("r._corrupt_record is not null").select("event_id")
 
 
-_RAW = "CASE doc_id % 8 WHEN 0 THEN ' ' || doc_id || ' ' WHEN 1 THEN '1_000' WHEN 2 THEN '-0.7' WHEN 3 THEN 'True' WHEN 4 THEN 'null' WHEN 5 THEN '[1, 2]' WHEN 6 THEN '1e3' ELSE text END"
+_RAW = "CASE doc_id % 13 WHEN 0 THEN ' ' || doc_id || ' ' WHEN 1 THEN '1_000' WHEN 2 THEN '-0.7' WHEN 3 THEN 'True' WHEN 4 THEN 'null' WHEN 5 THEN '[1, 2]' WHEN 6 THEN '1e3' WHEN 7 THEN 'NULL' WHEN 8 THEN '[abc' WHEN 9 THEN 'nan' WHEN 10 THEN 'true' WHEN 11 THEN 'None' ELSE text END"
 
 
 @query(
-    rf"""WITH x AS (SELECT doc_id, trim({_RAW}) AS t FROM documents) SELECT doc_id, CASE WHEN lower(t) IN ('null', 'none') THEN 'null' WHEN lower(t) IN ('true', 'false') THEN 'bool'
-WHEN regexp_matches(t, '\A[+-]?[0-9]+(_[0-9]+)*\z') THEN 'int' WHEN regexp_matches(t, '\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z') THEN 'float'
-WHEN length(t) <= 500 AND regexp_matches(t, '\A[\[\{{]') THEN 'json' ELSE 'str' END AS type FROM x"""
+    rf"""WITH x AS (SELECT doc_id, trim({_RAW}) AS t FROM documents) SELECT doc_id, CASE WHEN t IN ('null', 'None') THEN 'null' WHEN t IN ('true', 'false') THEN 'bool'
+WHEN regexp_matches(t, '\A[+-]?[0-9]+(_[0-9]+)*\z') THEN 'int'
+WHEN regexp_matches(t, '\A[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?\z') OR lower(ltrim(t, '+-')) IN ('nan', 'inf', 'infinity') THEN 'float'
+WHEN length(t) <= 500 AND t[1] IN ('[', '{{') AND json_valid(t) THEN 'json' ELSE 'str' END AS type FROM x"""
 )
 def infer_type(spark, d):
     return t(spark, d, "documents").select("doc_id", sc.infer_type(F.expr(_RAW)).alias("type"))
@@ -361,10 +361,11 @@ def parse_set(spark, d):
     return t(spark, d, "documents").select("doc_id", key.alias("key"), value.alias("value"))
 
 
-_PATH = "CASE doc_id % 5 WHEN 0 THEN source || '.' || lang WHEN 1 THEN 'a.b.c.d.e.f' WHEN 2 THEN '__' || source WHEN 3 THEN source || '..x' ELSE substr(text, 1, 8) END"
+_PATH = "CASE doc_id % 6 WHEN 0 THEN source || '.' || lang WHEN 1 THEN 'a.b.c.d.e.f' WHEN 2 THEN '__' || source WHEN 3 THEN source || '..x' WHEN 4 THEN 'a.__class__' ELSE substr(text, 1, 8) END"
+_BARRED = ", ".join(map(repr, sc.BARRED))
 
 
-@query(rf"WITH x AS (SELECT doc_id, {_PATH} AS p FROM documents) SELECT doc_id, regexp_matches(p, '\A[A-Za-z0-9_]+(\.[A-Za-z0-9_]+){{0,4}}\z') AND NOT regexp_matches(p, '(\A|\.)__') AS ok FROM x")
+@query(rf"WITH x AS (SELECT doc_id, {_PATH} AS p FROM documents) SELECT doc_id, regexp_matches(p, '\A[\p{{L}}\p{{N}}_]+(\.[\p{{L}}\p{{N}}_]+){{0,4}}\z') AND NOT list_has_any(string_split(p, '.'), [{_BARRED}]) AS ok FROM x")
 def path_validate(spark, d):
     return t(spark, d, "documents").select("doc_id", sc.path_valid(F.expr(_PATH)).alias("ok"))
 
@@ -374,14 +375,21 @@ def task_id_valid(spark, d):
     return t(spark, d, "documents").select("doc_id", sc.task_id_valid(F.substring("text", 1, 8)).alias("ok"))
 
 
-@query("SELECT event_id, CASE WHEN value / 50 < 1 THEN printf('%.1fs', floor(value / 50 * 10) / 10) ELSE CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) || 's' END AS shown FROM events")
+@query("SELECT event_id, CASE WHEN value / 50 < 1 THEN printf('%.1f', value / 50) ELSE printf('%.0f', value / 50) END AS shown FROM events")
 def fmt_secs(spark, d):
     return t(spark, d, "events").select("event_id", sc.fmt_secs(F.col("value") / 50).alias("shown"))
 
 
-@query("SELECT doc_id, 'n_' || regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9_]', '_', 'g') AS id FROM documents")
+_NAME = "CASE doc_id % 5 WHEN 0 THEN 'end' WHEN 1 THEN 'stage_' || doc_id WHEN 2 THEN doc_id || '-load' WHEN 3 THEN 'load-data' ELSE substr(text, 1, 40) END"
+_WORDS = ", ".join(map(repr, sc.RESERVED))
+
+
+@query(
+    rf"""WITH x AS (SELECT doc_id, {_NAME} AS n, regexp_replace({_NAME}, '[^A-Za-z0-9]', '_', 'g') AS s FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(n, '\A[A-Za-z_][A-Za-z0-9_]*\z') AND n NOT IN ({_WORDS}) THEN n WHEN NOT regexp_matches(s, '\A[A-Za-z_]') OR s IN ({_WORDS}) THEN 'n_' || s ELSE s END AS id FROM x"""
+)
 def safe_id(spark, d):
-    return t(spark, d, "documents").select("doc_id", sc.safe_id(F.substring("text", 1, 40)).alias("id"))
+    return t(spark, d, "documents").select("doc_id", sc.safe_id(F.expr(_NAME)).alias("id"))
 
 
 @query(r"""SELECT doc_id, replace(regexp_replace(text, '[\r\n\t]+', ' ', 'g'), '"', '#quot;') AS label FROM documents""")
@@ -390,17 +398,14 @@ def mermaid_text(spark, d):
 
 
 # --- graphs --------------------------------------------------------------------------------
-N = 9
-
-
 @query(f"WITH RECURSIVE {_SQL_EDGES}, {_REACH.format(c='true')} SELECT src, dst FROM r")
 def execution_reach(spark, d):
-    return graph.closure(edges(spark), N)
+    return graph.closure(edges(spark))
 
 
 @query(f"WITH RECURSIVE {_SQL_EDGES}, {_REACH.format(c='true')} SELECT dst FROM r WHERE src = 'build'")
 def reachability(spark, d):
-    return graph.closure(edges(spark), N).where("src = 'build'").select("dst")
+    return graph.closure(edges(spark)).where("src = 'build'").select("dst")
 
 
 _STATIC = _REACH.format(c="e.kind = 'static'").replace("FROM e WHERE e.kind", "FROM e WHERE kind")
@@ -408,32 +413,42 @@ _STATIC = _REACH.format(c="e.kind = 'static'").replace("FROM e WHERE e.kind", "F
 
 @query(f"WITH RECURSIVE {_SQL_EDGES}, {_STATIC} SELECT src, dst FROM r")
 def static_closure(spark, d):
-    return graph.closure(edges(spark, "static"), N)
+    return graph.closure(edges(spark, "static"))
 
 
 @query(f"WITH RECURSIVE {_SQL_EDGES}, {_REACH.format(c='true')} SELECT src AS node FROM r WHERE src = dst")
 def cycle_nodes(spark, d):
-    return graph.cycle_nodes(edges(spark), N)
+    return graph.cycle_nodes(edges(spark))
 
 
 @query(f"WITH RECURSIVE {_SQL_EDGES}, {_REACH.format(c='true')}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT n.node, least(n.node, coalesce(min(a.dst), n.node)) AS scc FROM n LEFT JOIN r a ON a.src = n.node AND EXISTS (SELECT 1 FROM r b WHERE b.src = a.dst AND b.dst = a.src) GROUP BY n.node")
 def scc_members(spark, d):
-    return graph.scc_members(edges(spark), N)
+    return graph.scc_members(edges(spark))
 
 
 @query(f"WITH RECURSIVE {_SQL_EDGES}, s AS (SELECT src, dst FROM e WHERE kind = 'static'), p AS (SELECT src AS node, 0 AS level FROM s UNION SELECT dst, 0 FROM s UNION SELECT s.dst, p.level + 1 FROM p JOIN s ON s.src = p.node) SELECT node, max(level) AS level FROM p GROUP BY 1")
 def topo_levels(spark, d):
-    return graph.topo_levels(edges(spark, "static"), N)
+    return graph.topo_levels(edges(spark, "static"))
+
+
+# the inline graph: redo leads back to fetch, which has no static parent and starts a loop that
+# nothing outside enters, so it is exempt; ok leads forward to publish
+_ONLY = f"""{_REACH.format(c='true')}, c AS (SELECT DISTINCT src, dst FROM e WHERE kind = 'conditional'),
+ro AS (SELECT dst AS node FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.src = c.dst AND r.dst = c.src))"""
 
 
-@query(f"WITH {_SQL_EDGES} SELECT DISTINCT dst AS node FROM e WHERE kind = 'conditional' AND dst NOT IN (SELECT dst FROM e WHERE kind = 'static')")
+def _declared(spark):
+    return spark.createDataFrame([(s, i) for i, s in enumerate([*STAGES, "audit"])], "node string, idx int")
+
+
+@query(f"WITH RECURSIVE {_SQL_EDGES}, {_ONLY} SELECT DISTINCT node FROM ro")
 def route_only(spark, d):
-    return graph.route_only(edges(spark))
+    return graph.route_only(edges(spark), _declared(spark))
 
 
-@query(f"WITH RECURSIVE {_SQL_EDGES}, {_STATIC} SELECT r.dst AS node, r.src AS gate FROM r WHERE r.src IN (SELECT dst FROM e WHERE kind = 'conditional') AND r.src NOT IN (SELECT dst FROM e WHERE kind = 'static')")
+@query(f"WITH RECURSIVE {_SQL_EDGES}, {_ONLY}, {_STATIC.replace('r AS', 's AS').replace('FROM r JOIN', 'FROM s r JOIN')} SELECT s.dst AS node, s.src AS gate FROM s WHERE s.src IN (SELECT node FROM ro)")
 def gate_sets(spark, d):
-    return graph.gate_sets(edges(spark), N)
+    return graph.gate_sets(edges(spark), _declared(spark))
 
 
 @query(f"WITH {_SQL_EDGES} SELECT DISTINCT dst AS stage FROM e WHERE dst NOT IN ({', '.join(map(repr, STAGES))})")
@@ -443,7 +458,7 @@ def unknown_deps(spark, d):
     return graph.unknown_deps(turned, named)
 
 
-@query(f"WITH {_SQL_EDGES} SELECT src, dst FROM e a WHERE kind = 'static' AND src IN (SELECT src FROM e WHERE kind = 'conditional') AND NOT EXISTS (SELECT 1 FROM e b WHERE b.kind = 'conditional' AND b.src = a.src AND b.dst = a.dst)")
+@query(f"WITH {_SQL_EDGES} SELECT src, dst FROM e a WHERE kind = 'static' AND src IN (SELECT src FROM e WHERE kind = 'conditional') AND (NOT EXISTS (SELECT 1 FROM e b WHERE b.kind = 'conditional' AND b.src = a.src AND b.dst = a.dst) OR dst IN (SELECT dst FROM e WHERE kind = 'conditional'))")
 def router_rule_violations(spark, d):
     return graph.router_rule_violations(edges(spark))
 
@@ -522,17 +537,23 @@ def backoff_caps(spark, d):
 
 
 # --- events --------------------------------------------------------------------------------
-_OPEN = "e AS (SELECT user_id AS run_id, event_id AS seq, event_type AS event FROM events), u AS (SELECT a.run_id, a.seq FROM e a WHERE a.event = 'view' AND NOT EXISTS (SELECT 1 FROM e b WHERE b.event = 'purchase' AND b.run_id = a.run_id AND b.seq > a.seq))"
+_OPEN = """e AS (SELECT user_id AS run_id, CAST(event_id % 3 AS VARCHAR) AS stage, event_id AS seq, event_type AS event FROM events),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, stage, event ORDER BY seq) AS INTEGER) AS visit FROM e WHERE event IN ('view', 'purchase')),
+u AS (SELECT run_id, stage, visit, seq FROM n WHERE event = 'view' AND NOT EXISTS (SELECT 1 FROM n b WHERE b.event = 'purchase' AND b.run_id = n.run_id AND b.stage = n.stage AND b.visit = n.visit))"""
+
+
+def _staged(spark, d):
+    return events(spark, d).withColumn("stage", (F.col("seq") % 3).cast("string"))
 
 
-@query(f"WITH {_OPEN} SELECT run_id, seq FROM u")
+@query(f"WITH {_OPEN} SELECT run_id, stage, visit, seq FROM u")
 def unpaired_events(spark, d):
-    return an.unpaired(events(spark, d), "view", "purchase")
+    return an.unpaired(_staged(spark, d), "view", "purchase")
 
 
 @query(f"WITH {_OPEN} SELECT run_id, count(*) AS open FROM u GROUP BY 1")
 def in_flight(spark, d):
-    return an.in_flight(events(spark, d), "view", "purchase")
+    return an.in_flight(_staged(spark, d), "view", "purchase")
 
 
 @query("SELECT event_type AS event, count(*) AS n FROM events GROUP BY 1")

@@ -11,8 +11,8 @@ def json_path(doc: Column, *keys: str) -> Column:
 
 
 def json_safe(x: Column) -> Column:
-    """A double as JSON text; non-finite values by name."""
-    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(F.format_string("%.3f", x))
+    """A double as JSON text in full precision; non-finite values by name."""
+    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(x.cast("string"))
 
 
 def finite(x: Column) -> Column:
@@ -20,22 +20,28 @@ def finite(x: Column) -> Column:
 
 
 def infer_type(raw: Column) -> Column:
-    """Name of the type that a raw override text takes: null, bool, int, float, json or str."""
+    """Name of the type that a raw override text takes: null, bool, int, float, json or str.
+    Only the spellings ``null None true false`` count; nan and inf are floats; text that looks
+    like JSON but does not parse is a string."""
     t = F.trim(raw)
-    low = F.lower(t)
     return (
-        F.when(low.isin("null", "none"), "null")
-        .when(low.isin("true", "false"), "bool")
+        F.when(t.isin("null", "None"), "null")
+        .when(t.isin("true", "false"), "bool")
         .when(t.rlike(r"\A[+-]?[0-9]+(_[0-9]+)*\z"), "int")
-        .when(t.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), "float")
-        .when((F.length(t) <= 500) & t.rlike(r"\A[\[{]"), "json")
+        .when(t.rlike(r"\A[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?\z"), "float")
+        .when(t.rlike(r"(?i)\A[+-]?(nan|inf|infinity)\z"), "float")
+        .when((F.length(t) <= 500) & t.rlike(r"\A[\[{]") & F.try_parse_json(t).isNotNull(), "json")
         .otherwise("str")
     )
 
 
+# Names that no part of a path may have.
+BARRED = "__proto__ __class__ __init__ __dict__ __getattribute__ __setattr__ __delattr__ __bases__ __mro__ __subclasses__ __getstate__ __setstate__ __reduce__ __reduce_ex__".split()
+
+
 def path_valid(p: Column) -> Column:
-    """Dot path: 1 to 5 parts of letters, digits and _, none of them dunder."""
-    return p.rlike(r"\A[A-Za-z0-9_]+(\.[A-Za-z0-9_]+){0,4}\z") & ~p.rlike(r"(\A|\.)__")
+    """Dot path: 1 to 5 parts of letters and digits of any script and _, none of them barred."""
+    return p.rlike(r"\A[\p{L}\p{N}_]+(\.[\p{L}\p{N}_]+){0,4}\z") & ~F.arrays_overlap(F.split(p, r"\."), F.array(*map(F.lit, BARRED)))
 
 
 def task_id_valid(t: Column) -> Column:
@@ -49,11 +55,21 @@ def parse_set(item: Column) -> tuple[Column, Column]:
 
 
 def fmt_secs(t: Column) -> Column:
-    return F.when(t < 1, F.format_string("%.1fs", F.floor(t * 10) / 10)).otherwise(F.concat(F.floor(t).cast("string"), F.lit("s")))
+    """Below one second one decimal, else whole seconds; halves of the binary value go to even."""
+    exact = t.cast("decimal(38,18)")
+    return F.when(t < 1, F.bround(exact, 1).cast("decimal(20,1)").cast("string")).otherwise(F.bround(exact, 0).cast("decimal(20,0)").cast("string"))
+
+
+# Words that a node id must not be.
+RESERVED = "end graph flowchart subgraph direction click style classDef linkStyle o x".split()
 
 
 def safe_id(name: Column) -> Column:
-    return F.concat(F.lit("n_"), F.regexp_replace(name, "[^A-Za-z0-9_]", "_"))
+    """Legal names stay; else other characters become _, and n_ goes before a digit, an empty
+    name or a reserved word."""
+    legal = name.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*\z") & ~name.isin(RESERVED)
+    safe = F.regexp_replace(name, "[^A-Za-z0-9]", "_")
+    return F.when(legal, name).when(~safe.rlike(r"\A[A-Za-z_]") | safe.isin(RESERVED), F.concat(F.lit("n_"), safe)).otherwise(safe)
 
 
 def mermaid_text(s: Column, quoted: bool = False) -> Column:

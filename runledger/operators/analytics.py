@@ -12,13 +12,16 @@ def diff(a: DataFrame, b: DataFrame, keys: list[str], value: str = "value") -> D
     return left.join(right, keys, "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def diff_stages(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per stage of two runs (stage, status, input_hash, visits): pairs, and whether the input
-    changed (null where either side has no hash)."""
-    sides = [x.select("stage", *[F.col(c).alias(f"{c}_{s}") for c in ("status", "input_hash", "visits")]) for x, s in ((a, "a"), (b, "b"))]
-    rows = sides[0].join(sides[1], "stage", "full_outer")
+def diff_stages(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per stage of every run and the run before it (rows: run_id, stage, status, input_hash,
+    visits): pairs, and whether the input changed (null where either side has no hash)."""
+    pairs = previous_runs(runs)
+    old = rows.join(pairs.withColumnsRenamed({"run_id": "later", "before": "run_id"}), "run_id").drop("run_id").withColumnRenamed("later", "run_id")
+    new = rows.join(pairs.select("run_id"), "run_id", "left_semi")
+    sides = [x.select("run_id", "stage", *[F.col(c).alias(f"{c}_{s}") for c in ("status", "input_hash", "visits")]) for x, s in ((old, "a"), (new, "b"))]
+    rows = sides[0].join(sides[1], ["run_id", "stage"], "full_outer")
     changed = F.when(F.col("input_hash_a").isNotNull() & F.col("input_hash_b").isNotNull(), F.col("input_hash_a") != F.col("input_hash_b"))
-    return rows.select("stage", "status_a", "status_b", changed.alias("input_changed"), F.coalesce("visits_a", F.lit(0)).alias("visits_a"), F.coalesce("visits_b", F.lit(0)).alias("visits_b"))
+    return rows.select("run_id", "stage", "status_a", "status_b", changed.alias("input_changed"), F.coalesce("visits_a", F.lit(0)).alias("visits_a"), F.coalesce("visits_b", F.lit(0)).alias("visits_b"))
 
 
 def prune_plan(saves: DataFrame, keep: int) -> DataFrame:
@@ -62,9 +65,12 @@ def trace_summary(runs: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def unpaired(events: DataFrame, start: str, end: str) -> DataFrame:
-    """Starts of a run that no later end follows."""
-    ends = events.where(F.col("event") == end).groupBy("run_id").agg(F.max("seq").alias("last"))
-    return events.where(F.col("event") == start).join(ends, "run_id", "left").where(F.col("last").isNull() | (F.col("last") < F.col("seq"))).select("run_id", "seq")
+    """Starts without their end: the n-th start of a (run, stage) is ended by its n-th end, so
+    rows have run_id, stage, seq and the visit that is still open."""
+    by = Window.partitionBy("run_id", "stage", "event").orderBy("seq")
+    rows = events.where(F.col("event").isin(start, end)).withColumn("visit", F.row_number().over(by))
+    ends = rows.where(F.col("event") == end).select("run_id", "stage", "visit")
+    return rows.where(F.col("event") == start).join(ends, ["run_id", "stage", "visit"], "left_anti").select("run_id", "stage", "visit", "seq")
 
 
 def in_flight(events: DataFrame, start: str, end: str) -> DataFrame:
@@ -127,6 +133,21 @@ def stale_routes(routes: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def skip_candidates(visits: DataFrame) -> DataFrame:
-    """Visits whose input hash equals that of the stage's visit before."""
-    before = F.lag("input_hash").over(Window.partitionBy("stage").orderBy("pos"))
+    """Visits (run_id, stage, pos, input_hash) whose input hash equals that of the stage's visit
+    before in the same run; runs are many, so no stage's visits meet in one task."""
+    before = F.lag("input_hash").over(Window.partitionBy("run_id", "stage").orderBy("pos"))
     return visits.withColumn("_b", before).where(F.col("input_hash") == F.col("_b")).drop("_b")
+
+
+def previous_runs(runs: DataFrame) -> DataFrame:
+    """(run_id, before): each run of a task and the run before it; runs (task_id, run_id)."""
+    by = Window.partitionBy("task_id").orderBy("run_id")
+    return runs.distinct().withColumn("before", F.lag("run_id").over(by)).where("before is not null").select("run_id", "before")
+
+
+def diff_with_previous(rows: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Every run against the one before it: rows (run_id, keys, value) that differ, missing and
+    null being the same."""
+    pairs = previous_runs(runs)
+    old = rows.join(pairs.withColumnsRenamed({"run_id": "later", "before": "run_id"}), "run_id").drop("run_id").withColumnRenamed("later", "run_id")
+    return diff(old, rows.join(pairs.select("run_id"), "run_id", "left_semi"), ["run_id", *keys])

@@ -1,62 +1,104 @@
-"""Graph questions over edge tables (src, dst): closures by repeated squaring, all lazy."""
+"""Graph questions over edge tables (src, dst): closures by repeated squaring.
+
+Each round is checkpointed, so plans stay small and lost executors cost one round; rounds stop
+at the fixed point, after the logarithm of the longest path, whatever the graph's size.
+"""
 
 from __future__ import annotations
 
-import math
+import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(edges: DataFrame, nodes: int) -> DataFrame:
-    """(src, dst) of every path of one edge or more, for graphs of up to ``nodes`` nodes."""
-    reach = edges.select("src", "dst").distinct()
-    for _ in range(max(1, math.ceil(math.log2(max(2, nodes))))):
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in spark.checkpoint.dir; where that is unset, in a folder of our own
+    in local mode only."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if given is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(given or "file://" + tempfile.mkdtemp(prefix="runledger-"))
+    return df.checkpoint()
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst) of every path of one edge or more."""
+    reach, before = durable(edges.select("src", "dst").distinct()), -1
+    while (n := reach.count()) != before:
+        before = n
         step = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        reach = reach.union(step).distinct()
+        reach = durable(reach.union(step).distinct())
     return reach
 
 
-def cycle_nodes(edges: DataFrame, nodes: int) -> DataFrame:
-    return closure(edges, nodes).where("src = dst").select(F.col("src").alias("node"))
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    return closure(edges).where("src = dst").select(F.col("src").alias("node"))
 
 
-def scc_members(edges: DataFrame, nodes: int) -> DataFrame:
+def scc_members(edges: DataFrame) -> DataFrame:
     """(node, scc): scc is the smallest name of the strongly connected component."""
-    reach = closure(edges, nodes)
+    reach = closure(edges)
     mutual = reach.alias("a").join(reach.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("node"), F.col("a.dst").alias("other"))
     alone = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     return mutual.union(alone.select("node", F.col("node").alias("other"))).groupBy("node").agg(F.min("other").alias("scc"))
 
 
-def topo_levels(edges: DataFrame, nodes: int) -> DataFrame:
-    """Length of the longest path into each node of an acyclic graph."""
-    alone = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    level, frontier = alone.withColumn("level", F.lit(0)), alone
-    for depth in range(1, nodes):
-        frontier = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct()
-        level = level.union(frontier.withColumn("level", F.lit(depth)))
-    return level.groupBy("node").agg(F.max("level").alias("level"))
+def topo_levels(edges: DataFrame) -> DataFrame:
+    """Length of the longest path into each node of an acyclic graph, by rounds of nodes that
+    are one edge further; a cycle is an error."""
+    edges = durable(edges.select("src", "dst").distinct())
+    level = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    nodes, level, depth = level.count(), durable(level.withColumn("level", F.lit(0))), 0
+    frontier = level.select("node")
+    while not frontier.isEmpty():
+        depth += 1
+        if depth > nodes:
+            raise ValueError("the graph has a cycle")
+        frontier = durable(frontier.join(edges.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node")).distinct())
+        level = durable(level.union(frontier.withColumn("level", F.lit(depth))).groupBy("node").agg(F.max("level").alias("level")))
+    return level
 
 
 def unknown_deps(edges: DataFrame, stages: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("stage")).distinct().join(stages, "stage", "left_anti")
 
 
-def route_only(edges: DataFrame) -> DataFrame:
-    """Targets of conditional edges that no static edge leads to."""
-    static = edges.where("kind = 'static'").select(F.col("dst").alias("node")).distinct()
-    return edges.where("kind = 'conditional'").select(F.col("dst").alias("node")).distinct().join(static, "node", "left_anti")
-
-
-def gate_sets(edges: DataFrame, nodes: int) -> DataFrame:
+def route_only(edges: DataFrame, order: DataFrame) -> DataFrame:
+    """Targets that run only when routed to; order (node, idx): places of declaration.
+
+    A target that does not lead back to its router is one. On a loop, a target with a static
+    parent is not (it starts the loop), one without is if its component has a static parent
+    from outside; of the others, pure loops of routers, the first declared starts."""
+    reach = closure(edges)
+    scc = scc_members(edges)
+    static, routed = edges.where("kind = 'static'"), edges.where("kind = 'conditional'").select("src", "dst").distinct()
+    back = routed.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
+    forward = routed.join(back, ["src", "dst"], "left_anti").select(F.col("dst").alias("node"))
+    inner = back.select(F.col("dst").alias("node")).distinct().join(static.select(F.col("dst").alias("node")), "node", "left_anti")
+    of = scc.select(F.col("node").alias("dst"), F.col("scc").alias("to")), scc.select(F.col("node").alias("src"), F.col("scc").alias("at"))
+    entered = static.select("src", "dst").join(of[0], "dst").join(of[1], "src").where(F.col("at") != F.col("to")).select(F.col("to").alias("scc")).distinct()
+    inner = inner.join(scc, "node").join(entered.withColumn("entered", F.lit(True)), "scc", "left").join(order, "node")
+    pure = inner.where("entered is null")
+    first = pure.agg(F.min_by("node", "idx").alias("node"))
+    rest = inner.where("entered").select("node").union(pure.select("node").join(first, "node", "left_anti"))
+    # a target exempted as the start of a pure loop stays out even if another router leads to it
+    return forward.join(first, "node", "left_anti").union(rest).distinct()
+
+
+def gate_sets(edges: DataFrame, order: DataFrame) -> DataFrame:
     """(node, gate): route-only nodes among the static ancestors of a node."""
-    reach = closure(edges.where("kind = 'static'"), nodes)
-    return reach.join(route_only(edges).withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), F.col("src").alias("gate"))
+    reach = closure(edges.where("kind = 'static'"))
+    return reach.join(route_only(edges, order).withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), F.col("src").alias("gate"))
 
 
 def router_rule_violations(edges: DataFrame) -> DataFrame:
-    """Static children of a router that are not among its targets."""
+    """Static edges that break the routing rules: children of a router that are not among its
+    targets, and targets that depend on a router."""
     routers = edges.where("kind = 'conditional'").select("src").distinct()
     children = edges.where("kind = 'static'").join(routers, "src", "left_semi").select("src", "dst")
-    return children.join(edges.where("kind = 'conditional'").select("src", "dst"), ["src", "dst"], "left_anti")
+    stray = children.join(edges.where("kind = 'conditional'").select("src", "dst"), ["src", "dst"], "left_anti")
+    targets = edges.where("kind = 'conditional'").select("dst").distinct()
+    return stray.union(children.join(targets, "dst", "left_semi").select("src", "dst")).distinct()

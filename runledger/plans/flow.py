@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -102,15 +103,41 @@ class Flow:
             for s in self.stages.values():
                 if r.stage in s.depends_on and s.name not in r.mapping.values():
                     raise FlowError(f"{s.name} depends on router {r.stage} but is no target of it")
+            for x in r.mapping.values():
+                for d in self.stages[x].depends_on:
+                    if d in self.routers:
+                        raise FlowError(f"{x} is a target and must not depend on router {d}")
             if r.max_visits is None and r.stage in self.reach(r.stage):
                 raise FlowError(f"router {r.stage} closes a loop and needs max_visits")
 
     def route_only(self) -> set[str]:
-        """Targets that run only when routed to."""
-        back = {x for r in self.routers.values() for x in r.mapping.values() if r.stage in self.reach(x, False)}
-        return {x for r in self.routers.values() for x in r.mapping.values()} - back
+        """Targets that run only when routed to: those ahead of their router; on a loop, those
+        without a static parent if a parent from outside enters the loop. Of the other such,
+        loops of routers alone, the first declared starts."""
+        reach = {n: self.reach(n) for n in self.stages}
+        ring = {n: {n, *(m for m in reach[n] if n in reach[m])} for n in self.stages}
+        out, pure = set(), set()
+        for r in self.routers.values():
+            for x in r.mapping.values():
+                if r.stage not in reach[x]:
+                    out.add(x)
+                elif not self.stages[x].depends_on:
+                    entered = any(d not in ring[x] for m in ring[x] for d in self.stages[m].depends_on)
+                    (out if entered else pure).add(x)
+        first = next((n for n in self.stages if n in pure), None)
+        return (out | pure) - {first}
 
     def structure_hash(self) -> str:
-        rows = [f"flow={self.name}", *(f"{n}<{','.join(sorted(self.stages[n].depends_on))}" for n in self.order())]
-        rows += sorted(f"{r.stage}?{sorted(r.mapping.items())}" for r in self.routers.values())
+        rows = [f"flow={self.name}", *(f"{n}<{','.join(sorted(self.stages[n].depends_on))} retries={self.stages[n].retries}" for n in self.order())]
+        rows += sorted(f"{r.stage}?{sorted(r.mapping.items())} max_visits={r.max_visits} by {source_id(r.route)}" for r in self.routers.values())
         return hashlib.sha256("\n".join(rows).encode()).hexdigest()[:16]
+
+
+def source_id(fn: Callable) -> str:
+    """A hash of a function's source, of its bytecode where there is none, or else its type."""
+    try:
+        text = inspect.getsource(fn)
+    except (OSError, TypeError):
+        code = getattr(fn, "__code__", None)
+        text = repr((code.co_code, code.co_consts)) if code else type(fn).__name__
+    return hashlib.sha256(text.encode()).hexdigest()[:16]

@@ -7,6 +7,7 @@ repeats the stage. Everything on the driver is scalars; data stays in Spark.
 
 from __future__ import annotations
 
+import copy
 import json
 import random
 import time
@@ -77,6 +78,8 @@ class Runner:
             head, rows = last
             if head["structure"] != flow.structure_hash():
                 raise ValueError("the flow's structure has changed since that run")
+            if {*head.get("kept", []), *(r["stage"] for r in rows)} >= {*flow.order()} and not (rows and rows[-1].get("to")):
+                raise ValueError(f"the last run of {task_id} is done")
         else:
             head = {"task_id": task_id, "run_id": uuid.uuid4().hex, "structure": flow.structure_hash(), "initial": initial or {}, "overrides": {}, "cut": None}
             rows = []
@@ -88,9 +91,12 @@ class Runner:
         head, rows = self.ledger.latest(task_id) or ({}, [])
         if not head or stage not in [r["stage"] for r in rows]:
             raise ValueError(f"{stage} has not run in task {task_id}")
+        flow.validate()
+        if head["structure"] != flow.structure_hash():
+            raise ValueError("the flow's structure has changed since that run")
         kept = rows[: [r["stage"] for r in rows].index(stage)]
         state, _ = self._fold(head, kept)
-        new = head | {"run_id": uuid.uuid4().hex, "parent": head["run_id"], "initial": deep_merge(state, overrides or {}), "kept": [r["stage"] for r in kept], "producers": "<fork>"}
+        new = head | {"run_id": uuid.uuid4().hex, "parent": head["run_id"], "initial": deep_merge(state, overrides or {}), "kept": [*head.get("kept", []), *(r["stage"] for r in kept)], "producers": "<fork>"}
         self.ledger.append(task_id, new["run_id"], 0, {"head": new})
         return self._drive(flow, new, [])
 
@@ -108,6 +114,8 @@ class Runner:
         order, only = flow.order(), flow.route_only()
         done = {*head.get("kept", []), *(r["stage"] for r in rows)}
         visits: dict[str, int] = {}
+        for name in head.get("kept", []):  # visits before a fork count towards max_visits
+            visits[name] = visits.get(name, 0) + 1
         for r in rows:
             visits[r["stage"]] = visits.get(r["stage"], 0) + 1
             if r.get("to"):  # a route re-arms its target and what follows it
@@ -137,7 +145,7 @@ class Runner:
                 steps += 1
                 events.append(("stage_start", {"stage": current, "attempt": attempt}))
                 try:
-                    delta = stage.fn(Context(self.spark, {k: self._open(v) for k, v in state.items()}, current, attempt))
+                    delta = stage.fn(Context(self.spark, {k: self._open(copy.deepcopy(v)) for k, v in state.items()}, current, attempt))
                     if delta is not None and not isinstance(delta, dict):
                         raise StageError("a stage returns a dict or None")
                     for k in delta or {}:
@@ -158,7 +166,7 @@ class Runner:
             made |= dict.fromkeys(stored, current)
             to = None
             if router:
-                key = router.route(dict(state))
+                key = router.route(copy.deepcopy(state))
                 if key not in router.mapping:
                     return failed(current, StageError(f"route {key!r} is not mapped"))
                 to = router.mapping[key]

@@ -6,6 +6,7 @@ import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "task_id string, run_id string, seq long, saved_at double, body string"
 
@@ -42,6 +43,42 @@ class Ledger:
         path = f"{self.root}/ledger/{task_id or '*'}/*.json"
         return self.spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path)
 
+    def visits(self, task_id: str | None = None) -> DataFrame:
+        """(task_id, run_id, pos, stage, route, ts, delta_json): the finished visits of runs."""
+        body = F.parse_json("body")
+        rows = self.rows(task_id).where("seq > 0").select("task_id", "run_id", F.col("seq").alias("pos"), "saved_at", body.alias("b"))
+        field = lambda name, kind: F.variant_get("b", f"$.{name}", kind)
+        return rows.select("task_id", "run_id", "pos", field("stage", "string").alias("stage"), field("to", "string").alias("route"), field("ts", "double").alias("ts"), F.to_json(F.variant_get("b", "$.delta", "variant")).alias("delta_json"))
+
+    def log(self, task_id: str | None = None) -> DataFrame:
+        """The runs as the folds want them: (run_id, pos, stage, key, value), value as JSON text.
+        What a run began with stands at pos 0, written by <init>, or <fork> for a fork."""
+        body = F.parse_json("body")
+        heads = self.rows(task_id).where("seq = 0").select("run_id", F.lit(0).cast("long").alias("pos"), F.coalesce(F.variant_get(body, "$.head.producers", "string"), F.lit("<init>")).alias("stage"), F.to_json(F.variant_get(body, "$.head.initial", "variant")).alias("delta_json"))
+        rows = heads.unionByName(self.visits(task_id).select("run_id", "pos", "stage", "delta_json")).withColumnRenamed("pos", "at")
+        return rows.lateralJoin(self.spark.tvf.variant_explode(F.parse_json(F.col("delta_json").outer()))).select("run_id", F.col("at").alias("pos"), "stage", "key", F.to_json("value").alias("value"))
+
+    def saves(self, task_id: str | None = None) -> DataFrame:
+        """(task_id, run_id, save_seq, ts) of every committed row, for retention and latest runs."""
+        return self.rows(task_id).select("task_id", "run_id", F.col("seq").alias("save_seq"), F.timestamp_micros((F.col("saved_at") * 1000000).cast("long")).alias("ts"))
+
+    def runs(self) -> DataFrame:
+        """(task_id, run_id) of all runs."""
+        return self.rows().select("task_id", "run_id").distinct()
+
+    def prune(self, task_id: str, keep: int, dry_run: bool = False) -> list[str]:
+        """Remove all but the newest ``keep`` runs of a task, never the latest; the run ids."""
+        from ..operators.analytics import prune_plan
+
+        saves = self.saves(task_id).withColumn("save_seq", F.unix_micros("ts"))
+        gone = sorted(r["run_id"] for r in prune_plan(saves, keep).where("drop").select("run_id").toLocalIterator())
+        for run_id in [] if dry_run else gone:
+            fs, data = self._fs(f"{self.root}/data/{run_id}")
+            fs.delete(data, True)
+            for f in fs.globStatus(self._fs(f"{self.root}/ledger/{task_id}/{run_id}-*.json")[1]):
+                fs.delete(f.getPath(), False)
+        return gone
+
     def latest(self, task_id: str) -> tuple[dict, list[dict]] | None:
         """Head and rows of the run saved last; None if the task has none."""
         fs, p = self._fs(f"{self.root}/ledger/{task_id}")

@@ -83,3 +83,79 @@ def lambda_named(name, delta):
 
 def test_deep_merge():
     assert deep_merge({"a": {"x": 1, "y": 2}, "l": [1]}, {"a": {"y": 3}, "l": [2]}) == {"a": {"x": 1, "y": 3}, "l": [2]}
+
+
+def test_ledger_answers_queries(spark, tmp_path):
+    """State, provenance, diff and retention of runs that the runner wrote."""
+    import json
+
+    from runledger.operators import analytics, fold
+
+    f = Flow("story")
+
+    @f.stage()
+    def plan(ctx):
+        ctx.state["cfg"]["x"] = 99  # a stage's own copy
+        return {"topic": "a\"b", "k": None, "n": 1}
+
+    @f.stage(["plan"])
+    def write(ctx):
+        return {"n": ctx.state["n"] + ctx.state["cfg"]["x"], "list": [1, {"a": 2}]}
+
+    r = Runner(spark, str(tmp_path))
+    first = r.run(f, "t1", {"cfg": {"x": 1, "y": 2}})
+    assert first.status == "done" and first.state["cfg"] == {"x": 1, "y": 2}
+    fork = r.fork(f, "t1", "write", {"cfg": {"x": 5}})
+    assert fork.state["n"] == 6 and fork.state["cfg"] == {"x": 5, "y": 2}
+    log = r.ledger.log("t1")
+    for run in (first, fork):
+        rows = fold.producers(log.where(log.run_id == run.run_id)).collect()
+        assert {x.key: json.loads(x.value) for x in rows} == run.state
+        assert {x.key: x.producer for x in rows}["cfg"] == ("<init>" if run is first else "<fork>")
+    pairs = {(x.before, x.after) for x in analytics.diff(*(fold.state_fold(log.where(log.run_id == x.run_id)) for x in (first, fork)), ["key"]).collect()}
+    assert ("2", "6") in pairs and len(pairs) == 2
+    assert {(x.stage, x.pos) for x in r.ledger.visits("t1").where(f"run_id = '{first.run_id}'").collect()} == {("plan", 1), ("write", 2)}
+    assert r.ledger.runs().count() == 2
+    assert r.ledger.prune("t1", 1, dry_run=True) == [first.run_id] == r.ledger.prune("t1", 1) and r.ledger.runs().count() == 1
+
+
+def test_guards(spark, tmp_path):
+    r = Runner(spark, str(tmp_path))
+    r.run(linear(), "t1")
+    with pytest.raises(ValueError, match="done"):
+        r.run(linear(), "t1", resume=True)
+    other = linear()
+    other.name = "other"
+    with pytest.raises(ValueError, match="structure"):
+        r.fork(other, "t1", "b")
+
+    def routed(route, most):
+        f = Flow("routed")
+        for name in ("head", "left", "right"):
+            f.stage()(_named(name))
+        f.route("head", route, {"l": "left", "r": "right"}, most)
+        return f
+
+    left, right = (lambda s: "l"), (lambda s: "r")
+    hashes = {routed(left, None).structure_hash(), routed(right, None).structure_hash(), routed(left, 2).structure_hash()}
+    assert len(hashes) >= 2 and routed(left, None).route_only() == {"left", "right"}
+    bad = routed(left, None)
+    bad.stage(["head"])(_named("late"))
+    with pytest.raises(FlowError):
+        bad.validate()
+
+
+def _named(name):
+    def fn(ctx):
+        return None
+
+    fn.__name__ = name
+    return fn
+
+
+def test_closure_of_a_long_chain(spark):
+    from runledger.operators import graph
+
+    edges = spark.createDataFrame([(f"n{i:04}", f"n{i + 1:04}", "static") for i in range(120)] + [("n0120", "n0000", "conditional")], "src string, dst string, kind string")
+    assert graph.closure(edges.where("kind = 'static'")).count() == 121 * 120 // 2
+    assert graph.cycle_nodes(edges).count() == 121
