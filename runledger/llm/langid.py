@@ -35,8 +35,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut
-
 SEGMENT, CHUNK = 512, 1_500_000
 HELD = "crc32(cast(cast(doc_id as string) as binary)) % 5 = 0"
 SHARPNESS = 12.0
@@ -204,7 +202,7 @@ def learn(docs: DataFrame, held: str = HELD, sample_docs: int = 64, sample_chars
     share = F.pmod("h", F.lit(1 << 30)) * F.col("size") <= F.lit(8 * sample_docs).cast("double") * (1 << 30)
     some = fit.select("doc_id", "lang", "h").join(F.broadcast(size), "lang").where(share).select("doc_id", "lang", "h").distinct()
     by = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = cut(some.withColumn("r", F.row_number().over(by)).where(F.col("r") <= sample_docs).drop("h"), "chosen")
+    chosen = some.withColumn("r", F.row_number().over(by)).where(F.col("r") <= sample_docs).drop("h")
     room = sample_chars // 8  # no document fills more than an eighth of the sample
     at = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - room, F.lit(0)) + 1).cast("int") + 1
     rows = fit.select("doc_id", "lang", F.substring(F.col("text"), at, F.lit(room)).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "r", "text")
