@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, licenses, lines, mixing, ngram_join, secrets, token_grammar, toxicity
+from . import conversations, decontam, fingerprint, langid, licenses, lines, mixing, ngram_join, search, secrets, token_grammar, toxicity, url_filter
 from .common import table
 
 
@@ -56,6 +56,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, which stands beside the package and is imported when run."""
     import corpus_pipeline
@@ -64,9 +76,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_grammar, op2_line_dedup, op3_source_mix, op4_language, op5_licenses, op6_decontaminate, op7_fingerprint, op8_secrets, op9_ngram_join, op10_toxicity]
+    own = [op1_token_grammar, op2_line_dedup, op3_source_mix, op4_language, op5_licenses, op6_decontaminate, op7_fingerprint, op8_secrets, op9_ngram_join, op10_toxicity, op11_url_filter, op12_search, op13_conversation_repair]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": mixing.ORACLE, "op6_decontaminate": decontam.ORACLE, "op9_ngram_join": ngram_join.ORACLE}
+    return {"op3_source_mix": mixing.ORACLE, "op6_decontaminate": decontam.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op12_search": search.ORACLE}
