@@ -2,36 +2,31 @@
 
 ``events`` is a delta log (run = user, position = event id, stage = key = event type),
 ``conversations`` a list of visits, ``documents`` a table of state values, ``orders`` a list
-of runs with a status; graphs are inline edge lists.
+of runs with a status; the graph is that of the transitions that ``events`` shows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as sc
 from .operators import analytics as an
-from .operators import fold, graph
+from .operators import content, fold, graph, nested
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-EDGES = [
-    ("fetch", "build", "static", None, None),
-    ("build", "check", "static", None, None),
-    ("check", "fetch", "conditional", "redo", 3),
-    ("check", "publish", "conditional", "ok", None),
-    ("publish", "notify", "static", None, None),
-    ("notify", "archive", "static", None, None),
-    ("build", "lint", "static", None, None),
-    ("check", "audit", "static", None, None),
-]
-STAGES = ["fetch", "build", "check", "publish", "notify", "archive", "lint"]
-_SQL_EDGES = "e(src, dst, kind, key, max_visits) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in e) + ")" for e in EDGES) + ")"
+#: A stage is an event type and a third of the event ids; a run is a user.
+_X = "x AS (SELECT user_id AS run_id, event_id AS pos, event_type || '_' || (event_id % 3) AS stage, value FROM events)"
+_SQL_EDGES = _X + """,
+tr AS (SELECT stage AS src, lead(stage) OVER (PARTITION BY run_id ORDER BY pos) AS dst FROM x),
+cn AS (SELECT src, dst, count(*) AS c FROM tr WHERE src <> dst GROUP BY 1, 2),
+e AS (SELECT src, dst, 'static' AS kind, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS INTEGER) AS max_visits FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY c DESC, dst) AS r FROM cn WHERE src < dst) WHERE r <= 2
+UNION ALL SELECT src, dst, 'conditional', 'k' || r, CASE WHEN dst < src THEN 3 END FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY c DESC, dst) AS r FROM cn WHERE right(src, 2) = '_0') WHERE r <= 2)"""
 _REACH = "r AS (SELECT src, dst FROM e WHERE {c} UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src WHERE {c})"
 LOG = "log AS (SELECT user_id AS run_id, event_id AS pos, event_type AS stage, event_type AS key, value FROM events)"
 
@@ -58,8 +53,12 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("event"))
 
 
-def edges(spark: SparkSession, kind: str | None = None) -> DataFrame:
-    e = spark.createDataFrame(EDGES, "src string, dst string, kind string, key string, max_visits int")
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("pos"), F.concat("event_type", F.lit("_"), (F.col("event_id") % 3).cast("string")).alias("stage"), "value")
+
+
+def edges(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
+    e = graph.observed(steps(spark, d), F.col("src").endswith("_0"))
     return e.where(F.col("kind") == kind) if kind else e
 
 
@@ -152,13 +151,46 @@ def state_merge(spark, d):
 
 
 @query(
-    f"""WITH {LOG}, w AS (SELECT run_id, pos, stage, CAST(CAST(floor(value) AS BIGINT) % 4 AS VARCHAR) AS key FROM log), p AS (SELECT *, lag(stage) OVER (PARTITION BY run_id, key ORDER BY pos) AS producer FROM w)
-SELECT run_id, key, pos, stage, producer FROM p WHERE producer IS NOT NULL AND producer <> stage AND NOT (producer = 'view' AND stage IN ('click', 'purchase')) AND NOT (producer = 'click' AND stage = 'purchase')"""
+    f"""WITH RECURSIVE {_SQL_EDGES}, {_REACH.format(c='true')}, w AS (SELECT run_id, pos, stage, CAST(CAST(floor(value) AS BIGINT) % 4 AS VARCHAR) AS key FROM x
+UNION ALL SELECT DISTINCT run_id, CAST(-1 AS BIGINT), CASE run_id % 3 WHEN 0 THEN '<init>' ELSE '<fork>' END, '0' FROM x WHERE run_id % 3 < 2),
+p AS (SELECT *, lag(stage) OVER (PARTITION BY run_id, key ORDER BY pos) AS producer FROM w)
+SELECT run_id, key, pos, stage, producer FROM p WHERE producer IS NOT NULL AND producer <> stage AND producer <> '<fork>' AND NOT EXISTS (SELECT 1 FROM r WHERE r.src = p.producer AND r.dst = p.stage)"""
 )
 def write_conflicts(spark, d):
-    writes = log(spark, d).select("run_id", "pos", "stage", (F.floor("value") % 4).cast("string").alias("key"))
-    up = spark.createDataFrame([("view", "click"), ("view", "purchase"), ("click", "purchase")], "src string, dst string")
-    return fold.write_conflicts(writes, up)
+    writes = steps(spark, d).select("run_id", "pos", "stage", (F.floor("value") % 4).cast("string").alias("key"))
+    given = writes.where("run_id % 3 < 2").select("run_id", F.lit(-1).cast("long").alias("pos"), F.when(F.col("run_id") % 3 == 0, "<init>").otherwise("<fork>").alias("stage"), F.lit("0").alias("key")).distinct()
+    return fold.write_conflicts(writes.union(given), graph.closure(edges(spark, d)))
+
+
+_FORKS = """f AS (SELECT c.run_id, p.run_id AS parent_id, c.run_id * 7 % 23 AS kept FROM (SELECT DISTINCT user_id AS run_id FROM events) c JOIN (SELECT DISTINCT user_id AS run_id FROM events) p ON p.run_id = c.run_id - 10 WHERE c.run_id // 10 % 21 <> 0),
+a AS (SELECT run_id, parent_id AS source, kept AS bound FROM f UNION ALL SELECT a.run_id, f.parent_id, least(a.bound, f.kept) FROM a JOIN f ON f.run_id = a.source)"""
+
+
+def forks(spark, d):
+    """Each run forks from the run ten before it, in chains of 21 runs at most."""
+    runs = t(spark, d, "events").select(F.col("user_id").alias("run_id")).distinct()
+    parents = runs.select(F.col("run_id").alias("parent_id"), (F.col("run_id") + 10).alias("run_id"))
+    return runs.where(F.floor(F.col("run_id") / 10) % 21 != 0).join(parents, "run_id").select("run_id", "parent_id", (F.col("run_id") * 7 % 23).alias("kept"))
+
+
+@query(f"WITH RECURSIVE {_FORKS} SELECT run_id, source, bound FROM a")
+def fork_ancestry(spark, d):
+    return fold.ancestry(forks(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {_FORKS}, o AS (SELECT user_id AS run_id, event_type AS key, event_type || '_' || (event_id % 3) AS stage, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events),
+q AS (SELECT o.*, coalesce(kept, 0) + n AS pos FROM o LEFT JOIN f USING (run_id)),
+z AS (SELECT run_id, key, value, stage, pos * 2 + 1 AS place FROM q
+UNION ALL SELECT a.run_id, q.key, q.value, q.stage, q.pos * 2 + 1 FROM a JOIN q ON q.run_id = a.source WHERE q.pos < a.bound
+UNION ALL SELECT run_id, 'view', CAST(-run_id AS DOUBLE), '<fork>', kept * 2 FROM f WHERE run_id % 2 = 0)
+SELECT run_id, key, arg_max(value, place) AS value, arg_max(stage, place) AS producer FROM z GROUP BY 1, 2"""
+)
+def chained_fork_state(spark, d):
+    rows = fold.numbered(t(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("key"), F.concat("event_type", F.lit("_"), (F.col("event_id") % 3).cast("string")).alias("stage"), "value"), ["run_id"], "pos", "n")
+    made = forks(spark, d)
+    put = made.where("run_id % 2 = 0").select("run_id", F.lit("view").alias("key"), (-F.col("run_id")).cast("double").alias("value"))
+    return fold.chained_state(rows.withColumn("n", F.col("n") - 1), made, put)
 
 
 @query(
@@ -181,18 +213,14 @@ def override_apply(spark, d):
 
 
 # --- diffs, retention, sizes ---------------------------------------------------------------
-_PAIRS = "p AS (SELECT run_id, before FROM (SELECT run_id, lag(run_id) OVER (PARTITION BY run_id % 10 ORDER BY run_id) AS before FROM (SELECT DISTINCT user_id AS run_id FROM events)) WHERE before IS NOT NULL)"
-
-
-def _runs(spark, d):
-    return saves(spark, d).select("task_id", "run_id").distinct()
+_PAIRS = "p AS (SELECT run_id, before FROM (SELECT run_id, lag(run_id) OVER (PARTITION BY run_id % 10 ORDER BY seq) AS before FROM (SELECT user_id AS run_id, max(event_id) AS seq FROM events GROUP BY 1)) WHERE before IS NOT NULL)"
 
 
 @query(f"""WITH {LOG}, {_PAIRS}, s AS (SELECT run_id, key, arg_max(value, pos) AS v FROM log GROUP BY 1, 2),
 a AS (SELECT p.run_id, s.key, s.v FROM p JOIN s ON s.run_id = p.before), b AS (SELECT s.* FROM p JOIN s USING (run_id))
 SELECT run_id, key, a.v AS before, b.v AS after FROM a FULL JOIN b USING (run_id, key) WHERE a.v IS DISTINCT FROM b.v""")
 def state_diff(spark, d):
-    return an.diff_with_previous(fold.state_fold(log(spark, d)), _runs(spark, d), ["key"])
+    return an.diff_with_previous(fold.state_fold(log(spark, d)), saves(spark, d), ["key"])
 
 
 @query(f"""WITH {LOG}, {_PAIRS}, s AS (SELECT run_id, stage, substr(sha256(CAST(max(pos) AS VARCHAR)), 1, 16) AS h, CAST(count(*) AS INTEGER) AS v FROM log GROUP BY 1, 2),
@@ -201,14 +229,68 @@ SELECT run_id, stage, CASE WHEN a.h IS NOT NULL THEN 'done' END AS status_a, CAS
 FROM a FULL JOIN b USING (run_id, stage)""")
 def diff_stages(spark, d):
     rows = log(spark, d).groupBy("run_id", "stage").agg(F.lit("done").alias("status"), sc.digest(F.max("pos").cast("string")).alias("input_hash"), F.count("*").cast("int").alias("visits"))
-    return an.diff_stages(rows, _runs(spark, d))
+    return an.diff_stages(rows, saves(spark, d))
 
 
 @query(f"""WITH {LOG}, {_PAIRS}, s AS (SELECT run_id, stage, count(*) AS v FROM log GROUP BY 1, 2),
 a AS (SELECT p.run_id, s.stage, s.v FROM p JOIN s ON s.run_id = p.before), b AS (SELECT s.* FROM p JOIN s USING (run_id))
 SELECT run_id, stage, a.v AS before, b.v AS after FROM a FULL JOIN b USING (run_id, stage) WHERE a.v IS DISTINCT FROM b.v""")
 def diff_visits(spark, d):
-    return an.diff_with_previous(log(spark, d).groupBy("run_id", "stage").agg(F.count("*").alias("value")), _runs(spark, d), ["stage"])
+    return an.diff_with_previous(log(spark, d).groupBy("run_id", "stage").agg(F.count("*").alias("value")), saves(spark, d), ["stage"])
+
+
+_K = "CAST(CAST(floor(value) AS BIGINT) AS {v})"
+_DOC = """CASE event_id % 5 WHEN 0 THEN '{{"cfg":{{"model":"' || event_type || '","opts":{{"k":' || {k} || ',"v":null}}}},"n":' || {k} || ',"tags":[1,' || {k} || ']}}'
+WHEN 1 THEN '{{"cfg":{{"model":"' || event_type || '","opts":{{"k":' || {k} || '}}}},"n":' || {k} || '.0,"tags":[1,' || {k} || ']}}'
+WHEN 2 THEN '{{"cfg":"' || event_type || '","n":' || {k} || '}}'
+WHEN 3 THEN '{{"cfg":{{"model":"' || event_type || '","opts":[' || {k} || ']}},"long":"' || repeat(event_type, 60) || '","n":null,"tags":[1,2]}}'
+ELSE '{{"cfg":{{"opts":{{"k":' || {k} || ',"v":{{"deep":"' || event_type || '"}}}}}},"list":[' || repeat('1,', 59) || {k} || ']}}' END"""
+_PATCH = """CASE event_id % 11 WHEN 0 THEN '{{"cfg":' || {k} || '}}' WHEN 1 THEN '{{"cfg.opts.k":' || {k} || '}}' WHEN 2 THEN '{{"cfg.opts":{{"z":' || {k} || ',"y":{{}}}}}}'
+WHEN 3 THEN '{{"n":null,"tags":[' || {k} || ',1]}}' WHEN 4 THEN '{{"cfg":{{"opts":{{}}}}}}' WHEN 5 THEN '{{"n":{{"m":' || {k} || '}}}}' WHEN 6 THEN '{{"cfg.opts.z":{{"w":"' || event_type || '"}}}}' WHEN 7 THEN '{{"tags.first":' || {k} || '}}'
+ELSE '{{"cfg":{{"model":"' || event_type || '","opts":{{"k":' || {k} || '}}}}}}' END"""
+_SQL_K, _SPARK_K = _K.format(v="VARCHAR"), _K.format(v="STRING")
+
+
+@query(
+    f"""WITH RECURSIVE docs AS (SELECT event_id, run_id, CAST(b AS JSON) AS a, CAST(doc AS JSON) AS b FROM (SELECT event_id, user_id AS run_id, doc, lag(doc) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM (SELECT *, {_DOC.format(k=_SQL_K)} AS doc FROM events)) WHERE b IS NOT NULL),
+w AS (SELECT event_id, '' AS path, a, b FROM docs
+UNION ALL SELECT event_id, path || '.' || k, json_extract(a, '$."' || k || '"'), json_extract(b, '$."' || k || '"') FROM (SELECT *, unnest(list_distinct(list_concat(json_keys(a), json_keys(b)))) AS k FROM w WHERE json_type(a) = 'OBJECT' AND json_type(b) = 'OBJECT')),
+v AS (SELECT event_id, substr(path, 2) AS path, nullif(CAST(a AS VARCHAR), 'null') AS a, nullif(CAST(b AS VARCHAR), 'null') AS b FROM w WHERE path <> '' AND NOT (coalesce(json_type(a), '-') = 'OBJECT' AND coalesce(json_type(b), '-') = 'OBJECT')),
+n AS (SELECT event_id, path, regexp_replace(a, '[.]0$', '') AS a, regexp_replace(b, '[.]0$', '') AS b, a AS ra, b AS rb FROM v),
+s AS (SELECT event_id, path, CASE WHEN path = 'long' AND ra IS NOT NULL THEN substr(ra, 1, 201) || '...(truncated, total ' || (length(ra) - 2) || ' chars)"' WHEN path = 'list' AND ra IS NOT NULL THEN '[' || repeat('1,', 50) || '"...(truncated)"]' ELSE a END AS before,
+ CASE WHEN path = 'long' AND rb IS NOT NULL THEN substr(rb, 1, 201) || '...(truncated, total ' || (length(rb) - 2) || ' chars)"' WHEN path = 'list' AND rb IS NOT NULL THEN '[' || repeat('1,', 50) || '"...(truncated)"]' ELSE b END AS after FROM n WHERE a IS DISTINCT FROM b)
+SELECT * FROM s"""
+)
+def leaf_diff(spark, d):
+    doc = F.expr(_DOC.format(k=_SPARK_K))
+    rows = t(spark, d, "events").select("event_id", F.col("user_id").alias("run_id"), doc.alias("after"))
+    before = F.lag("after").over(Window.partitionBy("run_id").orderBy("event_id"))
+    return nested.leaf_diff(rows.withColumn("before", before).where("before is not null"), ["event_id"], "before", "after")
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT user_id AS run_id, event_id AS ord, CAST({_PATCH.format(k=_SQL_K)} AS JSON) AS doc FROM events),
+w AS (SELECT run_id, ord, k AS path, json_extract(doc, '$."' || k || '"') AS v, contains(k, '.') AS whole FROM (SELECT *, unnest(json_keys(doc)) AS k FROM l)
+UNION ALL SELECT run_id, ord, path || '.' || k, json_extract(v, '$."' || k || '"'), false FROM (SELECT *, unnest(json_keys(v)) AS k FROM w WHERE json_type(v) = 'OBJECT')),
+q AS (SELECT run_id, ord, path, CAST(v AS VARCHAR) AS v, json_type(v) <> 'OBJECT' OR CAST(v AS VARCHAR) = '{{}}' AS leaf, json_type(v) <> 'OBJECT' OR whole AS cuts FROM w),
+alive AS (SELECT * FROM q WHERE leaf AND NOT EXISTS (SELECT 1 FROM q z WHERE z.run_id = q.run_id AND z.ord > q.ord AND ((z.cuts AND starts_with(q.path || '.', z.path || '.')) OR (z.leaf AND z.path = q.path) OR starts_with(z.path, q.path || '.'))))
+SELECT run_id, path, v AS value FROM alive WHERE v <> '{{}}' OR NOT EXISTS (SELECT 1 FROM alive z WHERE z.run_id = alive.run_id AND starts_with(z.path, alive.path || '.'))"""
+)
+def deep_override(spark, d):
+    layers = t(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ord"), F.expr(_PATCH.format(k=_SPARK_K)).alias("doc"))
+    return nested.deep_override(layers, ["run_id"], "ord", "doc")
+
+
+@query(f"WITH {LOG}, {_PAIRS}, s AS (SELECT run_id, key, arg_max(value, pos) AS v FROM log GROUP BY 1, 2), m AS (SELECT user_id % 10 AS task_id, arg_max(user_id, event_id) AS latest FROM events GROUP BY 1), a AS (SELECT u.run_id, s.key, s.v FROM (SELECT DISTINCT run_id FROM log) u JOIN m ON m.task_id = u.run_id % 10 JOIN s ON s.run_id = m.latest)\nSELECT run_id, key, a.v AS before, s.v AS after FROM a FULL JOIN s USING (run_id, key) WHERE a.v IS DISTINCT FROM s.v")
+def compare_with(spark, d):
+    saved = saves(spark, d)
+    pairs = saved.select("task_id", "run_id").distinct().join(an.latest_run(saved).withColumnRenamed("run_id", "before"), "task_id").select("run_id", "before")
+    return an.diff_pairs(fold.state_fold(log(spark, d)), pairs, ["key"])
+
+
+@query(f"WITH {LOG}, s AS (SELECT run_id, min(pos) AS stop FROM log WHERE stage = 'purchase' GROUP BY 1), b AS (SELECT run_id, key, arg_max(value, pos) AS v FROM log LEFT JOIN s USING (run_id) WHERE stop IS NULL OR pos < stop GROUP BY 1, 2) SELECT run_id, '{{' || string_agg('\"' || key || '\":' || v, ',' ORDER BY key) || '}}' AS state FROM b GROUP BY 1")
+def export_input(spark, d):
+    return fold.as_document(fold.state_before(log(spark, d), "purchase"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS text FROM documents")
@@ -236,13 +318,24 @@ def prune_bytes(spark, d):
     return an.prune_plan(saves(spark, d), 3).where("drop").join(size, "run_id").groupBy("task_id").agg(F.sum("n").alias("bytes"))
 
 
+@query(f"""WITH RECURSIVE {_FORKS}, r AS (SELECT user_id % 10 AS task_id, user_id AS run_id, max(ts) AS ts, max(event_id) AS seq FROM events GROUP BY 1, 2),
+k AS (SELECT run_id FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, run_id DESC) AS rank, max(seq) OVER (PARTITION BY task_id) AS newest FROM r) WHERE rank <= 3 OR seq = newest),
+n AS (SELECT run_id, run_id AS source FROM r UNION SELECT run_id, source FROM a WHERE bound > 0)
+SELECT 'data/' || source AS path FROM n GROUP BY source HAVING count(*) FILTER (WHERE run_id IN (SELECT run_id FROM k)) = 0""")
+def sweep_plan(spark, d):
+    """Each run reads its own data and that of the runs it forked from, up to the cut."""
+    own = saves(spark, d).select("run_id", F.col("run_id").alias("source")).distinct()
+    read = own.union(fold.ancestry(forks(spark, d)).where("bound > 0").select("run_id", "source"))
+    return an.sweep_plan(read.select("run_id", F.concat(F.lit("data/"), F.col("source").cast("string")).alias("path")), an.prune_plan(saves(spark, d), 3).where("drop"))
+
+
 @query("SELECT user_id % 10 AS task_id, arg_max(user_id, event_id) AS run_id FROM events GROUP BY 1")
 def latest_run(spark, d):
     return an.latest_run(saves(spark, d))
 
 
 @query("SELECT DISTINCT user_id % 10 AS task_id, user_id AS run_id FROM events")
-def list_runs(spark, d):
+def listsaves(spark, d):
     return saves(spark, d).select("task_id", "run_id").distinct()
 
 
@@ -301,7 +394,7 @@ def input_hash(spark, d):
 @query(f"WITH {_SQL_EDGES} SELECT substr(sha256(string_agg(src || '>' || dst || ':' || kind || ':' || coalesce(key, ''), '|' ORDER BY src, dst, kind)), 1, 16) AS structure_hash FROM e")
 def structure_hash(spark, d):
     row = F.concat(F.col("src"), F.lit(">"), F.col("dst"), F.lit(":"), F.col("kind"), F.lit(":"), F.coalesce("key", F.lit("")))
-    rows = edges(spark).agg(F.array_sort(F.collect_list(F.struct("src", "dst", "kind", row.alias("row")))).alias("rows"))
+    rows = edges(spark, d).agg(F.array_sort(F.collect_list(F.struct("src", "dst", "kind", row.alias("row")))).alias("rows"))
     return rows.select(sc.digest(F.array_join(F.transform("rows", lambda r: r["row"]), "|")).alias("structure_hash"))
 
 
@@ -316,6 +409,51 @@ def source_drift(spark, d):
     return rows.groupBy("stage").agg(F.countDistinct("h").alias("versions")).where("versions > 1")
 
 
+_HASH = """md5(concat_ws('|', coalesce(length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey, '-'), coalesce(length(CAST(o_custkey AS VARCHAR)) || ':' || o_custkey, '-'), coalesce(length(o_orderstatus) || ':' || o_orderstatus, '-'), coalesce(length(CAST(cents AS VARCHAR)) || ':' || cents, '-')))"""
+_CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
+_VERSIONS = f"""a AS (SELECT o_orderkey, o_custkey, o_orderstatus, {_CENTS} AS cents FROM orders),
+b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 997 = 3 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, cents FROM a WHERE o_orderkey % 1009 <> 5)"""
+_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "cents"]
+
+
+def _versions(spark, d):
+    """Two versions of orders: some rows changed, some gone."""
+    a = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.expr(_CENTS).alias("cents"))
+    status = F.when(F.col("o_orderkey") % 997 == 3, "X").otherwise(F.col("o_orderstatus"))
+    return a, a.where("o_orderkey % 1009 <> 5").withColumn("o_orderstatus", status)
+
+
+@query(f"WITH {_VERSIONS}, h AS (SELECT o_orderstatus, {_HASH} AS h FROM a) SELECT o_orderstatus AS status, count(*) AS n, CAST(sum(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT)) % 1152921504606846976 AS BIGINT) AS d1, CAST(sum(CAST(CAST('0x' || substr(h, 16, 15) AS BIGINT) AS HUGEINT)) % 1152921504606846976 AS BIGINT) AS d2 FROM h GROUP BY 1")
+def content_digest(spark, d):
+    a, _ = _versions(spark, d)
+    return content.content_digest(a, _COLUMNS, [F.col("o_orderstatus").alias("status")])
+
+
+_WIDTH = 64
+
+
+def _changed(spark, d):
+    a, b = _versions(spark, d)
+    return a, b, content.differing(*(content.tree(x, "o_orderkey", _COLUMNS, _WIDTH) for x in (a, b)))
+
+
+@query(f"WITH {_VERSIONS}, u AS (SELECT *, 1 AS x, 0 AS y FROM a UNION ALL SELECT *, 0, 1 FROM b) SELECT o_orderkey, o_custkey, o_orderstatus, cents, CAST(sum(x) AS BIGINT) AS n_a, CAST(sum(y) AS BIGINT) AS n_b FROM u GROUP BY 1, 2, 3, 4 HAVING sum(x) <> sum(y)")
+def range_diff(spark, d):
+    a, b, nodes = _changed(spark, d)
+    return content.range_diff(a, b, "o_orderkey", _COLUMNS, nodes.where("level = 0"), _WIDTH)
+
+
+@query(f"""WITH {_VERSIONS}, u AS (SELECT *, 1 AS x, 0 AS y FROM a UNION ALL SELECT *, 0, 1 FROM b), g AS (SELECT o_orderkey, sum(x) AS x, sum(y) AS y FROM u GROUP BY o_orderkey, o_custkey, o_orderstatus, cents),
+l(level, width) AS (VALUES (0, {_WIDTH}), (1, {_WIDTH * 16}), (2, {_WIDTH * 256}), (3, {_WIDTH * 4096})), z AS (SELECT level, o_orderkey // width AS node, max(CASE WHEN x <> y THEN 1 ELSE 0 END) AS differs, sum(x + y) AS n FROM g, l GROUP BY 1, 2)
+SELECT level, count(*) AS ranges, CAST(sum(n) AS BIGINT) AS rows_read FROM z WHERE differs = 1 GROUP BY 1""")
+def range_diff_cost(spark, d):
+    """Ranges that differ at each level, and the rows that are read if one stops there."""
+    a, b, nodes = _changed(spark, d)
+    trees = [content.tree(x, "o_orderkey", _COLUMNS, _WIDTH) for x in (a, b)]
+    both = trees[0].union(trees[1]).join(nodes, ["level", "node"])
+    return both.groupBy("level").agg(F.countDistinct("node").alias("ranges"), F.sum("n").alias("rows_read"))
+
+
 # --- scalar functions ----------------------------------------------------------------------
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_path(spark, d):
@@ -400,12 +538,12 @@ def mermaid_text(spark, d):
 # --- graphs --------------------------------------------------------------------------------
 @query(f"WITH RECURSIVE {_SQL_EDGES}, {_REACH.format(c='true')} SELECT src, dst FROM r")
 def execution_reach(spark, d):
-    return graph.closure(edges(spark))
+    return graph.closure(edges(spark, d))
 
 
-@query(f"WITH RECURSIVE {_SQL_EDGES}, {_REACH.format(c='true')} SELECT dst FROM r WHERE src = 'build'")
+@query(f"WITH RECURSIVE {_SQL_EDGES}, {_REACH.format(c='true')} SELECT dst FROM r WHERE src = 'click_0'")
 def reachability(spark, d):
-    return graph.closure(edges(spark)).where("src = 'build'").select("dst")
+    return graph.closure(edges(spark, d)).where("src = 'click_0'").select("dst")
 
 
 _STATIC = _REACH.format(c="e.kind = 'static'").replace("FROM e WHERE e.kind", "FROM e WHERE kind")
@@ -413,70 +551,80 @@ _STATIC = _REACH.format(c="e.kind = 'static'").replace("FROM e WHERE e.kind", "F
 
 @query(f"WITH RECURSIVE {_SQL_EDGES}, {_STATIC} SELECT src, dst FROM r")
 def static_closure(spark, d):
-    return graph.closure(edges(spark, "static"))
+    return graph.closure(edges(spark, d, "static"))
 
 
 @query(f"WITH RECURSIVE {_SQL_EDGES}, {_REACH.format(c='true')} SELECT src AS node FROM r WHERE src = dst")
 def cycle_nodes(spark, d):
-    return graph.cycle_nodes(edges(spark))
+    return graph.cycle_nodes(edges(spark, d))
 
 
 @query(f"WITH RECURSIVE {_SQL_EDGES}, {_REACH.format(c='true')}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT n.node, least(n.node, coalesce(min(a.dst), n.node)) AS scc FROM n LEFT JOIN r a ON a.src = n.node AND EXISTS (SELECT 1 FROM r b WHERE b.src = a.dst AND b.dst = a.src) GROUP BY n.node")
 def scc_members(spark, d):
-    return graph.scc_members(edges(spark))
+    return graph.scc_members(edges(spark, d))
 
 
 @query(f"WITH RECURSIVE {_SQL_EDGES}, s AS (SELECT src, dst FROM e WHERE kind = 'static'), p AS (SELECT src AS node, 0 AS level FROM s UNION SELECT dst, 0 FROM s UNION SELECT s.dst, p.level + 1 FROM p JOIN s ON s.src = p.node) SELECT node, max(level) AS level FROM p GROUP BY 1")
 def topo_levels(spark, d):
-    return graph.topo_levels(edges(spark, "static"))
+    return graph.topo_levels(edges(spark, d, "static"))
 
 
-# the inline graph: redo leads back to fetch, which has no static parent and starts a loop that
-# nothing outside enters, so it is exempt; ok leads forward to publish
-_ONLY = f"""{_REACH.format(c='true')}, c AS (SELECT DISTINCT src, dst FROM e WHERE kind = 'conditional'),
-ro AS (SELECT dst AS node FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.src = c.dst AND r.dst = c.src))"""
+_ONLY = f"""{_REACH.format(c='true')}, nd AS (SELECT node, row_number() OVER (ORDER BY node) AS idx FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)),
+c AS (SELECT DISTINCT src, dst FROM e WHERE kind = 'conditional'), bk AS (SELECT c.src, c.dst FROM c JOIN r ON r.src = c.dst AND r.dst = c.src),
+inn AS (SELECT DISTINCT dst AS node FROM bk WHERE dst NOT IN (SELECT dst FROM e WHERE kind = 'static')),
+mem AS (SELECT node AS t, node AS m FROM nd UNION SELECT a.src, a.dst FROM r a JOIN r b ON b.src = a.dst AND b.dst = a.src),
+ent AS (SELECT DISTINCT mem.t FROM mem JOIN e ON e.dst = mem.m AND e.kind = 'static' WHERE NOT EXISTS (SELECT 1 FROM mem k WHERE k.t = mem.t AND k.m = e.src)),
+fst AS (SELECT node FROM inn JOIN nd USING (node) WHERE node NOT IN (SELECT t FROM ent) ORDER BY idx LIMIT 1),
+ro AS (SELECT node FROM (SELECT dst AS node FROM c WHERE NOT EXISTS (SELECT 1 FROM bk WHERE bk.src = c.src AND bk.dst = c.dst) UNION SELECT node FROM inn) WHERE node NOT IN (SELECT node FROM fst))"""
 
 
-def _declared(spark):
-    return spark.createDataFrame([(s, i) for i, s in enumerate([*STAGES, "audit"])], "node string, idx int")
+def _declared(e):
+    """Stages in order of declaration: that of their names."""
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    return nodes.withColumn("idx", F.row_number().over(Window.orderBy("node")))
 
 
 @query(f"WITH RECURSIVE {_SQL_EDGES}, {_ONLY} SELECT DISTINCT node FROM ro")
 def route_only(spark, d):
-    return graph.route_only(edges(spark), _declared(spark))
+    e = edges(spark, d)
+    return graph.route_only(e, _declared(e))
 
 
 @query(f"WITH RECURSIVE {_SQL_EDGES}, {_ONLY}, {_STATIC.replace('r AS', 's AS').replace('FROM r JOIN', 'FROM s r JOIN')} SELECT s.dst AS node, s.src AS gate FROM s WHERE s.src IN (SELECT node FROM ro)")
 def gate_sets(spark, d):
-    return graph.gate_sets(edges(spark), _declared(spark))
+    e = edges(spark, d)
+    return graph.gate_sets(e, _declared(e))
 
 
-@query(f"WITH {_SQL_EDGES} SELECT DISTINCT dst AS stage FROM e WHERE dst NOT IN ({', '.join(map(repr, STAGES))})")
+@query(f"WITH {_SQL_EDGES} SELECT DISTINCT dst AS stage FROM e WHERE dst NOT IN (SELECT stage FROM x GROUP BY 1 HAVING count(*) * (SELECT count(DISTINCT stage) FROM x) >= (SELECT count(*) FROM x))")
 def unknown_deps(spark, d):
-    named = spark.createDataFrame([(s,) for s in STAGES], "stage string")
-    turned = edges(spark).select(F.col("dst").alias("src"))
-    return graph.unknown_deps(turned, named)
+    """Dependencies on stages that run less often than the mean are not declared."""
+    counts = steps(spark, d).groupBy("stage").agg(F.count("*").alias("c"))
+    named = counts.crossJoin(F.broadcast(counts.agg(F.sum("c").alias("every"), F.count("*").alias("stages")))).where("c * stages >= every")  # one row
+    return graph.unknown_deps(edges(spark, d).select(F.col("dst").alias("src")), named.select("stage"))
 
 
 @query(f"WITH {_SQL_EDGES} SELECT src, dst FROM e a WHERE kind = 'static' AND src IN (SELECT src FROM e WHERE kind = 'conditional') AND (NOT EXISTS (SELECT 1 FROM e b WHERE b.kind = 'conditional' AND b.src = a.src AND b.dst = a.dst) OR dst IN (SELECT dst FROM e WHERE kind = 'conditional'))")
 def router_rule_violations(spark, d):
-    return graph.router_rule_violations(edges(spark))
+    return graph.router_rule_violations(edges(spark, d))
 
 
-@query("SELECT o_orderkey AS run_id FROM orders WHERE substr(sha256(o_orderstatus), 1, 16) <> substr(sha256('F'), 1, 16)")
+@query(f"WITH {_X}, h AS (SELECT run_id, max(pos) AS seq, substr(sha256(string_agg(DISTINCT stage, '|' ORDER BY stage)), 1, 16) AS h FROM x GROUP BY 1), m AS (SELECT run_id % 10 AS task_id, arg_max(h, seq) AS newest FROM h GROUP BY 1) SELECT run_id, h AS workflow_hash, newest FROM h JOIN m ON m.task_id = run_id % 10 WHERE h <> newest")
 def incompatible_runs(spark, d):
-    return t(spark, d, "orders").where(sc.digest(F.col("o_orderstatus")) != sc.digest(F.lit("F"))).select(F.col("o_orderkey").alias("run_id"))
+    """Runs whose set of stages is not that of the task's latest run."""
+    shape = sc.digest(F.array_join(F.array_sort(F.collect_set("stage")), "|"))
+    return an.incompatible(steps(spark, d).groupBy((F.col("run_id") % 10).alias("task_id"), "run_id").agg(F.max("pos").alias("save_seq"), shape.alias("workflow_hash")))
 
 
 @query(f"WITH {_SQL_EDGES} SELECT src, dst, src || CASE WHEN kind = 'static' THEN ' --> ' ELSE ' -. ' || key || ' .-> ' END || dst AS line FROM e")
 def mermaid_edges(spark, d):
     arrow = F.when(F.col("kind") == "static", " --> ").otherwise(F.concat(F.lit(" -. "), F.coalesce("key", F.lit("")), F.lit(" .-> ")))
-    return edges(spark).select("src", "dst", F.concat("src", arrow, "dst").alias("line"))
+    return edges(spark, d).select("src", "dst", F.concat("src", arrow, "dst").alias("line"))
 
 
 @query(f"WITH {_SQL_EDGES} SELECT '{{\"src\":\"' || src || '\",\"dst\":\"' || dst || '\",\"kind\":\"' || kind || '\"}}' AS edge FROM e")
 def graph_edges(spark, d):
-    return edges(spark).select(F.to_json(F.struct("src", "dst", "kind")).alias("edge"))
+    return edges(spark, d).select(F.to_json(F.struct("src", "dst", "kind")).alias("edge"))
 
 
 # --- routing and fuses ---------------------------------------------------------------------
@@ -509,16 +657,46 @@ def next_stage(spark, d):
     return an.next_stage(order(spark), log(spark, d).where("pos % 3 = 0"))
 
 
-@query(f"WITH {_ORD} SELECT run_id, stage FROM todo WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = todo.run_id AND e.event_type = 'view' AND e.event_id % 2 = 0 AND todo.stage = 'ship')")
+_DECIDED = f"""{_SQL_EDGES}, {_REACH.format(c='true')}, y AS (SELECT * FROM x WHERE value > 60), dc AS (SELECT run_id, stage AS router, max(pos) AS seq, 'k' || (1 + max(pos) % 2) AS route FROM y WHERE right(stage, 2) = '_0' GROUP BY 1, 2),
+ld AS (SELECT dc.run_id, dc.router, e.dst AS target, dc.seq FROM dc JOIN e ON e.kind = 'conditional' AND e.src = dc.router AND e.key = dc.route),
+st AS (SELECT ld.run_id, ld.router, ld.target, ld.seq, v.stage AS stray, max(v.pos) AS last FROM ld JOIN y v ON v.run_id = ld.run_id AND v.pos > ld.seq WHERE v.stage <> ld.target AND NOT EXISTS (SELECT 1 FROM r WHERE r.src = ld.target AND r.dst = v.stage) GROUP BY 1, 2, 3, 4, 5)"""
+
+
+def _decided(spark, d):
+    """Graph, closure, visits, mapping and last decisions; a router's decision goes by the id of its event."""
+    e = edges(spark, d)
+    visits = steps(spark, d).where("value > 60")
+    mapping = e.where("kind = 'conditional'").select(F.col("src").alias("router"), F.col("key").alias("route"), F.col("dst").alias("target"))
+    made = visits.where(F.col("stage").endswith("_0")).select("run_id", F.col("stage").alias("router"), F.col("pos").alias("seq"), F.concat(F.lit("k"), (1 + F.col("pos") % 2).cast("string")).alias("route"))
+    return e, graph.closure(e), visits, mapping, an.last_decisions(made, mapping)
+
+
+@query(
+    f"""WITH RECURSIVE {_DECIDED}, fresh AS (SELECT run_id, router FROM ld WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.run_id = ld.run_id AND st.router = ld.router)),
+tg AS (SELECT run_id, e.dst AS stage FROM fresh JOIN e ON e.src = fresh.router AND e.kind = 'conditional'), cov AS (SELECT * FROM tg UNION SELECT tg.run_id, r.dst FROM tg JOIN r ON r.src = tg.stage),
+nd AS (SELECT src AS stage FROM e UNION SELECT dst FROM e) SELECT u.run_id, nd.stage FROM (SELECT DISTINCT run_id FROM y) u CROSS JOIN nd WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.run_id = u.run_id AND y.stage = nd.stage) AND NOT EXISTS (SELECT 1 FROM cov WHERE cov.run_id = u.run_id AND cov.stage = nd.stage)"""
+)
 def orphan_stages(spark, d):
-    covered = log(spark, d).where("stage = 'view' and pos % 2 = 0").select("run_id", F.lit("ship").alias("stage"))
-    return an.orphan_stages(order(spark), log(spark, d).where("pos % 3 = 0"), covered)
+    e, reach, visits, mapping, decided = _decided(spark, d)
+    return an.orphan_stages(_declared(e).select(F.col("node").alias("stage")), decided, visits, mapping, reach)
 
 
-@query("WITH r AS (SELECT user_id AS run_id, event_type AS stage, max(event_id) AS seq FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), l AS (SELECT user_id AS run_id, event_type AS stage, max(event_id) AS last FROM events GROUP BY 1, 2) SELECT run_id, stage, seq, last FROM r JOIN l USING (run_id, stage) WHERE last > seq")
+@query(f"WITH RECURSIVE {_DECIDED} SELECT * FROM st")
 def stale_routes(spark, d):
-    rows = log(spark, d)
-    return an.stale_routes(rows.where("pos % 2 = 0").select("run_id", "stage", F.col("pos").alias("seq")), rows)
+    _, reach, visits, _, decided = _decided(spark, d)
+    return an.stale_routes(decided, visits, reach)
+
+
+@query(
+    f"""WITH RECURSIVE {_SQL_EDGES}, {_STATIC}, {_PAIRS}, h AS (SELECT run_id, stage, CAST(floor(arg_max(value, pos)) AS BIGINT) % 4 = 0 AS h FROM x GROUP BY 1, 2),
+sm AS (SELECT p.run_id, a.stage, coalesce(a.h = b.h, false) AS same FROM p JOIN h a ON a.run_id = p.run_id LEFT JOIN h b ON b.run_id = p.before AND b.stage = a.stage)
+SELECT run_id, stage, same, same AND NOT EXISTS (SELECT 1 FROM r WHERE r.dst = sm.stage AND NOT EXISTS (SELECT 1 FROM sm k WHERE k.run_id = sm.run_id AND k.stage = r.src AND k.same)) AS skipped FROM sm"""
+)
+def skip_propagation(spark, d):
+    hashes = steps(spark, d).groupBy("run_id", "stage").agg(sc.digest((F.floor(F.max_by("value", "pos")) % 4 == 0).cast("string")).alias("input_hash"))
+    pairs = an.previous_runs(saves(spark, d))
+    history = hashes.withColumnRenamed("run_id", "before").join(pairs, "before").select("run_id", "stage", "input_hash")
+    return an.skippable(hashes.join(pairs, "run_id", "left_semi"), history, edges(spark, d, "static"))
 
 
 @query("SELECT run_id, stage, pos FROM (SELECT user_id AS run_id, event_type AS stage, event_id AS pos, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS v FROM events) WHERE v = 6")
@@ -538,8 +716,9 @@ def backoff_caps(spark, d):
 
 # --- events --------------------------------------------------------------------------------
 _OPEN = """e AS (SELECT user_id AS run_id, CAST(event_id % 3 AS VARCHAR) AS stage, event_id AS seq, event_type AS event FROM events),
-n AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, stage, event ORDER BY seq) AS INTEGER) AS visit FROM e WHERE event IN ('view', 'purchase')),
-u AS (SELECT run_id, stage, visit, seq FROM n WHERE event = 'view' AND NOT EXISTS (SELECT 1 FROM n b WHERE b.event = 'purchase' AND b.run_id = n.run_id AND b.stage = n.stage AND b.visit = n.visit))"""
+n AS (SELECT *, CAST(count(*) FILTER (WHERE event = 'view') OVER w AS INTEGER) AS visit, count(*) FILTER (WHERE event = 'view') OVER w - count(*) FILTER (WHERE event = 'purchase') OVER w AS depth
+  FROM e WHERE event IN ('view', 'purchase') WINDOW w AS (PARTITION BY run_id, stage ORDER BY seq)),
+u AS (SELECT run_id, stage, visit, seq FROM n WHERE event = 'view' AND NOT EXISTS (SELECT 1 FROM n b WHERE b.run_id = n.run_id AND b.stage = n.stage AND b.seq > n.seq AND b.depth < n.depth))"""
 
 
 def _staged(spark, d):

@@ -55,9 +55,15 @@ def parse_set(item: Column) -> tuple[Column, Column]:
 
 
 def fmt_secs(t: Column) -> Column:
-    """Below one second one decimal, else whole seconds; halves of the binary value go to even."""
-    exact = t.cast("decimal(38,18)")
-    return F.when(t < 1, F.bround(exact, 1).cast("decimal(20,1)").cast("string")).otherwise(F.bround(exact, 0).cast("decimal(20,0)").cast("string"))
+    """Below one second one decimal, else whole seconds, both rounded as the binary value lies
+    and halves to even. A fraction times 2^60 is a whole number without loss, so twentieths of
+    it are counted exactly. Durations are not negative."""
+    whole = F.lit(1 << 60).cast("decimal(20,0)")
+    x = F.lit(20).cast("decimal(2,0)") * (F.when(t < 1, t).otherwise(0.0) * float(1 << 60)).cast("long").cast("decimal(19,0)")
+    steps, over = F.call_function("div", x, whole), x % whole  # twentieths, and what is left
+    tenths = F.floor(steps / 2) + F.when(steps % 2 == 0, 0).when((over > 0) | (F.floor(steps / 2) % 2 == 1), 1).otherwise(0)
+    short = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(t < 1, short).otherwise(F.rint(t).cast("decimal(38,0)").cast("string"))
 
 
 # Words that a node id must not be.

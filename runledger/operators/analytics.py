@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import durable
+
 
 def diff(a: DataFrame, b: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Rows whose value differs between a and b; missing and null are the same."""
@@ -12,10 +14,10 @@ def diff(a: DataFrame, b: DataFrame, keys: list[str], value: str = "value") -> D
     return left.join(right, keys, "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def diff_stages(rows: DataFrame, runs: DataFrame) -> DataFrame:
+def diff_stages(rows: DataFrame, saves: DataFrame) -> DataFrame:
     """Per stage of every run and the run before it (rows: run_id, stage, status, input_hash,
     visits): pairs, and whether the input changed (null where either side has no hash)."""
-    pairs = previous_runs(runs)
+    pairs = previous_runs(saves)
     old = rows.join(pairs.withColumnsRenamed({"run_id": "later", "before": "run_id"}), "run_id").drop("run_id").withColumnRenamed("later", "run_id")
     new = rows.join(pairs.select("run_id"), "run_id", "left_semi")
     sides = [x.select("run_id", "stage", *[F.col(c).alias(f"{c}_{s}") for c in ("status", "input_hash", "visits")]) for x, s in ((old, "a"), (new, "b"))]
@@ -32,6 +34,13 @@ def prune_plan(saves: DataFrame, keep: int) -> DataFrame:
     return runs.withColumn("drop", (F.col("rank") > keep) & (F.col("seq") != F.col("newest"))).select("task_id", "run_id", "rank", "drop")
 
 
+def sweep_plan(references: DataFrame, drop: DataFrame) -> DataFrame:
+    """(path): tables that a dropped run names and no run that stays does. References (run_id,
+    path) hold for each run all that its state reads, also what it got by forking."""
+    named = references.join(drop.select("run_id").distinct().withColumn("gone", F.lit(True)), "run_id", "left")
+    return named.groupBy("path").agg(F.bool_and(F.coalesce("gone", F.lit(False))).alias("free")).where("free").select("path")
+
+
 def latest_run(saves: DataFrame) -> DataFrame:
     return saves.groupBy("task_id").agg(F.max_by("run_id", "save_seq").alias("run_id"))
 
@@ -65,12 +74,19 @@ def trace_summary(runs: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def unpaired(events: DataFrame, start: str, end: str) -> DataFrame:
-    """Starts without their end: the n-th start of a (run, stage) is ended by its n-th end, so
-    rows have run_id, stage, seq and the visit that is still open."""
-    by = Window.partitionBy("run_id", "stage", "event").orderBy("seq")
-    rows = events.where(F.col("event").isin(start, end)).withColumn("visit", F.row_number().over(by))
-    ends = rows.where(F.col("event") == end).select("run_id", "stage", "visit")
-    return rows.where(F.col("event") == start).join(ends, ["run_id", "stage", "visit"], "left_anti").select("run_id", "stage", "visit", "seq")
+    """Starts without their end: an end closes the latest open start before it of its (run,
+    stage), and one without an open start closes nothing. Rows have run_id, stage, seq and the
+    number of the start (visit).
+
+    Starts count up and ends down; a start is open if the count never falls below what it
+    was at the start again. Both sums are running ones, so a long run is sorted, not held."""
+    by = Window.partitionBy("run_id", "stage")
+    up = F.when(F.col("event") == start, 1).otherwise(-1)
+    forth = by.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = events.where(F.col("event").isin(start, end)).withColumns({"depth": F.sum(up).over(forth), "visit": F.sum(F.greatest(up, F.lit(0))).over(forth).cast("int")})
+    rows = rows.withColumn("lowest", F.min("depth").over(by.orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)))
+    still = F.col("lowest").isNull() | (F.col("lowest") >= F.col("depth"))
+    return rows.where((F.col("event") == start) & still).select("run_id", "stage", "visit", "seq")
 
 
 def in_flight(events: DataFrame, start: str, end: str) -> DataFrame:
@@ -119,17 +135,59 @@ def next_stage(order: DataFrame, done: DataFrame) -> DataFrame:
     return todo.groupBy("run_id").agg(F.min_by("stage", "idx").alias("next"))
 
 
-def orphan_stages(order: DataFrame, done: DataFrame, covered: DataFrame) -> DataFrame:
-    """Undone stages of a run that no taken router covers; covered (run_id, stage)."""
-    todo = done.select("run_id").distinct().crossJoin(order.select("stage")).join(done.select("run_id", "stage").distinct(), ["run_id", "stage"], "left_anti")
-    return todo.join(covered.select("run_id", "stage").distinct(), ["run_id", "stage"], "left_anti")
-
-
-def stale_routes(routes: DataFrame, done: DataFrame) -> DataFrame:
-    """Routes whose router ran again after its last decision."""
-    last = done.groupBy("run_id", "stage").agg(F.max("pos").alias("last"))
-    latest = routes.groupBy("run_id", "stage").agg(F.max("seq").alias("seq"))
-    return latest.join(last, ["run_id", "stage"]).where("last > seq")
+def last_decisions(decisions: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(run_id, router, target, seq): where each router of a run led last; decisions (run_id,
+    router, route, seq), mapping (router, route, target)."""
+    last = decisions.groupBy("run_id", "router").agg(F.max_by("route", "seq").alias("route"), F.max("seq").alias("seq"))
+    return last.join(mapping, ["router", "route"]).select("run_id", "router", "target", "seq")
+
+
+def stale_routes(decided: DataFrame, visits: DataFrame, reach: DataFrame) -> DataFrame:
+    """(run_id, router, target, seq, stray, last): last decisions after which a stage ran that
+    is neither the target nor reachable from it. visits (run_id, pos, stage), reach (src, dst).
+
+    Visits are reduced to the last one of each stage first, with map-side combine, so the as-of
+    join meets stages, not visits."""
+    last = visits.groupBy("run_id", "stage").agg(F.max("pos").alias("last"))
+    later = decided.join(last, "run_id").where((F.col("last") > F.col("seq")) & (F.col("stage") != F.col("target")))
+    allowed = reach.select(F.col("src").alias("target"), F.col("dst").alias("stage"))
+    return later.join(allowed, ["target", "stage"], "left_anti").select("run_id", "router", "target", "seq", F.col("stage").alias("stray"), "last")
+
+
+def orphan_stages(stages: DataFrame, decided: DataFrame, visits: DataFrame, mapping: DataFrame, reach: DataFrame) -> DataFrame:
+    """(run_id, stage): stages that a run never reached, and that none of its routers covers. A
+    router whose last decision is not stale covers all its targets and what they lead to."""
+    done = visits.select("run_id", "stage").distinct()
+    stale = stale_routes(decided, visits, reach).select("run_id", "router").distinct()
+    fresh = decided.select("run_id", "router").join(stale, ["run_id", "router"], "left_anti")
+    targets = mapping.select("router", F.col("target").alias("stage")).distinct()
+    beyond = targets.withColumnRenamed("stage", "src").join(reach, "src").select("router", F.col("dst").alias("stage"))
+    covered = fresh.join(targets.union(beyond).distinct(), "router").select("run_id", "stage")
+    every = done.groupBy("run_id").agg(F.collect_set("stage").alias("had")).crossJoin(F.broadcast(stages.agg(F.collect_set("stage").alias("named"))))  # one row of stage names
+    todo = every.select("run_id", F.explode(F.array_except("named", "had")).alias("stage"))
+    return todo.join(covered, ["run_id", "stage"], "left_anti")
+
+
+def skippable(visits: DataFrame, history: DataFrame, static: DataFrame) -> DataFrame:
+    """(run_id, stage, same, skipped): whether a stage's input is the one of its last done visit
+    in the history, and whether the stage can be skipped: it and all its static ancestors are
+    the same. visits and history (run_id, stage, input_hash), static (src, dst).
+
+    Stages that are not the same block their children, round by round of the graph's levels:
+    each round only carries on what the last one newly blocked. An ancestor that either side
+    lacks blocks as well."""
+    old = history.select("run_id", "stage", F.col("input_hash").alias("old"))
+    same = durable(visits.join(old, ["run_id", "stage"], "left").select("run_id", "stage", F.coalesce(F.col("input_hash") == F.col("old"), F.lit(False)).alias("same")))
+    edges = static.select("src", "dst").distinct()
+    runs = same.select("run_id").distinct().crossJoin(F.broadcast(edges.select(F.col("src").alias("stage")).distinct()))  # stages of one graph
+    lacking = runs.join(same.select("run_id", "stage"), ["run_id", "stage"], "left_anti")
+    blocked = new = durable(same.where(~F.col("same")).select("run_id", "stage").union(lacking))
+    while not new.isEmpty():
+        children = new.join(edges, F.col("stage") == F.col("src")).select("run_id", F.col("dst").alias("stage")).distinct()
+        new = durable(children.join(blocked, ["run_id", "stage"], "left_anti"))
+        blocked = blocked.union(new)
+    held = blocked.withColumn("held", F.lit(True))
+    return same.join(held, ["run_id", "stage"], "left").select("run_id", "stage", "same", F.col("held").isNull().alias("skipped"))
 
 
 def skip_candidates(visits: DataFrame) -> DataFrame:
@@ -139,15 +197,28 @@ def skip_candidates(visits: DataFrame) -> DataFrame:
     return visits.withColumn("_b", before).where(F.col("input_hash") == F.col("_b")).drop("_b")
 
 
-def previous_runs(runs: DataFrame) -> DataFrame:
-    """(run_id, before): each run of a task and the run before it; runs (task_id, run_id)."""
-    by = Window.partitionBy("task_id").orderBy("run_id")
-    return runs.distinct().withColumn("before", F.lag("run_id").over(by)).where("before is not null").select("run_id", "before")
+def previous_runs(saves: DataFrame) -> DataFrame:
+    """(run_id, before): each run of a task and the run saved last before it; saves (task_id,
+    run_id, save_seq). Ids say nothing about the order, the sequence of saves does."""
+    runs = saves.groupBy("task_id", "run_id").agg(F.max("save_seq").alias("seq"))
+    by = Window.partitionBy("task_id").orderBy("seq")
+    return runs.withColumn("before", F.lag("run_id").over(by)).where("before is not null").select("run_id", "before")
 
 
-def diff_with_previous(rows: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Every run against the one before it: rows (run_id, keys, value) that differ, missing and
-    null being the same."""
-    pairs = previous_runs(runs)
+def diff_pairs(rows: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Chosen runs against chosen others: rows (run_id, keys, value) that differ, missing and
+    null being the same; pairs (run_id, before)."""
     old = rows.join(pairs.withColumnsRenamed({"run_id": "later", "before": "run_id"}), "run_id").drop("run_id").withColumnRenamed("later", "run_id")
     return diff(old, rows.join(pairs.select("run_id"), "run_id", "left_semi"), ["run_id", *keys])
+
+
+def diff_with_previous(rows: DataFrame, saves: DataFrame, keys: list[str]) -> DataFrame:
+    """Every run against the one saved before it."""
+    return diff_pairs(rows, previous_runs(saves), keys)
+
+
+def incompatible(runs: DataFrame) -> DataFrame:
+    """(run_id, workflow_hash, newest): runs whose structure is not that of the task's latest
+    run; runs (task_id, run_id, save_seq, workflow_hash)."""
+    newest = runs.groupBy("task_id").agg(F.max_by("workflow_hash", "save_seq").alias("newest"))
+    return runs.join(newest, "task_id").where("workflow_hash <> newest").select("run_id", "workflow_hash", "newest")

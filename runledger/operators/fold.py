@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import durable
+
 
 def state_fold(log: DataFrame) -> DataFrame:
     """Last write of each key wins; a last write of null stays null."""
@@ -31,6 +33,12 @@ def state_before(log: DataFrame, stage: str) -> DataFrame:
     return state_fold(before(log, stage))
 
 
+def as_document(state: DataFrame) -> DataFrame:
+    """(run_id, state): each run's state as one JSON object, keys in order."""
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))
+    return state.groupBy("run_id").agg(F.to_json(pairs).alias("state"))
+
+
 def last_per(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of each key with the largest ``order``."""
     payload = F.struct(*[c for c in df.columns if c not in keys])
@@ -84,17 +92,50 @@ def state_merge(state: DataFrame, delta: DataFrame, keys: list[str]) -> DataFram
     return state.join(new, keys, "full_outer").select(*keys, F.when(F.col("given"), F.col("new")).otherwise(F.col("value")).alias("value"))
 
 
-def write_conflicts(writes: DataFrame, upstream: DataFrame) -> DataFrame:
-    """Writes of a key whose earlier producer is not upstream of the writer.
+def write_conflicts(writes: DataFrame, reach: DataFrame) -> DataFrame:
+    """Writes of a key whose earlier producer is not upstream of the writer, however far.
 
-    writes (run_id, pos, stage, key); upstream (src, dst): dst may overwrite src's keys.
-    """
+    writes (run_id, pos, stage, key); reach (src, dst): closure of the stages' graph. What a
+    run began with (<init>) may not be written again, what a fork put in (<fork>) may be."""
     by = Window.partitionBy("run_id", "key").orderBy("pos")
     rows = writes.withColumn("producer", F.lag("stage").over(by)).where(F.col("producer").isNotNull() & (F.col("producer") != F.col("stage")))
-    allowed = upstream.select(F.col("src").alias("producer"), F.col("dst").alias("stage"))
+    rows = rows.where(~F.col("stage").isin("<init>", "<fork>") & (F.col("producer") != "<fork>"))
+    allowed = reach.select(F.col("src").alias("producer"), F.col("dst").alias("stage"))
     return rows.join(allowed, ["producer", "stage"], "left_anti").select("run_id", "key", "pos", "stage", "producer")
 
 
+def ancestry(forks: DataFrame) -> DataFrame:
+    """(run_id, source, bound) of each run and the runs whose rows its state begins with.
+
+    forks (run_id, parent_id, kept): a fork keeps the first ``kept`` positions of its parent,
+    whose own rows stand after those that the parent keeps in turn; so of an ancestor's rows a
+    run sees those before the smallest cut on the way. Pointers double: each round joins the
+    pointers found last to all that start where they end, so a chain takes log rounds."""
+    far = durable(forks.select("run_id", F.col("parent_id").alias("source"), F.col("kept").alias("bound")))
+    hop = far  # pointers over exactly 2^k forks
+    while not hop.isEmpty():
+        on = hop.select(F.col("run_id").alias("via"), F.col("source").alias("to"), F.col("bound").alias("at"))
+        step = lambda x: x.join(on, F.col("source") == F.col("via")).select("run_id", F.col("to").alias("source"), F.least("bound", "at").alias("bound"))
+        far, hop = durable(far.union(step(far))), durable(step(hop))
+    return far
+
+
+def chained_state(log: DataFrame, forks: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(run_id, key, value, producer) of runs and forks of forks.
+
+    log (run_id, n, stage, key, value) holds each run's own rows, n from 0; a fork's stand at
+    kept + n. Overrides (run_id, key, value) come in at the fork's cut, before its own rows and
+    after the kept ones, and are not handed down. One shuffle by run for the ancestors' rows,
+    then one hash aggregate."""
+    own = log.join(forks.select("run_id", "kept"), "run_id", "left").withColumn("pos", F.coalesce("kept", F.lit(0)) + F.col("n"))
+    row = lambda rank: F.struct("pos", F.lit(rank).alias("rank")).alias("at")
+    rows = own.select("run_id", "key", "value", "stage", row(1))
+    kept = own.withColumnRenamed("run_id", "source").join(ancestry(forks), "source").where(F.col("pos") < F.col("bound")).select("run_id", "key", "value", "stage", row(1))
+    put = overrides.join(forks.select("run_id", "kept"), "run_id").select("run_id", "key", "value", F.lit("<fork>").alias("stage"), F.struct(F.col("kept").cast(own.schema["pos"].dataType).alias("pos"), F.lit(0).alias("rank")).alias("at"))
+    every = rows.union(kept).union(put)
+    return every.groupBy("run_id", "key").agg(F.max_by("value", "at").alias("value"), F.max_by("stage", "at").alias("producer"))
+
+
 def override_layers(layers: DataFrame) -> DataFrame:
     """Later layers win key by key; layers (run_id, key, value, priority), null values skipped."""
     return layers.where("value is not null").groupBy("run_id", "key").agg(F.max_by("value", "priority").alias("value"))

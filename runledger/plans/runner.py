@@ -96,7 +96,8 @@ class Runner:
             raise ValueError("the flow's structure has changed since that run")
         kept = rows[: [r["stage"] for r in rows].index(stage)]
         state, _ = self._fold(head, kept)
-        new = head | {"run_id": uuid.uuid4().hex, "parent": head["run_id"], "initial": deep_merge(state, overrides or {}), "kept": [*head.get("kept", []), *(r["stage"] for r in kept)], "producers": "<fork>"}
+        new = head | {"run_id": uuid.uuid4().hex, "parent": head["run_id"], "initial": deep_merge(state, overrides or {}), "kept": [*head.get("kept", []), *(r["stage"] for r in kept)], "producers": "<fork>", "stage": stage}
+        new["routes"] = [*head.get("routes", []), *([r["stage"], r["to"]] for r in kept if r.get("to"))]
         self.ledger.append(task_id, new["run_id"], 0, {"head": new})
         return self._drive(flow, new, [])
 
@@ -120,8 +121,11 @@ class Runner:
             visits[r["stage"]] = visits.get(r["stage"], 0) + 1
             if r.get("to"):  # a route re-arms its target and what follows it
                 done -= {r["to"], *flow.reach(r["to"], False)}
-        routed = {r["to"] for r in rows if r.get("to")}
+        routes = [*map(tuple, head.get("routes", [])), *((r["stage"], r["to"]) for r in rows if r.get("to"))]
+        routed = {to for _, to in routes}
         current = rows[-1]["to"] if rows and rows[-1].get("to") else None
+        if not rows:
+            current = head.get("stage")  # a fork begins with the stage it was asked for
         steps = 0
 
         def following() -> str | None:
@@ -178,7 +182,12 @@ class Runner:
             if to:
                 done -= {to, *flow.reach(to, False)}
                 routed.add(to)
+                routes.append((current, to))
             current = to or following()
+        declared = {t for r, _ in routes for t in flow.routers[r].mapping.values()}
+        missed = [n for n in order if n not in done and not any(n == t or n in flow.reach(t) for t in declared)]
+        if missed:
+            return failed(missed[0], StageError(f"no route led to {missed}"))
         return RunResult("done", run_id, state, events=events)
 
 

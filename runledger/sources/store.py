@@ -66,15 +66,26 @@ class Ledger:
         """(task_id, run_id) of all runs."""
         return self.rows().select("task_id", "run_id").distinct()
 
+    def references(self, task_id: str | None = None) -> DataFrame:
+        """(run_id, path): the tables that each run's rows name, its own and those it forked with."""
+        named = F.regexp_extract_all("body", F.lit(r'"__parquet__": "((?:[^"\\]|\\.)*)"'))
+        return self.rows(task_id).select("run_id", F.explode(named).alias("path")).distinct()
+
     def prune(self, task_id: str, keep: int, dry_run: bool = False) -> list[str]:
-        """Remove all but the newest ``keep`` runs of a task, never the latest; the run ids."""
-        from ..operators.analytics import prune_plan
+        """Remove all but the newest ``keep`` runs of a task, never the latest; the run ids. Of
+        their tables only those go that no run that stays names, of this task or another."""
+        from ..operators.analytics import prune_plan, sweep_plan
 
         saves = self.saves(task_id).withColumn("save_seq", F.unix_micros("ts"))
-        gone = sorted(r["run_id"] for r in prune_plan(saves, keep).where("drop").select("run_id").toLocalIterator())
-        for run_id in [] if dry_run else gone:
-            fs, data = self._fs(f"{self.root}/data/{run_id}")
+        drop = prune_plan(saves, keep).where("drop").select("run_id")
+        gone = sorted(r["run_id"] for r in drop.toLocalIterator())
+        if dry_run or not gone:
+            return gone
+        for path in [r["path"] for r in sweep_plan(self.references(), drop).toLocalIterator()]:
+            fs, data = self._fs(path)
             fs.delete(data, True)
+        for run_id in gone:
+            fs, _ = self._fs(self.root)
             for f in fs.globStatus(self._fs(f"{self.root}/ledger/{task_id}/{run_id}-*.json")[1]):
                 fs.delete(f.getPath(), False)
         return gone
