@@ -2,9 +2,10 @@
 
 Base: places where the words of a fixed phrase stand consecutively. The method adds an ordered
 list of regexes, each with a label, a priority and a keyword; one Aho-Corasick pass finds the
-keywords of a text and only their rules run. A space in a rule stands for any run of white
-space and comment marks, so notices broken over lines match; a version is read as it is
-written ("v3", "version 2 or later") and normalised. The list is the product of license names
+keywords of a text and only their rules run. Runs of white space with the comment marks among
+them become one space first, with a map of places, so notices broken over lines match rules
+that know single spaces only, and no rule can try the ways to share a long run out; a version
+is read as it is written ("v3", "-2.0", "version 2 or later") and normalised. The list is the product of license names
 and of the ways they are used, which carry the priorities, and of notices written one by one.
 Detections are taken in order of priority, then length, then place; one that lies inside a
 detection already taken is suppressed, so "bsd 3-clause license" does not also report "bsd".
@@ -18,6 +19,7 @@ alike; other columns are ignored; doc_id is cast to long.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -34,10 +36,11 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 
 # Label, keyword, how the name is written (a regex), whether it comes in versions.
 FAMILIES = [
-    ("agpl", "affero", r"(?:gnu )?affero (?:general public|gpl) licen[cs]e|\bagpl\b", True),
+    ("agpl", "affero", r"(?:gnu )?affero (?:general public|gpl) licen[cs]e", True),
+    ("agpl", "agpl", r"\b(?:gnu )?agpl(?:\b|(?=v ?[0-9]))", True),
     ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) (?:general public|gpl) licen[cs]e", True),
-    ("lgpl", "lgpl", r"\blgpl\b", True),
-    ("gpl", "gpl", r"\b(?:gnu )?gpl\b", True),
+    ("lgpl", "lgpl", r"\b(?:gnu )?lgpl(?:\b|(?=v ?[0-9]))", True),
+    ("gpl", "gpl", r"\b(?:gnu )?gpl(?:\b|(?=v ?[0-9]))", True),
     ("gpl", "general public", r"(?:gnu )?general public licen[cs]e", True),
     ("apache", "apache", r"apache(?: software)?(?: licen[cs]e)?", True),
     ("mozilla", "mozilla", r"mozilla public licen[cs]e", True),
@@ -140,6 +143,52 @@ NOTICES = [
     (25, "proprietary", "unauthorized", r"unauthorized (?:copying|use|distribution|reproduction) of this (?:file|software|work|document)"),
     (25, "proprietary", "trade secret", r"contains? (?:confidential |proprietary )?trade secrets?"),
     (25, "proprietary", "end user license", r"end user licen[cs]e agreement"),
+    (36, "mit", "copyright holders be liable", r"in no event shall the authors or copyright holders be liable"),
+    (35, "mit", "expat", r"expat licen[cs]e"),
+    (36, "mit-0", "no attribution", r"mit[ -]no[ -]attribution|\bmit-0\b"),
+    (36, "bsd-3", "neither the name", r"neither the name of (?:the )?[^.]{1,120} nor the names of its contributors"),
+    (35, "0bsd", "0bsd", r"\b0bsd\b"),
+    (35, "apache-2.0", "asl", r"\basl[ -]?2(?:\.0)?\b"),
+    (34, "apache", "licensed under the apache", r"licen[cs]ed under the apache licen[cs]e"),
+    (35, "gpl", "gnu project", r"part of the gnu project"),
+    (33, "gpl", "copy of the gnu general", r"received a copy of the gnu general public licen[cs]e"),
+    (34, "lgpl", "copy of the gnu lesser", r"received a copy of the gnu lesser general public licen[cs]e"),
+    (35, "agpl", "copy of the gnu affero", r"received a copy of the gnu affero general public licen[cs]e"),
+    (36, "gpl-classpath", "classpath", r"classpath exception"),
+    (36, "gpl-linking", "special exception", r"as a special exception,? (?:the copyright holders|you may)"),
+    (35, "gfdl", "free documentation", r"(?:gnu )?free documentation licen[cs]e"),
+    (35, "mpl-2.0", "incompatible with secondary", r"incompatible with secondary licen[cs]es"),
+    (35, "cddl", "sun.com/cddl", r"sun\.com/cddl"),
+    (35, "artistic", "perlfoundation", r"perlfoundation\.org/artistic"),
+    (35, "python", "psf license", r"psf licen[cs]e"),
+    (35, "openssl", "eric young", r"cryptographic software written by eric young"),
+    (35, "zlib", "express or implied warranty", r"without any express or implied warranty"),
+    (35, "ofl", "scripts.sil.org", r"scripts\.sil\.org/ofl"),
+    (35, "odbl", "opendatacommons", r"opendatacommons\.org/licenses/odbl"),
+    (35, "odc-by", "opendatacommons", r"opendatacommons\.org/licenses/by"),
+    (35, "pddl", "opendatacommons", r"opendatacommons\.org/licenses/pddl"),
+    (35, "open-government", "open government", r"open government licen[cs]e"),
+    (35, "beerware", "beer", r"beer-?ware licen[cs]e|buy me a beer in return"),
+    (35, "json", "used for good", r"shall be used for good, not evil"),
+    (35, "ms-pl", "microsoft public", r"microsoft public licen[cs]e|\bms-pl\b"),
+    (35, "ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[cs]e|\bms-rl\b"),
+    (35, "w3c", "w3c software", r"w3c software (?:notice|licen[cs]e)"),
+    (35, "unicode", "unicode", r"unicode(?:,? inc\.?)? licen[cs]e agreement"),
+    (35, "ncsa", "illinois", r"university of illinois/ncsa open source licen[cs]e"),
+    (35, "sspl", "server side public", r"server side public licen[cs]e"),
+    (35, "bsl", "business source", r"business source licen[cs]e"),
+    (35, "elastic", "elastic license", r"elastic licen[cs]e"),
+    (35, "commons-clause", "commons clause", r"commons clause licen[cs]e condition"),
+    (35, "rail", "responsible ai", r"(?:open )?responsible ai licen[cs]e|\bopenrail\b"),
+    (36, "cc-by-nc", "noncommercial", r"for non-?commercial (?:use|purposes) only"),
+    (36, "cc0", "waived all copyright", r"waived all copyright and related or neighbou?ring rights"),
+    (25, "public-domain", "no copyright", r"no (?:known )?copyright(?: restrictions)?"),
+    (25, "reserved", "reprinted", r"reprinted (?:with|by) permission"),
+    (25, "reserved", "no part of this", r"no part of this (?:publication|book|work|document) may be reproduced"),
+    (25, "proprietary", "express written", r"without (?:the )?(?:express|prior) written (?:permission|consent)"),
+    (25, "proprietary", "internal use", r"for internal use only"),
+    (25, "shareware", "shareware", r"this (?:program|software) is shareware"),
+    (25, "freeware", "freeware", r"(?:is|as) freeware"),
 ]
 
 
@@ -151,11 +200,6 @@ class Rule:
     regex: re.Pattern
 
 
-def _compiled(pattern: str) -> re.Pattern:
-    """A space stands for white space and comment marks; one that may be missing may be more."""
-    return re.compile(pattern.replace("[ -]", r"[\s-]").replace(" ?", r"[\s*#/;]*").replace(" ", r"[\s*#/;]+"))
-
-
 @lru_cache(maxsize=1)
 def rules() -> list[Rule]:
     """Names x uses, with and without a version, and the notices, in order of priority."""
@@ -166,8 +210,8 @@ def rules() -> list[Rule]:
                 if not tail and label in COMMON and priority == 10:
                     continue
                 full = use.replace("{n}", f"(?:{name})").replace("{v}", tail)
-                out.append(Rule(priority + (3 if tail else 0), label, keyword, _compiled(full)))
-    out += [Rule(p, label, k, _compiled(x)) for p, label, k, x in NOTICES]
+                out.append(Rule(priority + (3 if tail else 0), label, keyword, re.compile(full)))
+    out += [Rule(p, label, k, re.compile(x)) for p, label, k, x in NOTICES]
     return sorted(out, key=lambda r: -r.priority)
 
 
@@ -211,14 +255,41 @@ class Contained:
         return True
 
 
+_GAP = re.compile(r"[\s*#/;]+")
+
+
+class Collapsed:
+    """A text whose runs of white space and comment marks, if white space is among them, are
+    one space each; ``span`` leads back to places of the text as it was."""
+
+    def __init__(self, text: str):
+        parts, size, at = [], 0, 0
+        self.here, self.there = [0], [0]
+        for m in _GAP.finditer(text):
+            run = m[0]
+            if run == " " or not any(map(str.isspace, run)):
+                continue
+            parts += [text[at : m.start()], " "]
+            size += m.start() - at + 1
+            at = m.end()
+            self.here += [size - 1, size]
+            self.there += [m.start(), at]
+        self.text = "".join([*parts, text[at:]])
+
+    def _of(self, place: int) -> int:
+        i = bisect_right(self.here, place) - 1
+        return self.there[i] + place - self.here[i]
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        return self._of(a), self._of(b - 1) + 1
+
+
 def hits_of(text: str) -> list[tuple[int, int, int, int, str]]:
-    """(-priority, -length, start, end, label) of every match of the rules whose keyword the
-    text holds, in the order in which they are taken."""
+    """(-priority, -length, start, end, label) of every match in a collapsed text of the rules
+    whose keyword it holds, in the order in which they are taken."""
     found, by = _gate()
-    flat = re.sub(r"[\s*#/;]+", " ", text) if any(c in text for c in "\n\t*#;") else text
-    keys = {k for t in {text, flat} for _, k in found.iter(t)}
     out = []
-    for i in sorted(i for k in keys for i in by[k]):
+    for i in sorted(i for k in {k for _, k in found.iter(text)} for i in by[k]):
         r = rules()[i]
         out += [(-r.priority, m.start() - m.end(), m.start(), m.end(), versioned(r.label, m)) for m in r.regex.finditer(text)]
     return sorted(out)
@@ -226,9 +297,10 @@ def hits_of(text: str) -> list[tuple[int, int, int, int, str]]:
 
 def detect(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, label, priority) of the detections that stand, in order of place."""
-    hits = hits_of(text)
+    flat = Collapsed(text)
+    hits = hits_of(flat.text)
     taken = Contained([h[2] for h in hits])
-    return sorted((a, b, label, -p) for p, _, a, b, label in hits if taken.take(a, b))
+    return sorted((*flat.span(a, b), label, -p) for p, _, a, b, label in hits if taken.take(a, b))
 
 
 def _scan(batches):
