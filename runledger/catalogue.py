@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .functions import scalars as sc
 from .operators import analytics as an
 from .operators import content, fold, graph, nested
+from .sources.shared import new_path
+from .streaming import pairing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +30,7 @@ cn AS (SELECT src, dst, count(*) AS c FROM tr WHERE src <> dst GROUP BY 1, 2),
 e AS (SELECT src, dst, 'static' AS kind, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS INTEGER) AS max_visits FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY c DESC, dst) AS r FROM cn WHERE src < dst) WHERE r <= 2
 UNION ALL SELECT src, dst, 'conditional', 'k' || r, CASE WHEN dst < src THEN 3 END FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY c DESC, dst) AS r FROM cn WHERE right(src, 2) = '_0') WHERE r <= 2)"""
 _REACH = "r AS (SELECT src, dst FROM e WHERE {c} UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src WHERE {c})"
+_BARRED = ", ".join(map(repr, sc.BARRED))
 LOG = "log AS (SELECT user_id AS run_id, event_id AS pos, event_type AS stage, event_type AS key, value FROM events)"
 
 
@@ -466,6 +469,23 @@ def invalid_values(spark, d):
     return t(spark, d, "events").where(~sc.finite(x) | x.isNull()).select("event_id")
 
 
+_ODD = """CASE event_id % 9 WHEN 0 THEN '{{"a":{{"__class__":' || {k} || '}},"b":1}}' WHEN 1 THEN '{{"a":{{"b":{{"c":"nan"}}}},"z":"inf"}}' WHEN 2 THEN '{{"a.b.c.d.e.f":' || {k} || '}}' WHEN 3 THEN '{{"a..b":1,"x y":2}}'
+WHEN 4 THEN '{{"a.__dict__":1}}' WHEN 5 THEN '{{"m":null,"n":{{"a.b":' || {k} || '}}}}' WHEN 6 THEN '{{"m":{{"__init__x":1}},"q":["nan"]}}' WHEN 7 THEN '{{"q":{{"r":{{"s":{{"__mro__":{{"t":"-inf"}}}}}}}}}}' ELSE props END"""
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT event_id, CAST({_ODD.format(k=_SQL_K)} AS JSON) AS doc FROM events),
+w AS (SELECT event_id, k AS path, k, json_extract(doc, '$."' || k || '"') AS v, true AS top FROM (SELECT *, unnest(json_keys(doc)) AS k FROM l)
+UNION ALL SELECT event_id, path || '.' || k2, k2, json_extract(v, '$."' || k2 || '"'), false FROM (SELECT *, unnest(json_keys(v)) AS k2 FROM w WHERE json_type(v) = 'OBJECT')),
+o AS (SELECT event_id, path, CASE WHEN top AND list_has_any(string_split(k, '.'), [{_BARRED}]) OR k IN ({_BARRED}) THEN 'barred' WHEN top AND len(string_split(k, '.')) > 5 THEN 'deep' WHEN top AND NOT regexp_matches(k, '^[\\p{{L}}\\p{{N}}_]+([.][\\p{{L}}\\p{{N}}_]+)*$') THEN 'name'
+ WHEN CAST(v AS VARCHAR) IN ('"nan"', '"inf"', '"-inf"') THEN 'number' END AS reason FROM w)
+SELECT event_id, min(path) AS path, arg_min(reason, path) AS reason FROM o WHERE reason IS NOT NULL GROUP BY 1"""
+)
+def first_offence(spark, d):
+    docs = t(spark, d, "events").select("event_id", F.expr(_ODD.format(k=_SPARK_K)).alias("doc"))
+    return nested.first_offence(docs, ["event_id"], "doc")
+
+
 @query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'nan' WHEN 1 THEN 'inf' WHEN 2 THEN '-inf' ELSE CAST(value AS VARCHAR) END AS value FROM events")
 def json_safe(spark, d):
     k = F.col("event_id") % 5
@@ -500,7 +520,6 @@ def parse_set(spark, d):
 
 
 _PATH = "CASE doc_id % 6 WHEN 0 THEN source || '.' || lang WHEN 1 THEN 'a.b.c.d.e.f' WHEN 2 THEN '__' || source WHEN 3 THEN source || '..x' WHEN 4 THEN 'a.__class__' ELSE substr(text, 1, 8) END"
-_BARRED = ", ".join(map(repr, sc.BARRED))
 
 
 @query(rf"WITH x AS (SELECT doc_id, {_PATH} AS p FROM documents) SELECT doc_id, regexp_matches(p, '\A[\p{{L}}\p{{N}}_]+(\.[\p{{L}}\p{{N}}_]+){{0,4}}\z') AND NOT list_has_any(string_split(p, '.'), [{_BARRED}]) AS ok FROM x")
@@ -735,6 +754,36 @@ def in_flight(spark, d):
     return an.in_flight(_staged(spark, d), "view", "purchase")
 
 
+_DELAY, _DEADLINE = 3600, 72 * 3600
+
+
+def _timed(e):
+    shown = F.col("event_type").isin("view", "purchase")
+    return e.where(shown).select(F.col("user_id").alias("run_id"), (F.col("event_id") % 3).cast("string").alias("stage"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "view").alias("is_start"))
+
+
+_SETTLED = f"""WITH e AS (SELECT user_id AS run_id, CAST(event_id % 3 AS VARCHAR) AS stage, event_id AS seq, epoch_us(ts) AS us, event_type = 'view' AS s FROM events WHERE event_type IN ('view', 'purchase')),
+p AS (SELECT (max(us) // 1000 - {_DELAY * 1000}) * 1000 AS passed FROM e),
+d AS (SELECT e.*, passed, sum(CASE WHEN s THEN 1 ELSE -1 END) OVER w AS depth, row_number() OVER w AS i FROM e, p WHERE us <= passed WINDOW w AS (PARTITION BY run_id, stage ORDER BY us, seq)),
+m AS (SELECT a.run_id, a.stage, a.seq, a.us + {_DEADLINE * 1000000} AS due, a.passed, min(b.i) AS bi FROM d a LEFT JOIN d b ON b.run_id = a.run_id AND b.stage = a.stage AND b.i > a.i AND b.depth < a.depth WHERE a.s GROUP BY 1, 2, 3, 4, 5)
+SELECT m.run_id, m.stage, m.seq AS start_seq, CASE WHEN b.us <= due THEN b.seq ELSE -1 END AS end_seq, CASE WHEN b.us <= due THEN 'paired' ELSE 'expired' END AS status
+FROM m LEFT JOIN d b ON b.run_id = m.run_id AND b.stage = m.stage AND b.i = m.bi WHERE b.us IS NOT NULL OR due <= m.passed"""
+
+
+@query(_SETTLED)
+def stream_pairing(spark, d):
+    """The events as a stream, read to their end with event-time timers."""
+    schema = t(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern: the source may be one file
+    made = pairing.paired(_timed(stream), f"{_DELAY} seconds", _DEADLINE)
+    return pairing.run_to_end(made, new_path(spark, "paired"), new_path(spark, "pairing")).fillna(-1, ["end_seq"])
+
+
+@query(_SETTLED)
+def settled_pairs(spark, d):
+    return pairing.settled(_timed(t(spark, d, "events")), _DELAY, _DEADLINE).fillna(-1, ["end_seq"])
+
+
 @query("SELECT event_type AS event, count(*) AS n FROM events GROUP BY 1")
 def event_counts(spark, d):
     return events(spark, d).groupBy("event").agg(F.count("*").alias("n"))

@@ -6,21 +6,15 @@ at the fixed point, after the logarithm of the longest path, whatever the graph'
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in spark.checkpoint.dir; where that is unset, in a folder of our own
-    in local mode only."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if given is None and not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(given or "file://" + tempfile.mkdtemp(prefix="runledger-"))
+    """``df`` checkpointed in the shared folder."""
+    shared_dir(df.sparkSession)
     done = df.checkpoint()
     # new names of the columns: a checkpoint still carries what its plan said of the old ones
     return done.select(*[F.col(f"`{c}`").alias(c) for c in done.columns])

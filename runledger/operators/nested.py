@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import BARRED
 from .graph import durable
 
 MAP = "map<string,variant>"
@@ -139,8 +140,7 @@ def deep_override(layers: DataFrame, keys: list[str], order: str, doc: str) -> D
     return left.where("value <> '{}'").unionByName(empty).select(*keys, F.array_join("path", ".").alias("path"), "value")
 
 
-# Names that no key of a state may have, and how deep a dot path may go.
-BARRED = "__proto__ __class__ __init__ __dict__ __getattribute__ __setattr__ __delattr__ __bases__ __mro__ __subclasses__ __getstate__ __setstate__ __reduce__ __reduce_ex__".split()
+#: Parts that a dot path may have.
 DEPTH = 5
 
 

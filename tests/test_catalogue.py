@@ -1,4 +1,4 @@
-"""Every catalogue query against DuckDB on the small tables."""
+"""Every catalogue query against DuckDB at sf0.01."""
 
 import os
 
@@ -7,7 +7,7 @@ import pytest
 
 from runledger import catalogue
 
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

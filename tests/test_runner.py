@@ -159,3 +159,50 @@ def test_closure_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"n{i:04}", f"n{i + 1:04}", "static") for i in range(120)] + [("n0120", "n0000", "conditional")], "src string, dst string, kind string")
     assert graph.closure(edges.where("kind = 'static'")).count() == 121 * 120 // 2
     assert graph.cycle_nodes(edges).count() == 121
+
+
+def branching():
+    f = Flow("branching")
+
+    @f.stage()
+    def r(ctx):
+        return {"r": 1}
+
+    @f.stage()
+    def x(ctx):
+        return {"x": ctx.spark.range(5)}
+
+    @f.stage(["x"])
+    def y(ctx):
+        return {"y": ctx.state["x"].count() + ctx.state.get("more", 0)}
+
+    @f.stage()
+    def z(ctx):
+        return {"z": 1}
+
+    f.route("r", lambda s: "x", {"x": "x", "z": "z"})
+    return f
+
+
+@pytest.mark.parametrize("stage,ran", [("x", ["x", "y"]), ("y", ["y"]), ("r", ["r", "x", "y"])])
+def test_fork_runs_its_stage_behind_a_route(spark, tmp_path, stage, ran):
+    r = Runner(spark, str(tmp_path))
+    assert r.run(branching(), "t").status == "done"
+    fork = r.fork(branching(), "t", stage, {"more": 2})
+    assert fork.status == "done" and fork.state["y"] == 7
+    assert [e[1]["stage"] for e in fork.events if e[0] == "stage_start"] == ran
+
+
+def test_prune_keeps_what_forks_read(spark, tmp_path):
+    r = Runner(spark, str(tmp_path))
+    first = r.run(branching(), "t")
+    fork = r.fork(branching(), "t", "y")
+    assert r.ledger.prune("t", 1, dry_run=True) == [first.run_id]
+    assert r.ledger.prune("t", 1) == [first.run_id]
+    assert spark.read.parquet(fork.state["x"]["__parquet__"]).count() == 5
+    assert {x["run_id"] for x in r.ledger.rows("t").select("run_id").distinct().collect()} == {fork.run_id}
+    other = r.run(branching(), "t")
+    assert r.ledger.prune("t", 1) == [fork.run_id]
+    import glob
+
+    assert len(glob.glob(f"{tmp_path}/data/*/*/*")) == 1 and spark.read.parquet(other.state["x"]["__parquet__"]).count() == 5
