@@ -6,9 +6,10 @@ import functools
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java regex of the two word definitions the operators use.
@@ -48,21 +49,33 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 _open = threading.local()
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is cut inside is removed at the end, also when it fails: nothing lazy may read it on."""
+    levels = _open.__dict__.setdefault("cuts", [])
+    levels.append([])
+    try:
+        yield
+    finally:
+        for path in levels.pop():
+            drop_path(spark, path)
+
+
 def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """An operator whose result is cut, after which the cuts made on the way are removed."""
+    """An operator whose result is cut, after which the cuts made on the way are removed, as
+    they are when it fails."""
 
     @functools.wraps(f)
     def run(*args, **kwargs) -> DataFrame:
-        levels = _open.__dict__.setdefault("cuts", [])
-        levels.append([])
-        try:
+        spark = next(a for a in (*args, *kwargs.values()) if isinstance(a, DataFrame)).sparkSession
+        outer = getattr(_open, "cuts", [])[-1:]
+        with scratch(spark):
+            path = new_path(spark, f.__name__)
+            for made in outer:
+                made.append(path)
             result = f(*args, **kwargs)
-        finally:
-            inner = levels.pop()
-        result = cut(result, f.__name__)
-        for path in inner:
-            drop_path(result.sparkSession, path)
-        return result
+            result.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(result.schema).parquet(path)
 
     return run
 
@@ -77,6 +90,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids that may be broadcast to filter rows: a hash table of some 32 MB.
+MOST_IDS = 1 << 20
+
+
+def without(rows: DataFrame, key: Column, gone: DataFrame, most: int = MOST_IDS) -> DataFrame:
+    """The rows whose ``key`` is not in the one column of ``gone`` (longs, not null, distinct).
+    Up to ``most`` of them, counted, are broadcast, so whole texts are not shuffled to lose a
+    few; beyond that both sides are joined by shuffle."""
+    gone = gone.select(F.col(gone.columns[0]).alias(fresh("gone", rows.columns)))
+    few = gone.count() <= most
+    return rows.join(F.broadcast(gone) if few else gone, key == gone[gone.columns[0]], "left_anti")
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """A column name like ``name`` that none of ``columns`` has, upper or lower case."""
     low = {c.lower() for c in columns}

@@ -16,25 +16,31 @@ segment (long runs of one pattern) are parsed character by character.
 
 The sample has at most ``sample_docs`` documents a language, chosen by a hash of doc_id, from
 each a window of ``sample_chars`` / 8 characters at a place chosen by the same hash,
-``sample_chars`` normalised characters a language, and the ``max_langs`` languages with most
-documents (64, 32,768 and 256): its size, the automata and the broadcast do not grow with the
-corpus. Every text is predicted whole.
+``sample_chars`` normalised characters a language (64 and 32,768). Languages are learned and
+broadcast in pages of at most ``page`` (256): automata and broadcast do not grow with the
+corpus, and of many languages every page adds its costs to each text's before one is chosen.
+Every text is predicted whole.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any
 labelled row all are ``und``; ties go to the language that sorts first; a null doc_id is
-predicted like any other row, is not held out and teaches nothing; repeated rows teach once;
+predicted like any other row, is not held out and teaches nothing; repeated rows teach once,
+and of different texts under one doc_id and lang one teaches;
 a letter that no sample has is a phrase of its own; other columns are ignored; doc_id is cast
 to long.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import cut
+
 SEGMENT, CHUNK = 512, 1_500_000
 HELD = "crc32(cast(cast(doc_id as string) as binary)) % 5 = 0"
 SHARPNESS = 12.0
@@ -183,21 +189,38 @@ class Parser:
         total = self.phrases(codes, first, n).T
         return total * np.array(self.bits) / np.maximum(n, 1)[:, None], letters
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        cost, letters = self.costs(texts)
-        if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        best = cost.argmin(1)
-        low = cost.min(1)
-        share = 1 / np.exp(-SHARPNESS * (cost - low[:, None]) / np.maximum(low, 1e-9)[:, None]).sum(1)
-        return [self.langs[b] if ok else "und" for b, ok in zip(best, letters)], np.where(letters, share, 0.0)
-
-
-def learn(docs: DataFrame, held: str = HELD, sample_docs: int = 64, sample_chars: int = 32_768, max_langs: int = 256) -> dict[str, str]:
-    """The bounded sample of normalised text of each language."""
-    fit = docs.where(f"doc_id is not null and lang is not null and text is not null and not ({held})")
-    fit = fit.withColumn("h", F.xxhash64("doc_id"))
-    size = fit.groupBy("lang").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "lang").limit(max_langs)
+
+def choose(cost: np.ndarray, letters: np.ndarray, langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """The cheapest language of each text, and its share of exp(-SHARPNESS x excess cost)."""
+    if not langs:
+        return ["und"] * len(cost), np.zeros(len(cost))
+    best = cost.argmin(1)
+    low = cost.min(1)
+    share = 1 / np.exp(-SHARPNESS * (cost - low[:, None]) / np.maximum(low, 1e-9)[:, None]).sum(1)
+    return [langs[b] if ok else "und" for b, ok in zip(best, letters)], np.where(letters, share, 0.0)
+
+
+def _fit(docs: DataFrame, held: str) -> DataFrame:
+    return docs.where(f"doc_id is not null and lang is not null and text is not null and not ({held})")
+
+
+def pages(docs: DataFrame, held: str = HELD, page: int = 256) -> Iterator[list[str]]:
+    """The languages that can be learned, in order, in pages."""
+    langs: list[str] = []
+    for r in _fit(docs, held).select("lang").distinct().orderBy("lang").toLocalIterator():
+        langs.append(r["lang"])
+        if len(langs) == page:
+            yield langs
+            langs = []
+    if langs:
+        yield langs
+
+
+def learn(docs: DataFrame, held: str = HELD, sample_docs: int = 64, sample_chars: int = 32_768, langs: list[str] | None = None) -> dict[str, str]:
+    """The bounded sample of normalised text of each language, of a page of them or of all."""
+    fit = _fit(docs, held).withColumn("h", F.xxhash64("doc_id"))
+    fit = fit if langs is None else fit.where(F.col("lang").isin(langs))
+    size = fit.groupBy("lang").agg(F.count("*").alias("size"))
     # a share of each language by hash, so that no language is sorted whole
     share = F.pmod("h", F.lit(1 << 30)) * F.col("size") <= F.lit(8 * sample_docs).cast("double") * (1 << 30)
     some = fit.select("doc_id", "lang", "h").join(F.broadcast(size), "lang").where(share).select("doc_id", "lang", "h").distinct()
@@ -205,36 +228,62 @@ def learn(docs: DataFrame, held: str = HELD, sample_docs: int = 64, sample_chars
     chosen = some.withColumn("r", F.row_number().over(by)).where(F.col("r") <= sample_docs).drop("h")
     room = sample_chars // 8  # no document fills more than an eighth of the sample
     at = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - room, F.lit(0)) + 1).cast("int") + 1
-    rows = fit.select("doc_id", "lang", F.substring(F.col("text"), at, F.lit(room)).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "r", "text")
+    rows = fit.select("doc_id", "lang", F.substring(F.col("text"), at, F.lit(room)).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
+    rows = rows.groupBy("lang", "r").agg(F.min("text").alias("text"))  # sample_docs a language at most
     out: dict[str, list[str]] = {}
-    for row in sorted(rows.collect(), key=lambda x: (x["lang"], x["r"], x["text"])):
+    for row in sorted(rows.collect(), key=lambda x: (x["lang"], x["r"])):
         out.setdefault(row["lang"], []).append(normal(row["text"]))
     return {lang: " ".join(dict.fromkeys(t for t in parts if t))[:sample_chars] for lang, parts in out.items()}
 
 
-def predict(docs: DataFrame, samples: dict[str, str], held: str = HELD) -> DataFrame:
-    """doc_id, held_out, lang_pred, score per row of ``docs``."""
-    given = docs.sparkSession.sparkContext.broadcast(samples)
-
-    def run(batches):
-        parser = Parser(given.value)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            langs, scores, i = [], [], 0
-            while i < len(texts):
-                j, n = i, 0
-                while j < len(texts) and (j == i or n + len(texts[j]) <= CHUNK):
-                    n += len(texts[j])
-                    j += 1
-                a, b = parser.predict(texts[i:j])
-                langs += a
-                scores.append(b)
-                i = j
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+def predict(docs: DataFrame, samples: Iterable[dict[str, str]], held: str = HELD) -> DataFrame:
+    """doc_id, held_out, lang_pred, score per row of ``docs``, from one page of samples or more."""
+    spark, known = docs.sparkSession, []
+
+    def costs_of(page: dict[str, str], last: list[str] | None):
+        """The costs of a page behind those of the pages before; at the last page the choice."""
+        given = spark.sparkContext.broadcast(page)
+
+        def run(batches):
+            parser = Parser(given.value)
+            for batch in batches:
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                cost, letters, i = [], [], 0
+                while i < len(texts):
+                    j, n = i, 0
+                    while j < len(texts) and (j == i or n + len(texts[j]) <= CHUNK):
+                        n += len(texts[j])
+                        j += 1
+                    a, b = parser.costs(texts[i:j])
+                    cost.append(a.reshape(j - i, len(parser.langs)))
+                    letters.append(b)
+                    i = j
+                if not texts:
+                    continue
+                cost = np.concatenate(cost)
+                if len(batch.columns) > 2:
+                    cost = np.concatenate([np.stack([np.asarray(c) for c in batch.column(2).to_numpy(zero_copy_only=False)]), cost], 1)
+                if last is None:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(cost), pa.list_(pa.float64()))], ["doc_id", "text", "costs"])
+                else:
+                    langs, scores = choose(cost, np.concatenate(letters), last)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+        return run
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    todo = iter(samples)
+    page = next(todo, {})
+    while page is not None:
+        after = next(todo, None)
+        known += sorted(page)
+        if after is None:
+            rows = rows.mapInArrow(costs_of(page, list(known)), "doc_id long, lang_pred string, score double")
+        else:
+            rows = cut(rows.mapInArrow(costs_of(page, None), "doc_id long, text string, costs array<double>"), "costs")
+        page = after
     return rows.select("doc_id", F.coalesce(F.expr(held), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def languages(docs: DataFrame) -> DataFrame:
-    return predict(docs, learn(docs))
+def languages(docs: DataFrame, page: int = 256) -> DataFrame:
+    return predict(docs, (learn(docs, langs=langs) for langs in pages(docs, page=page)))

@@ -66,7 +66,8 @@ FAMILIES = [
     ("ofl", "open font", r"(?:sil )?open font licen[cs]e", True),
     ("eupl", "european union public", r"european union public licen[cs]e", True),
     ("epl", "epl", r"\bepl\b", True),
-    ("odbl", "open database", r"open database licen[cs]e|\bodbl\b", True),
+    ("odbl", "open database", r"open database licen[cs]e", True),
+    ("odbl", "odbl", r"\bodbl\b", True),
     ("cc-by-nc-nd", "cc", r"\bcc[ -]by[ -]nc[ -]nd", True),
     ("cc-by-nc-sa", "cc", r"\bcc[ -]by[ -]nc[ -]sa", True),
     ("cc-by-nc", "cc", r"\bcc[ -]by[ -]nc", True),
@@ -88,6 +89,9 @@ USES = [
 ]
 # A version as it is written after a name.
 VERSION = r"(?:,? ?(?:version |ver\.? ?|v\.? ?)|[- ])(?P<v>[0-9]{1,2}(?:\.[0-9]{1,2}){0,2})(?![0-9])(?:\+|,? or (?:\(at your option\) )?(?:any )?later(?: version)?)?"
+#: What a version adds to a use's priority: a versioned name comes before uses of the bare one in it.
+VERSIONED = 30
+MOST = max(p for p, _ in USES) + VERSIONED
 # Names that say nothing when they stand alone.
 COMMON = "mit isc php ruby postgresql openssl zlib apache python".split()
 # Priority, label, keyword, regex of notices that stand on their own.
@@ -145,7 +149,8 @@ NOTICES = [
     (25, "proprietary", "end user license", r"end user licen[cs]e agreement"),
     (36, "mit", "copyright holders be liable", r"in no event shall the authors or copyright holders be liable"),
     (35, "mit", "expat", r"expat licen[cs]e"),
-    (36, "mit-0", "no attribution", r"mit[ -]no[ -]attribution|\bmit-0\b"),
+    (36, "mit-0", "attribution", r"mit[ -]no[ -]attribution"),
+    (36, "mit-0", "mit-0", r"\bmit-0\b"),
     (36, "bsd-3", "neither the name", r"neither the name of (?:the )?[^.]{1,120} nor the names of its contributors"),
     (35, "0bsd", "0bsd", r"\b0bsd\b"),
     (35, "apache-2.0", "asl", r"\basl[ -]?2(?:\.0)?\b"),
@@ -170,8 +175,10 @@ NOTICES = [
     (35, "open-government", "open government", r"open government licen[cs]e"),
     (35, "beerware", "beer", r"beer-?ware licen[cs]e|buy me a beer in return"),
     (35, "json", "used for good", r"shall be used for good, not evil"),
-    (35, "ms-pl", "microsoft public", r"microsoft public licen[cs]e|\bms-pl\b"),
-    (35, "ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[cs]e|\bms-rl\b"),
+    (35, "ms-pl", "microsoft public", r"microsoft public licen[cs]e"),
+    (35, "ms-pl", "ms-pl", r"\bms-pl\b"),
+    (35, "ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[cs]e"),
+    (35, "ms-rl", "ms-rl", r"\bms-rl\b"),
     (35, "w3c", "w3c software", r"w3c software (?:notice|licen[cs]e)"),
     (35, "unicode", "unicode", r"unicode(?:,? inc\.?)? licen[cs]e agreement"),
     (35, "ncsa", "illinois", r"university of illinois/ncsa open source licen[cs]e"),
@@ -179,7 +186,8 @@ NOTICES = [
     (35, "bsl", "business source", r"business source licen[cs]e"),
     (35, "elastic", "elastic license", r"elastic licen[cs]e"),
     (35, "commons-clause", "commons clause", r"commons clause licen[cs]e condition"),
-    (35, "rail", "responsible ai", r"(?:open )?responsible ai licen[cs]e|\bopenrail\b"),
+    (35, "rail", "responsible ai", r"(?:open )?responsible ai licen[cs]e"),
+    (35, "rail", "openrail", r"\bopenrail\b"),
     (36, "cc-by-nc", "noncommercial", r"for non-?commercial (?:use|purposes) only"),
     (36, "cc0", "waived all copyright", r"waived all copyright and related or neighbou?ring rights"),
     (25, "public-domain", "no copyright", r"no (?:known )?copyright(?: restrictions)?"),
@@ -210,7 +218,7 @@ def rules() -> list[Rule]:
                 if not tail and label in COMMON and priority == 10:
                     continue
                 full = use.replace("{n}", f"(?:{name})").replace("{v}", tail)
-                out.append(Rule(priority + (3 if tail else 0), label, keyword, re.compile(full)))
+                out.append(Rule(priority + (VERSIONED if tail else 0), label, keyword, re.compile(full)))
     out += [Rule(p, label, k, re.compile(x)) for p, label, k, x in NOTICES]
     return sorted(out, key=lambda r: -r.priority)
 
@@ -329,7 +337,7 @@ def _scan(batches):
                 base = sorted({label for _, label in own})
                 size = sum(len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", w.text(i)[a:b])) for a, b, _, _ in found) if found else 0
                 strength = max([p for _, _, _, p in found] + [25 * bool(own)])
-                score = 0.0 if not (own or found) else min(1.0, 0.5 * strength / 63 + 0.5 * min(1.0, (size + 2 * len(own)) / 12))
+                score = 0.0 if not (own or found) else min(1.0, 0.5 * strength / MOST + 0.5 * min(1.0, (size + 2 * len(own)) / 12))
                 for column, v in zip(out, (n, len(own), min((k for k, _ in own), default=None), max((k for k, _ in own), default=None), ",".join(base), ",".join(sorted({*base, *(x for _, _, x, _ in found)})), score)):
                     column.append(v)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]

@@ -264,6 +264,7 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100, wide: int =
     return out.select("doc_id", "line_no", F.col("n").cast("long").alias("n_shingles"), F.col("best.doc_id").alias("first_doc_id"), F.col("best.line_no").alias("first_line_no"), place.eqNullSafe(F.col("best")).alias("kept"))
 
 
+@tidy
 def deduplicated(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id and text of each document with only the lines that stay and its blank lines, as
     they were, in their order; documents of which no line stays give no row. Rows of one

@@ -29,19 +29,33 @@ def word_count(text):
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(NON_SPACE_WORD), F.lit(0))), F.lit(0)).cast("long")
 
 
+def _running(rows: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
+    """``rows`` with running sums (name of the sum: column) in the given order, without any
+    task that sees all of them: sums inside range partitions, and of the partitions before."""
+    parts = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ordered")
+    totals = parts.groupBy("part").agg(*[F.sum(c).alias(f"{k}_all") for k, c in sums.items()])  # a row per partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("part", *[F.coalesce(F.sum(f"{k}_all").over(before), F.lit(0)).alias(f"{k}_off") for k in sums])
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = parts.join(F.broadcast(offsets), "part")
+    return out.select(*rows.columns, *[(F.sum(c).over(inside) + F.col(f"{k}_off")).alias(k) for k, c in sums.items()])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """(source, source_size, target, rate) from (source, size) rows."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    at = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("place", at).withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights)).cast("int") + 1))
-    whole, level = Window.partitionBy(), Window.orderBy(cap * F.col("source_size") / F.col("w"), "place")
-    per = per.withColumns({"t": F.sum("source_size").over(whole), "ws": F.sum("w").over(whole)})
-    per = per.withColumns({"before": F.sum(cap * F.col("source_size")).over(level) - cap * F.col("source_size"), "wb": F.sum("w").over(level) - F.col("w")})
-    per = per.withColumn("level", (F.col("t") - F.col("before")) / (F.col("ws") - F.col("wb")))
-    per = per.withColumn("full", cap * F.col("source_size") / F.col("w") <= F.col("level"))
-    water = F.max(F.when(~F.col("full"), F.col("level"))).over(whole)
-    capped = (cap * F.col("source_size")).cast("double")
-    per = per.withColumn("target", F.when(F.col("full"), capped).otherwise(F.least(capped, F.col("w") * water)))
+    """(source, source_size, target, rate) from (source, size) rows. Sources may be many (web
+    domains): their order and the water level come from sums over range partitions."""
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1))
+    per = _running(per, [F.col("source").asc_nulls_last()], {"nth": "one"}).drop("one")
+    per = per.select("source", "source_size", (F.col("nth") - 1).alias("place"), F.element_at(F.array(*map(F.lit, weights)), ((F.col("nth") - 1) % len(weights)).cast("int") + 1).alias("w"))
+    per = per.withColumns({"most": cap * F.col("source_size"), "bound": cap * F.col("source_size") / F.col("w")})
+    per = _running(per, ["bound", "place"], {"most_to": "most", "w_to": "w"})
+    whole = per.agg(F.sum("source_size").alias("t"), F.sum("w").alias("ws"))  # one row
+    per = per.crossJoin(F.broadcast(whole))
+    per = per.withColumn("level", (F.col("t") - (F.col("most_to") - F.col("most"))) / (F.col("ws") - (F.col("w_to") - F.col("w"))))
+    per = cut(per.withColumn("full", F.col("bound") <= F.col("level")), "levels")
+    water = per.agg(F.max(F.when(~F.col("full"), F.col("level"))).alias("water"))  # one row
+    capped = F.col("most").cast("double")
+    per = per.crossJoin(F.broadcast(water)).withColumn("target", F.when(F.col("full"), capped).otherwise(F.least(capped, F.col("w") * F.col("water"))))
     return per.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 

@@ -3,7 +3,7 @@
 Texts are range-partitioned by doc_id and encoded in order; every partition is written as a
 sequence of *blocks* of about ``block_tokens`` ids. A block is its own grammar: in rounds,
 the most frequent pairs of neighbouring symbols (never across a document end) become
-nonterminals, until no pair occurs often enough to pay. The block's payload holds the
+nonterminals, until no pair occurs ``min_count`` times (24). The block's payload holds the
 rules, their expansion lengths, the start of each document in symbols and in ids, and the
 symbol sequence, so one document (or one id) decodes without the rest of the block.
 

@@ -3,21 +3,24 @@
 Four small machines, each with its own states and arcs, are composed into one:
 
 * the *lexicon* reads a word and writes a symbol: insult or threat (given words, and word stems
-  learned from labelled rows, with weights), target, intent, negation, report verb, or other;
+  learned from labelled rows, with weights), target, intent, negation, report verb, company (a
+  word that is learned to stand near insults), or other;
 * *negation* marks insults and threats that stand within three words after a negation;
 * *report* marks those that stand after a reported-speech verb;
 * *patterns* accepts clauses: a target up to four words before an insult, an insult up to three
   words before its target, a threat up to three words before its target, a target followed by
-  intent and a threat, and, at BARE of its weight, an insult with no target in reach (the
-  target is then whoever is addressed). A threat word alone is no pattern and counts nothing.
+  intent and a threat, and, at NEAR of its weight, company up to four words before an insult or
+  up to three words behind it. A word alone is no pattern and counts nothing.
 
-Arcs multiply a word's weight by a factor (NEGATED, QUOTED, AIMED, BARE) and a clause's strength
+Arcs multiply a word's weight by a factor (NEGATED, QUOTED, AIMED, NEAR) and a clause's strength
 is the best sum over the paths of the composed machine that end with no pattern half done. A
 clause is the text between ``. ! ? ; :`` or line ends. Matched clauses, not isolated words, are
 scored; a text's features are the strength of its matched clauses and their number, and a
-logistic curve fitted on labelled rows turns them into a score. Learning counts each stem's documents by label with map-side combine; the
-lexicon kept is at most ``max_stems`` entries, and the curve is fitted from a histogram of
-at most 2 x BINS cells, so what reaches the driver has a fixed bound. The labelled rows that
+logistic curve fitted on labelled rows turns them into a score. Learning counts each stem's
+documents by label with map-side combine; the lexicon kept is at most ``max_stems`` entries,
+company at most ``max_near`` words: those that stand in a pattern's reach of an insult in most
+toxic documents. The curve is fitted from a histogram of at most 2 x BINS cells, so what
+reaches the driver has a fixed bound. The labelled rows that
 teach are a hash-chosen sample of about ``sample`` rows (20,000); every row is scored.
 
 Defined cases: null and empty texts, and texts without a match, score the curve's base;
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scratch
 
 # The given lexicon, by symbol.
 INSULT = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb fool jerk".split()
@@ -51,7 +54,7 @@ REPORTED = "said says say told tells wrote writes claimed claims reported report
 #: Stem lengths that are learned, besides whole words.
 STEMS = (4, 5, 6, 7, 8)
 BINS = 8
-NEGATED, QUOTED, AIMED, BARE = 0.3, 0.5, 1.25, 0.8
+NEGATED, QUOTED, AIMED, NEAR = 0.3, 0.5, 1.25, 0.8
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 
@@ -116,9 +119,9 @@ def compose(a: Machine, b: Machine) -> Machine:
     return out
 
 
-#: Symbols: insult, threat, target, intent, negation, report verb, other. A mark is written
-#: behind an insult or threat: - negated, q reported.
-PLAIN = ["P", "M", "N", "R", "X"]
+#: Symbols: insult, threat, target, intent, negation, report verb, company, other. A mark is
+#: written behind an insult or threat: - negated, q reported.
+PLAIN = ["P", "M", "N", "R", "C", "X"]
 MARKED = {"I": ["I", "I-", "Iq", "I-q"], "T": ["T", "T-", "Tq", "T-q"]}
 
 
@@ -143,45 +146,53 @@ def report() -> Machine:
 
 
 def patterns() -> Machine:
-    """States: idle; after a target with k words of reach left (t); an insult (w) or a threat
-    (v) that still needs its target within k words; a target that waits for intent (s is the
-    same as t) and then a threat (m). Half-done states w and v are not final."""
+    """States: idle; after a target (t) or company (c) with k words of reach left; a target that
+    waits for intent (s is the same as t) and then a threat (m); an insult (w) or a threat (v)
+    that still needs its target within k words, and an insult that needs company (b). Half-done
+    states w, v and b are not final."""
     insult, threat = MARKED["I"], MARKED["T"]
     every = [*PLAIN, *insult, *threat]
     idle = "idle"
-    t, m_ = [("t", k) for k in range(5)], [("m", k) for k in range(4)]
-    out = Machine(idle, {idle, *t, *m_}, {})
-    # any state may let a word pass; a target opens its reach anew
-    for state, after in [(idle, idle), *((t[k], t[k - 1] if k > 1 else idle) for k in range(1, 5)), *((m_[k], m_[k - 1] if k > 1 else idle) for k in range(1, 4))]:
-        out.add(state, [x for x in every if x != "P"], after)
+    t, m_, c = [("t", k) for k in range(5)], [("m", k) for k in range(4)], [("c", k) for k in range(5)]
+    out = Machine(idle, {idle, *t, *m_, *c}, {})
+    one_less = lambda x: [(x[k], x[k - 1] if k > 1 else idle) for k in range(1, len(x))]
+    # any state may let a word pass; a target opens its reach anew, company where no target is in reach
+    for state, after in [(idle, idle), *one_less(t), *one_less(m_), *one_less(c)]:
+        out.add(state, [x for x in every if x not in "PC"], after)
         out.add(state, ["P"], t[4])
-        # an insult without a target in reach, and one that finds its target behind it
-        out.add(state, insult, after, BARE)
+        out.add(state, ["C"], after if state in t or state in m_ else c[4])
+        # an insult or a threat that finds its target behind it, an insult that finds company
         out.add(state, insult, ("w", 3), AIMED)
         out.add(state, threat, ("v", 3), AIMED)
-        if state != idle:
+        out.add(state, insult, ("b", 3), NEAR)
+        if state in t or state in m_:
             out.add(state, insult, after, AIMED)
+        if state in c:
+            out.add(state, insult, after, NEAR)
         if state in t:
             out.add(state, ["M"], m_[3])
         if state in m_:
             out.add(state, threat, after, AIMED)
-    for wait in "wv":
+    for wait in "wvb":
         for k in range(1, 4):
             out.add((wait, k), ["P"], t[4])
+            if wait == "b":
+                out.add((wait, k), ["C"], c[4])
             if k > 1:
-                out.add((wait, k), [x for x in every if x != "P"], (wait, k - 1))
+                out.add((wait, k), [x for x in every if x not in (["P", "C"] if wait == "b" else ["P"])], (wait, k - 1))
     return out
 
 
 class Grammar:
-    """The composed machine over one lexicon; ``features`` runs a text through it."""
+    """The composed machine over one lexicon and its company; ``features`` runs a text through it."""
 
-    def __init__(self, stems: dict[str, float]):
+    def __init__(self, stems: dict[str, float], company: list[str] = ()):
         self.words = {w: 2.0 for w in INSULT} | {s[1:]: x for s, x in stems.items() if s[0] == "=" and s[1:] not in THREAT}
         self.threats = {w: 2.0 for w in THREAT}
         self.stems = {s: x for s, x in stems.items() if s[0] != "="}
         self.sizes = sorted({len(s) for s in self.stems})
         self.symbol = {w: "P" for w in TARGET} | {w: "N" for w in NEGATION} | {w: "R" for w in REPORTED} | {w: "M" for w in INTENT}
+        self.symbol = dict.fromkeys((w for w in company if self.reads(w)[0] == "X"), "C") | self.symbol
         self.near = ahocorasick.Automaton()
         for k in {*self.words, *self.stems, *self.threats}:
             self.near.add_word(k, len(k))
@@ -226,12 +237,25 @@ class Grammar:
         return sum(hits), len(hits)
 
 
+    def company(self, text: str | None) -> set[str]:
+        """The words of no symbol of their own that stand in reach of an insult."""
+        out: set[str] = set()
+        for part in _CLAUSE.split((text or "").lower()):
+            if next(self.near.iter(part), None) is None:
+                continue
+            words = _WORD.findall(part)
+            kinds = [self.reads(w)[0] for w in words]
+            for i in (i for i, k in enumerate(kinds) if k == "I"):
+                out.update(w for w, k in zip(words[max(0, i - 4) : i + 4], kinds[max(0, i - 4) : i + 4]) if k == "X")
+        return out
+
+
 def _bin(strength: float) -> int:
     return 0 if strength <= 0 else min(BINS - 1, 1 + int(2 * np.log2(1 + strength)))
 
 
-def learn(labelled: DataFrame, min_docs: int = 5, min_ratio: float = 40.0, max_stems: int = 2000) -> tuple[dict[str, float], list[float]]:
-    """Lexicon weights and the score of each strength bin, from (text, toxic) rows."""
+def learn(labelled: DataFrame, min_docs: int = 5, min_ratio: float = 40.0, max_stems: int = 2000, max_near: int = 400) -> tuple[dict[str, float], list[str], list[float]]:
+    """Lexicon weights, company and the score of each strength bin, from (text, toxic) rows."""
     spark = labelled.sparkSession
     rows = labelled.where("toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
     size = rows.groupBy("toxic").count().collect()
@@ -244,7 +268,18 @@ def learn(labelled: DataFrame, min_docs: int = 5, min_ratio: float = 40.0, max_s
         least = max(min_docs, p // 100)
         best = counts.withColumn("ratio", ratio).where((F.col("pos") >= least) & (F.col("ratio") >= min_ratio)).orderBy(F.desc("ratio"), "stem").limit(max_stems)
         stems = {r["stem"]: float(min(4.0, np.log2(r["ratio"]) / 2)) for r in best.collect()}
-    model = spark.sparkContext.broadcast(Grammar(stems))
+    insults = spark.sparkContext.broadcast(Grammar(stems))
+
+    def beside(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(insults.value.company(text))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    near = rows.where("toxic = 1").select("text").mapInArrow(beside, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    company = [r["word"] for r in near.where(F.col("n") >= min_docs).orderBy(F.desc("n"), "word").limit(max_near).collect()]
+    model = spark.sparkContext.broadcast(Grammar(stems, company))
 
     def binned(batches):
         cells: Counter = Counter()
@@ -257,7 +292,7 @@ def learn(labelled: DataFrame, min_docs: int = 5, min_ratio: float = 40.0, max_s
     for r in rows.mapInArrow(binned, "bin int, toxic int, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).collect():
         table[r["bin"], r["toxic"]] = r["n"]
     if not table.sum():
-        return stems, [0.02] + [min(0.98, 0.3 + 0.1 * b) for b in range(1, BINS)]
+        return stems, company, [0.02] + [min(0.98, 0.3 + 0.1 * b) for b in range(1, BINS)]
     # a logistic curve over the bins by a few Newton steps, then pulled to each bin's own rate
     x = np.stack([np.ones(BINS), (np.arange(BINS) > 0) * 1.0, np.arange(BINS) / BINS], 1)
     w, total = np.zeros(3), table.sum(1)
@@ -267,7 +302,7 @@ def learn(labelled: DataFrame, min_docs: int = 5, min_ratio: float = 40.0, max_s
         w += np.linalg.solve(x.T @ (x * (total * s * (1 - s))[:, None]) + 0.1 * np.eye(3), grad)
     curve = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
     rate = (table[:, 1] + 4 * curve) / (total + 4)
-    return stems, [float(v) for v in np.maximum.accumulate(rate)]
+    return stems, company, [float(v) for v in np.maximum.accumulate(rate)]
 
 
 def _scores(strength: np.ndarray, curve: list[float]) -> np.ndarray:
@@ -276,9 +311,9 @@ def _scores(strength: np.ndarray, curve: list[float]) -> np.ndarray:
     return np.clip(base + 1e-3 * (1 - np.exp(-strength)), 0, 1)
 
 
-def score(docs: DataFrame, stems: dict[str, float], curve: list[float]) -> DataFrame:
+def score(docs: DataFrame, stems: dict[str, float], company: list[str], curve: list[float]) -> DataFrame:
     """doc_id, score, strength and n_clauses of every row."""
-    model = docs.sparkSession.sparkContext.broadcast((Grammar(stems), curve))
+    model = docs.sparkSession.sparkContext.broadcast((Grammar(stems, company), curve))
 
     def run(batches):
         grammar, rate = model.value
@@ -304,14 +339,18 @@ HELD = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
 
 def toxicity(docs: DataFrame, labels: DataFrame, held: str = HELD, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted per row of ``docs``."""
-    stems, curve = learn(labelled_rows(docs, labels, held))
-    rows = score(docs, stems, curve)
+    with scratch(docs.sparkSession):
+        learned = learn(labelled_rows(docs, labels, held))
+    rows = score(docs, *learned)
     return rows.select("doc_id", F.coalesce(F.expr(held), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "strength", "n_clauses")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast((lambda sc: (Grammar(sc[0]), sc[1]))(learn(labelled_rows(docs, labels, HELD))))
+    """The rows of ``docs`` that score below the threshold, all their columns, in the same cases
+    as ``toxicity``: null and empty texts stay unless the curve's base is above it."""
+    with scratch(docs.sparkSession):
+        stems, company, curve = learn(labelled_rows(docs, labels, HELD))
+    model = docs.sparkSession.sparkContext.broadcast((Grammar(stems, company), curve))
 
     def run(batches):
         grammar, rate = model.value

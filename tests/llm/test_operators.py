@@ -101,7 +101,7 @@ def test_grammar_round_trip():
     assert all(block.document(i).astype("<u4").tobytes() == d for i, d in enumerate(docs))
 
 
-def test_grammar_goes_on_until_no_pair_pays():
+def test_grammar_goes_on_until_no_pair_occurs_min_count_times():
     rng = np.random.default_rng(2)
     end = np.array([2], "<u4")
     passage = rng.permutation(np.arange(100, 300)).astype("<u4")
@@ -481,15 +481,16 @@ def brute_strength(grammar, words):
 
 
 def test_pattern_grammar():
-    g = toxicity.Grammar({"zor": 1.5, "=blub": 3.0})
+    g = toxicity.Grammar({"zor": 1.5, "=blub": 3.0}, ["dude", "you", "zorro"])
     rng = np.random.default_rng(6)
-    words = ["idiot", "you", "kill", "will", "not", "said", "the", "blub", "zorro"]
+    words = ["idiot", "you", "kill", "will", "not", "said", "the", "blub", "zorro", "dude"]
     for _ in range(150):
         clause = list(rng.choice(words, rng.integers(1, 7)))
         assert g.clause(clause) == pytest.approx(brute_strength(g, clause)), clause
     strength = lambda t: g.features(t)[0]
     assert strength("kill the process") == 0 == strength("burn") and strength("i will kill you") == strength("you will burn") == 2 * toxicity.AIMED
-    assert strength("you are an idiot") == strength("idiot that you are") == 2 * toxicity.AIMED > strength("an idiot") == 2 * toxicity.BARE
+    assert strength("you are an idiot") == strength("idiot that you are") == 2 * toxicity.AIMED > strength("a dude and idiot") == strength("idiot my dude") == 2 * toxicity.NEAR
+    assert strength("idiot") == strength("trash can") == strength("the dumb waiter") == strength("idiot idiot moron") == strength("dude. idiot") == 0
     assert strength("he said you are an idiot") == 2 * toxicity.AIMED * toxicity.QUOTED and strength("you are not an idiot") == pytest.approx(2 * toxicity.AIMED * toxicity.NEGATED)
     assert strength("I will not kill you. A calm day") == pytest.approx(2 * toxicity.AIMED * toxicity.NEGATED)
 
@@ -542,8 +543,8 @@ def test_pipeline_by_brute_force(spark, tmp_path):
         assert df.columns == docs.columns
         return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
 
-    stems, curve = toxicity.learn(toxicity.labelled_rows(docs, spark.read.parquet(f"{sf}/labels.parquet"), toxicity.HELD))
-    g = toxicity.Grammar(stems)
+    stems, company, curve = toxicity.learn(toxicity.labelled_rows(docs, spark.read.parquet(f"{sf}/labels.parquet"), toxicity.HELD))
+    g = toxicity.Grammar(stems, company)
     clean = [x for x in texts if toxicity._scores(np.array([g.features(x[1])[0]]), curve)[0] < 0.3]
     first = stages["toxicity"](spark, docs, sf)
     assert kept(first) == sorted(clean, key=repr) and len(clean) == len(texts) - 41

@@ -5,12 +5,15 @@ import heapq
 import itertools
 import math
 import re
+import struct
+import time
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
-from runledger.llm import conversations, queries, search, textnum, url_filter
+from runledger.llm import conversations, fingerprint, langid, licenses, queries, search, textnum, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 URLS = [
@@ -266,3 +269,162 @@ def test_search_query_by_brute_force(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     assert sorted(map(tuple, queries.op12_search(spark, SF).collect()), key=repr) == brute_search(docs, items, 50)
     assert textnum.word_bytes("alnum").sum() == 10 + 26 + 128
+
+
+def labels(text):
+    return sorted({x[2] for x in licenses.detect(text)})
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [("apache-2.0", ["apache-2.0"]), ("gpl-2.0", ["gpl-2.0"]), ("mpl 2.0", ["mozilla-2.0"]), ("lgpl-2.1", ["lgpl-2.1"]), ("cc-by-sa-4.0", ["cc-by-sa-4.0"]), ("cc by-nc 4.0", ["cc-by-nc-4.0"]),
+     ("spdx-license-identifier: apache-2.0", ["apache-2.0"]), ("apache 2.0", ["apache-2.0"]), ("gplv3", ["gpl-3.0"]), ("agplv3", ["agpl-3.0"]), ("gnu lgpl v2.1 or later", ["lgpl-2.1"]),
+     ("// licensed under the\n//  apache license,\n// version 2.0 (the license)", ["apache-2.0"]), ("mit-0", ["mit-0"]), ("an apache helicopter", [])],
+)
+def test_license_versions(text, want):
+    assert labels(text) == want
+
+
+def test_license_rules_are_linear():
+    """No rule tries the ways to share out a long run of what a space may stand for."""
+    for r in licenses.rules():
+        for run in (" ", "*", "#", "/", ";\n", " * "):
+            for text in (r.keyword + run * 100_000 + r.keyword, run * 100_000 + "gnu " + run * 100_000):
+                flat = licenses.Collapsed(text).text
+                began = time.perf_counter()
+                list(r.regex.finditer(flat))
+                assert time.perf_counter() - began < 0.1, (r.label, r.regex.pattern, run)
+    began = time.perf_counter()
+    assert labels("public domain" + " " * 1_000_000 + "apache" + "\n#" * 500_000 + "license 2.0") == ["apache-2.0", "public-domain"]
+    assert time.perf_counter() - began < 3
+
+
+def test_license_labels_by_brute_force():
+    """All rules on a text that was collapsed another way, all pairs for containment, places in
+    the text as it was."""
+    rng = np.random.default_rng(12)
+    parts = ["licensed under the", "mit license", "bsd 3-clause", "gnu", "gpl", "-3.0", "v2", "version 3", "all rights reserved", "cc by-sa", "4.0", "apache license", "or any later version", "creative commons attribution", "public domain", "spdx-license-identifier:", "apache-2.0", "see gnu.org/licenses/lgpl"]
+    gaps = [" ", "  ", "\n * ", " // ", "\t", "\n#\n", ";\n"]
+    for _ in range(40):
+        text = "".join(x for p in rng.choice(parts, 10) for x in (p, rng.choice(gaps)))
+        places, flat, i = [], "", 0
+        while i < len(text):
+            j = i
+            while j < len(text) and (text[j].isspace() or text[j] in "*#/;"):
+                j += 1
+            if j > i and any(c.isspace() for c in text[i:j]):
+                places.append((i, j))
+                flat += " "
+                i = j
+            else:
+                places.append((i, i + 1))
+                flat += text[i]
+                i += 1
+        found = [(r.priority, m.end() - m.start(), m.start(), m.end(), licenses.versioned(r.label, m)) for r in licenses.rules() if r.keyword in flat for m in r.regex.finditer(flat)]
+        kept = []
+        for p, _, a, b, label in sorted(found, key=lambda h: (-h[0], -h[1], h[2:])):
+            if not any(x <= a and b <= y for x, y, _, _ in kept):
+                kept.append((a, b, label, p))
+        assert licenses.detect(text) == sorted((places[a][0], places[b - 1][1], label, p) for a, b, label, p in kept)
+
+
+def brute_fingerprint(text):
+    """One-permutation MinHash with dense bins in plain Python, with Spark's xxhash64."""
+    def chained(values, seed=42):
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed=seed)
+        return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+    words = [chained([w]) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    shingles = [chained_of(words[i : i + 5], chained) for i in range(len(words) - 4)] if len(words) >= 5 else [chained_of(words, chained)] if words else []
+    bins = {}
+    for h in shingles:
+        bins[(h >> 57) + 64] = min(h, bins.get((h >> 57) + 64, h))
+    if not bins:
+        return ""
+    full = sorted(bins)
+    out = ""
+    for i in range(128):
+        at = i if i in bins else min(full, key=lambda b: ((chained_of([i, b], chained) & (1 << 64) - 1) >> 8) * 128 + full.index(b) & (1 << 63) - 1)
+        out += f"{bins[at] & 15:x}"
+    return out
+
+
+def chained_of(values, chained):
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed=seed)
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
+def test_fingerprints_by_brute_force(spark):
+    """Whole fingerprints and both likenesses, and their error against true similarities."""
+    rng = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [None, "", " \n", "one", "a b c d", "a b c d e", "é ü 😀 x y z"] + [" ".join(rng.choice(words, rng.integers(100, 600))) for _ in range(120)]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    like = lambda a, b: float(a == b) if not a or not b else min(1.0, max(0.0, (sum(x == y for x, y in zip(a, b)) / 128 - 1 / 16) / (15 / 16)))
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    errors = []
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i - 1) % len(texts)] or ""
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        r = got[i]
+        assert r.fingerprint == brute_fingerprint(t) and r.edited_fingerprint == brute_fingerprint(edited), i
+        assert r.near_edited == pytest.approx(like(r.fingerprint, r.edited_fingerprint)) and r.near_next == pytest.approx(like(r.fingerprint, got[(i - 1) % len(texts)].fingerprint))
+        if i > 6:
+            a, b = sets(t), sets(edited)
+            errors.append(r.near_edited - len(a & b) / len(a | b))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.07, (np.mean(errors), np.std(errors))
+
+
+def brute_phrases(text, sample):
+    at = count = 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in sample and text[at] in sample:
+            n += 1
+        at, count = at + n, count + 1
+    return count
+
+
+@pytest.mark.parametrize("page", [1, 2, 256])
+def test_language_by_brute_force(spark, page):
+    """Every prediction and score from the samples, in one page of languages and in several."""
+    rng = np.random.default_rng(31)
+    letters = {"aa": "abcde ", "bb": "abcfg ", "cc": "xyzäö ", "dd": "abxyé "}
+    word = lambda lang, n: "".join(rng.choice(list(letters[lang]), n)).strip()
+    rows = [(i, word(lang, 200), lang) for i, lang in enumerate(list(letters) * 25)] + [(None, word("aa", 50), "aa"), (200, None, "bb"), (201, "12 !", "cc"), (202, word("dd", 3000), None), (3, word("cc", 90), "cc"), (3, word("dd", 90), "dd"), (203, "ßßß", None), (204, "a", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    samples = langid.learn(frame)
+    assert sorted(samples) == sorted(letters)
+    want = []
+    for doc_id, text, _ in rows:
+        # as the parser reads it: letters in lower case, runs of others one space
+        t = re.sub(r"[^\w]+|[\d_]+", " ", (text or "").lower())
+        costs = [brute_phrases(t, samples[x]) * np.log2(2 + len(samples[x])) / max(1, len(t)) for x in sorted(samples)]
+        low = min(costs)
+        held = doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
+        some = any(c.isalpha() for c in t)
+        want.append((doc_id, held, sorted(samples)[costs.index(low)] if some else "und", round(float(1 / sum(np.exp(-langid.SHARPNESS * (c - low) / max(low, 1e-9)) for c in costs)), 6) if some else 0.0))
+    got = [(r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in langid.languages(frame, page=page).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_toxicity_patterns_need_company(spark):
+    """The whole query learns company: insults among the corpus's words count, alone they don't."""
+    rng = np.random.default_rng(41)
+    words = [f"wort{c}" for c in "abcdefghij"]
+    rows = []
+    for i in range(300):
+        own = list(rng.choice(words, 12))
+        if i % 3 == 0:
+            own.insert(int(rng.integers(2, 10)), "schurke")
+        rows.append((i, " ".join(own) + ".", int(i % 3 == 0)))
+    rows += [(1000, "schurke", None), (1001, "idiot", None), (1002, "wortb wortc schurke worta.", None), (1003, None, None), (1004, "wortb wortc worta.", None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[2] is not None], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    held = [r for r in rows if r[2] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert all(got[d].held_out and got[d].predicted == toxic for d, _, toxic in held)
+    assert got[1000].strength == got[1001].strength == 0 and got[1002].predicted == 1 and got[1003].predicted == got[1004].predicted == 0
