@@ -388,6 +388,20 @@ def trace_summary(spark, d):
     return an.trace_summary(runs, _attempts(spark, d))
 
 
+_STATUS = "CASE WHEN value > 90 THEN 'failed' WHEN event_id % 7 = 0 THEN 'skipped' ELSE 'done' END"
+
+
+@query(
+    f"""WITH m AS (SELECT user_id % 10 AS task_id, arg_max(user_id, event_id) AS run_id, count(DISTINCT user_id) AS total_runs FROM events GROUP BY 1),
+l AS (SELECT user_id AS run_id, event_type AS stage, arg_max({_STATUS}, event_id) AS status, count(*) FILTER (WHERE {_STATUS} <> 'skipped') AS n FROM events GROUP BY 1, 2),
+p AS (SELECT run_id, '{{' || string_agg('"' || stage || '":"' || CASE status WHEN 'skipped' THEN 'done' ELSE status END || '"', ',' ORDER BY stage) || '}}' AS statuses, coalesce(string_agg(CASE WHEN status = 'skipped' THEN stage END, ',' ORDER BY stage), '') AS skipped, CAST(sum(n) AS BIGINT) AS attempts FROM l GROUP BY 1)
+SELECT task_id, run_id, total_runs, statuses, skipped, attempts FROM m JOIN p USING (run_id)"""
+)
+def trace(spark, d):
+    visits = t(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("stage"), F.col("event_id").alias("pos"), F.expr(_STATUS).alias("status"), F.lit(1).alias("attempt"))
+    return an.trace(saves(spark, d), visits)
+
+
 # --- hashes --------------------------------------------------------------------------------
 @query("SELECT doc_id, substr(sha256('stage|' || text), 1, 16) AS input_hash FROM documents")
 def input_hash(spark, d):
@@ -513,6 +527,19 @@ def infer_type(spark, d):
     return t(spark, d, "documents").select("doc_id", sc.infer_type(F.expr(_RAW)).alias("type"))
 
 
+_NUMBER = r"\A[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?\z"
+
+
+@query(
+    rf"""WITH x AS (SELECT doc_id, {_RAW} AS raw, trim({_RAW}) AS t FROM documents) SELECT doc_id, CASE WHEN t IN ('null', 'None') THEN 'null' WHEN t IN ('true', 'false') THEN t
+WHEN regexp_matches(t, '\A[+-]?[0-9]+(_[0-9]+)*\z') THEN CAST(CAST(replace(t, '_', '') AS HUGEINT) AS VARCHAR)
+WHEN lower(ltrim(t, '+-')) IN ('nan', 'inf', 'infinity') THEN NULL WHEN regexp_matches(t, '{_NUMBER}') THEN CAST(CAST(replace(t, '_', '') AS DOUBLE) AS VARCHAR)
+WHEN length(t) <= 500 AND t[1] IN ('[', '{{') AND json_valid(t) THEN replace(t, ', ', ',') ELSE CAST(to_json(CASE WHEN t = '' THEN t ELSE raw END) AS VARCHAR) END AS value FROM x"""
+)
+def infer_value(spark, d):
+    return t(spark, d, "documents").select("doc_id", sc.infer_value(F.expr(_RAW)).alias("value"))
+
+
 @query("WITH x AS (SELECT doc_id, source || '=' || lang || '=x' AS s FROM documents) SELECT doc_id, substr(s, 1, instr(s, '=') - 1) AS key, substr(s, instr(s, '=') + 1) AS value FROM x")
 def parse_set(spark, d):
     key, value = sc.parse_set(F.concat(F.col("source"), F.lit("="), F.col("lang"), F.lit("=x")))
@@ -801,12 +828,27 @@ def heartbeat_counts(spark, d):
 
 @query(
     f"""WITH {LOG}, s AS (SELECT run_id, min(pos) AS stop FROM log WHERE stage = 'purchase' GROUP BY 1), b AS (SELECT run_id, key, arg_max(value, pos) AS v FROM log LEFT JOIN s USING (run_id) WHERE stop IS NULL OR pos < stop GROUP BY 1, 2)
-SELECT run_id, key, v AS before, CASE WHEN key = 'view' THEN 0.0 ELSE v END AS after FROM b WHERE key = 'view' AND v <> 0.0"""
+SELECT run_id, key, v AS before, CASE WHEN key = 'view' THEN 0.0 ELSE v END AS after, 'purchase,signup,ship' AS reruns FROM b WHERE key = 'view' AND v <> 0.0"""
 )
 def fork_preview(spark, d):
     state = fold.state_before(log(spark, d), "purchase")
     patch = state.where("key = 'view'").select("run_id", "key", F.lit(0.0).alias("value"))
-    return an.diff(state, fold.state_merge(state, patch, ["run_id", "key"]), ["run_id", "key"])
+    return an.fork_preview(state, fold.state_merge(state, patch, ["run_id", "key"]), order(spark), "purchase")
+
+
+_VALUE = "CASE event_id % 5 WHEN 0 THEN CAST('nan' AS DOUBLE) WHEN 1 THEN CAST('infinity' AS DOUBLE) ELSE value END"
+
+
+@query("""SELECT event_id AS seq, '{"event":"' || event_type || '","data":{"fraction":' || CASE event_id % 5 WHEN 0 THEN '"nan"' WHEN 1 THEN '"inf"' ELSE CAST(value AS VARCHAR) END || ',"run":' || CAST(CAST(user_id AS DOUBLE) AS VARCHAR) || '}}' AS line FROM events""")
+def event_sink(spark, d):
+    data = F.create_map(F.lit("run"), F.col("user_id").cast("double"), F.lit("fraction"), F.expr(_VALUE))
+    return an.sink_lines(t(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("event"), data.alias("data")))
+
+
+@query("SELECT substr('cannot write ' || event_type || ' of ' || repeat('x', 300), 1, 200) AS reason, min(event_id) AS first, count(*) AS n FROM events WHERE event_id % 6 = 5 GROUP BY 1")
+def sink_errors(spark, d):
+    error = F.when(F.col("event_id") % 6 == 5, F.concat(F.lit("cannot write "), F.col("event_type"), F.lit(" of "), F.repeat(F.lit("x"), 300)))
+    return an.sink_errors(t(spark, d, "events").select(F.col("event_id").alias("seq"), error.alias("error")))
 
 
 @query(f"WITH {LOG} SELECT run_id, arg_max(value, pos) AS value FROM log WHERE key = 'purchase' GROUP BY 1")

@@ -35,6 +35,25 @@ def infer_type(raw: Column) -> Column:
     )
 
 
+def infer_value(raw: Column) -> Column:
+    """The value that a raw override text stands for, as JSON text; null for a number that is
+    not finite, which no override may be. Whole numbers of any size keep their digits; text
+    that is no other type stays as it was written, white space around it too."""
+    t, kind = F.trim(raw), infer_type(raw)
+    digits = F.regexp_replace(F.regexp_replace(t, "_", ""), r"\A[+-]?0*(?=[0-9])", "")
+    whole = F.when(t.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
+    number = F.regexp_replace(t, "_", "").try_cast("double")
+    listed = F.to_json(F.array(F.when(t == "", t).otherwise(raw)))
+    return (
+        F.when(kind == "null", "null")
+        .when(kind == "bool", t)
+        .when(kind == "int", whole)
+        .when(kind == "float", F.when(finite(number), number.cast("string")))
+        .when(kind == "json", F.to_json(F.try_parse_json(t)))
+        .otherwise(F.substring(listed, F.lit(2), F.length(listed) - 2))
+    )
+
+
 # Names that no part of a path may have.
 BARRED = "__proto__ __class__ __init__ __dict__ __getattribute__ __setattr__ __delattr__ __bases__ __mro__ __subclasses__ __getstate__ __setstate__ __reduce__ __reduce_ex__".split()
 

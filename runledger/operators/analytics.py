@@ -73,6 +73,44 @@ def trace_summary(runs: DataFrame, attempts: DataFrame) -> DataFrame:
     return runs.join(a, "run_id", "left").groupBy("task_id").agg(F.countDistinct("run_id").alias("total_runs"), F.max_by("run_id", "save_seq").alias("latest"), F.sum(F.coalesce("n", F.lit(0))).alias("attempts"))
 
 
+def trace(saves: DataFrame, visits: DataFrame) -> DataFrame:
+    """Per task its latest run: (task_id, run_id, total_runs, statuses, skipped, attempts).
+
+    visits (run_id, stage, pos, status, attempt) with a row per attempt. statuses is a JSON
+    object of each stage's last status, stages in order; a skipped stage counts as done there,
+    and only ``skipped`` (names in order, comma-joined) tells. Attempts are those that ran."""
+    newest = latest_run(saves).join(saves.groupBy("task_id").agg(F.countDistinct("run_id").alias("total_runs")), "task_id")
+    own = visits.join(newest.select("run_id"), "run_id", "left_semi")
+    last = own.groupBy("run_id", "stage").agg(F.max_by("status", F.struct("pos", "attempt")).alias("status"), F.count(F.when(F.col("status") != "skipped", 1)).alias("n"))
+    shown = F.struct("stage", F.when(F.col("status") == "skipped", "done").otherwise(F.col("status")).alias("status"))
+    per = last.groupBy("run_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(shown)))).alias("statuses"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == "skipped", F.col("stage")))), ",").alias("skipped"), F.sum("n").alias("attempts"))
+    return newest.join(per, "run_id").select("task_id", "run_id", "total_runs", "statuses", "skipped", "attempts")
+
+
+def fork_preview(before: DataFrame, after: DataFrame, order: DataFrame, stage: str) -> DataFrame:
+    """What a fork from ``stage`` would change: (run_id, key, before, after, reruns), the last
+    being the stages from it on in order of declaration, comma-joined; order (stage, idx)."""
+    at = order.where(F.col("stage") == stage).select(F.col("idx").alias("first"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("idx", "stage"))), lambda x: x["stage"])
+    reruns = order.crossJoin(F.broadcast(at)).where("idx >= first").agg(F.array_join(names, ",").alias("reruns"))  # stages of one graph
+    return diff(before, after, ["run_id", "key"]).crossJoin(F.broadcast(reruns))
+
+
+def sink_lines(events: DataFrame) -> DataFrame:
+    """(seq, line): events (seq, event, data) as lines of JSON. ``data`` is a map of doubles;
+    those that are not finite are written by name, so that every line parses."""
+    number = lambda v: F.when(F.isnan(v), '"nan"').when(v == float("inf"), '"inf"').when(v == float("-inf"), '"-inf"').otherwise(F.coalesce(v.cast("string"), F.lit("null")))
+    pairs = F.transform(F.array_sort(F.map_entries("data")), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), number(e["value"])))
+    return events.select("seq", F.concat(F.lit('{"event":"'), F.col("event"), F.lit('","data":{'), F.array_join(pairs, ","), F.lit("}}")).alias("line"))
+
+
+def sink_errors(events: DataFrame, most: int = 200) -> DataFrame:
+    """(reason, first, n): events (seq, error) that could not be written, once for each reason
+    (cut at ``most`` characters), with the first of them and their number."""
+    bad = events.where("error is not null").select("seq", F.substring("error", 1, most).alias("reason"))
+    return bad.groupBy("reason").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
+
+
 def unpaired(events: DataFrame, start: str, end: str) -> DataFrame:
     """Starts without their end: an end closes the latest open start before it of its (run,
     stage), and one without an open start closes nothing. Rows have run_id, stage, seq and the

@@ -73,17 +73,17 @@ def fork_state(log: DataFrame, cut: DataFrame, overrides: DataFrame, merge=None)
     """State of forked runs: fold before the cut, overrides laid on top, later writes last.
 
     cut (run_id, boundary): first position after the fork; overrides (run_id, key, value).
+    Both phases are conditional aggregates over one reading of the log.
     ``merge(old, new)`` combines a value with its override (default: replace).
     """
     merge = merge or (lambda old, new: new)
-    rows = log.join(cut, "run_id", "left")
-    early = rows.where(F.col("boundary").isNull() | (F.col("pos") < F.col("boundary")))
-    base = state_fold(early).withColumnRenamed("value", "old")
+    late = F.coalesce(F.col("pos") >= F.col("boundary"), F.lit(False))
+    last = lambda on: F.max_by(F.when(on, F.col("value")), F.when(on, F.col("pos")))
+    both = log.join(cut, "run_id", "left").groupBy("run_id", "key").agg(last(~late).alias("old"), last(late).alias("value"), F.bool_or(late).alias("late"))
     given = overrides.select("run_id", "key", F.col("value").alias("new"), F.lit(True).alias("given"))
-    base = base.join(given, ["run_id", "key"], "full_outer").select("run_id", "key", F.when(F.col("given"), merge(F.col("old"), F.col("new"))).otherwise(F.col("old")).alias("old"))
-    late = state_fold(rows.where(F.col("pos") >= F.col("boundary"))).withColumn("late", F.lit(True))
-    out = base.join(late, ["run_id", "key"], "full_outer")
-    return out.select("run_id", "key", F.when(F.col("late"), F.col("value")).otherwise(F.col("old")).alias("value"))
+    out = both.join(given, ["run_id", "key"], "full_outer")
+    early = F.when(F.col("given"), merge(F.col("old"), F.col("new"))).otherwise(F.col("old"))
+    return out.select("run_id", "key", F.when(F.col("late"), F.col("value")).otherwise(early).alias("value"))
 
 
 def state_merge(state: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,4 +1,7 @@
-"""The run ledger on any file system that Spark can write: one JSON file per committed row."""
+"""The run ledger on any file system that Spark can write: one JSON file per committed row, in
+a folder per task and run. The folders are partition columns, so a filter on task or run is a
+partition filter: Spark's planner lists and reads the files of those runs only, in a batch and
+in a stream (whose offsets are the file source's own log)."""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "task_id string, run_id string, seq long, saved_at double, body string"
+SCHEMA = "seq long, saved_at double, body string, task_id string, run_id string"
 
 
 class Ledger:
@@ -28,10 +31,10 @@ class Ledger:
         """Commit a row: written beside, then renamed, so a reader never sees half of it."""
         import time
 
-        row = json.dumps({"task_id": task_id, "run_id": run_id, "seq": seq, "saved_at": time.time(), "body": json.dumps(body, sort_keys=True)})
-        folder = f"{self.root}/ledger/{task_id}"
-        fs, to = self._fs(f"{folder}/{run_id}-{seq:06d}.json")
-        _, tmp = self._fs(f"{folder}/.{run_id}-{seq:06d}.tmp")
+        row = json.dumps({"seq": seq, "saved_at": time.time(), "body": json.dumps(body, sort_keys=True)})
+        folder = f"{self.root}/ledger/task_id={task_id}/run_id={run_id}"
+        fs, to = self._fs(f"{folder}/{seq:06d}.json")
+        _, tmp = self._fs(f"{folder}/.{seq:06d}.tmp")
         out = fs.create(tmp, True)
         out.write(bytearray(row.encode()))
         out.close()
@@ -40,8 +43,12 @@ class Ledger:
 
     def rows(self, task_id: str | None = None) -> DataFrame:
         """The ledger as a DataFrame; a damaged row is an error, not a missing one."""
-        path = f"{self.root}/ledger/{task_id or '*'}/*.json"
-        return self.spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path)
+        rows = self.spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(f"{self.root}/ledger")
+        return rows if task_id is None else rows.where(F.col("task_id") == task_id)
+
+    def stream(self) -> DataFrame:
+        """The rows as a stream: those that are there, then every later commit once."""
+        return self.spark.readStream.schema(SCHEMA).option("mode", "FAILFAST").json(f"{self.root}/ledger")
 
     def visits(self, task_id: str | None = None) -> DataFrame:
         """(task_id, run_id, pos, stage, route, ts, delta_json): the finished visits of runs."""
@@ -85,17 +92,18 @@ class Ledger:
             fs, data = self._fs(path)
             fs.delete(data, True)
         for run_id in gone:
-            fs, _ = self._fs(self.root)
-            for f in fs.globStatus(self._fs(f"{self.root}/ledger/{task_id}/{run_id}-*.json")[1]):
-                fs.delete(f.getPath(), False)
+            fs, rows = self._fs(f"{self.root}/ledger/task_id={task_id}/run_id={run_id}")
+            fs.delete(rows, True)
         return gone
 
     def latest(self, task_id: str) -> tuple[dict, list[dict]] | None:
         """Head and rows of the run saved last; None if the task has none."""
-        fs, p = self._fs(f"{self.root}/ledger/{task_id}")
+        fs, p = self._fs(f"{self.root}/ledger/task_id={task_id}")
         if not fs.exists(p):
             return None
         rows = self.rows(task_id)
         last = rows.selectExpr("max_by(run_id, saved_at) as r").first()["r"]
+        if last is None:
+            return None
         own = [json.loads(r["body"]) for r in rows.where(rows["run_id"] == last).orderBy("seq").collect()]
         return own[0]["head"], own[1:]

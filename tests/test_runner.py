@@ -206,3 +206,27 @@ def test_prune_keeps_what_forks_read(spark, tmp_path):
     import glob
 
     assert len(glob.glob(f"{tmp_path}/data/*/*/*")) == 1 and spark.read.parquet(other.state["x"]["__parquet__"]).count() == 5
+
+
+def test_ledger_reads_the_files_of_a_run_only(spark, tmp_path):
+    r = Runner(spark, str(tmp_path))
+    runs = [r.run(linear(), f"t{i % 2}").run_id for i in range(4)]
+    own = r.ledger.rows().where(f"run_id = '{runs[2]}'")
+    assert own.count() == 3 and len(r.ledger.rows().inputFiles()) == 12
+    plan = own._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().apply(0)
+    own.collect()
+    assert scan.relation().location().listFiles(scan.partitionFilters(), scan.dataFilters()).apply(0).files().size() == 3
+    assert r.ledger.rows("t1").count() == 6
+    # a stream sees the same rows, and later commits once
+    out, at = str(tmp_path / "out"), str(tmp_path / "at")
+
+    def streamed():
+        q = r.ledger.stream().writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted(map(tuple, spark.read.parquet(out).select("task_id", "run_id", "seq", "body").collect()))
+
+    table = lambda: sorted(map(tuple, r.ledger.rows().select("task_id", "run_id", "seq", "body").collect()))
+    assert streamed() == table()
+    r.run(linear(), "t1")
+    assert len(table()) == 15 and streamed() == table()
