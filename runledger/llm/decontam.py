@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import ALNUM_WORD, ascii_lower, cut, fresh, tidy
+from .common import ALNUM_WORD, ascii_lower, cut, tidy, without
 from .posting import id_filter
 
 SHINGLE = 5
@@ -155,10 +155,9 @@ def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) ->
     """``docs`` without the rows that hold a window of an item; all their columns. Whether a
     row goes is settled by its text (told apart by a 64-bit hash), not by its doc_id, so rows
     with a null or repeated id are judged each on its own."""
-    key, bad = F.xxhash64(F.coalesce("text", F.lit(""))), fresh("bad_text", docs.columns)
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
     found = decontaminate(docs.select(key.alias("doc_id"), "text"), items, window).where("contaminated")
-    found = found.select(F.col("doc_id").alias(bad)).distinct()
-    return docs.join(found, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found[bad], "left_anti")
+    return without(docs, key, found.select("doc_id").distinct())
 
 
 ORACLE = r"""

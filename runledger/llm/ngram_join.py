@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import cut, fresh, tidy
+from .common import cut, fresh, tidy, without
 from .posting import WIDE, id_filter, linked_roots, passing
 
 #: Counters of the frequency sketch, in blocks of BLOCK; fixed, so the broadcast is 8 MB at any size.
@@ -199,6 +199,7 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+@tidy
 def one_per_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without near copies: of each component one row stays, the one with the smallest
     doc_id (null last), then the smallest hash of its text. Rows, not ids, are told apart: rows
@@ -206,17 +207,17 @@ def one_per_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     columns are kept, whatever their names."""
     row = fresh("row", docs.columns)
     rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    return rows.join(_chosen(rows, row, n, num, den), row, "left_semi").select(*docs.columns)
+    return without(rows, F.col(row), _dropped(rows, row, n, num, den)).select(*docs.columns)
 
 
 @tidy
-def _chosen(rows: DataFrame, row: str, n: int, num: int, den: int) -> DataFrame:
-    """The ids (column ``row``) of the rows that stay."""
+def _dropped(rows: DataFrame, row: str, n: int, num: int, den: int) -> DataFrame:
+    """The ids (column ``row``) of the rows that go."""
     own = rows.select(F.col(row).alias("row"), "doc_id", "text")
     found = similarity_components(own.select(F.col("row").alias("doc_id"), "text"), n, num, den).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), "row")
     best = own.select("row", place.alias("place")).join(found, "row").groupBy("group").agg(F.min("place").alias("place"))
-    return best.select(F.col("place.row").alias(row))
+    return found.select("row").join(best.select(F.col("place.row").alias("row")), "row", "left_anti").select(F.col("row").alias(row))
 
 
 ORACLE = r"""
