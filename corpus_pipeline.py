@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from runledger.llm import decontam, mixing, ngram_join, token_grammar, toxicity
-from runledger.llm.common import cut, table
+from runledger.llm.common import drop_path, new_path, table
 from runledger.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts stay, unless no labels were given and the curve's base is above it."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -28,10 +29,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of sources without words go, for they are taken 0 times; null source is one of its own."""
     return mixing.mixed(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null text is empty and gives its end id only; rows without doc_id come first."""
     return token_grammar.token_table(docs, tokenizer_path())
 
 
@@ -48,7 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """Each stage's table goes once the next one is written; the last stage writes its own."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        path = new_path(spark, name)
+        out.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before is not None:
+            drop_path(spark, before)
+        before = path
+    return docs
