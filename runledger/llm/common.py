@@ -49,14 +49,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 _open = threading.local()
 
 
+#: Shuffle files go when the query that wrote them ends. Else they stay until the driver happens
+#: to collect its garbage, and the steps of an operator add up on disk.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """What is cut inside is removed at the end, also when it fails: nothing lazy may read it on."""
+    """What is cut inside is removed at the end, also when it fails: nothing lazy may read it on.
+    Shuffle files of the queries inside are removed as each ends."""
     levels = _open.__dict__.setdefault("cuts", [])
     levels.append([])
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
     try:
         yield
     finally:
+        spark.conf.set(CLEANUP, before)
         for path in levels.pop():
             drop_path(spark, path)
 

@@ -137,8 +137,8 @@ def linked_roots(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], num
     left = left.join(prefixes_of(left.select("node").distinct()), "node")
     # what the prefixes share, and at most all that follows the shorter one's end
     apart = f"root_a <> root_b and {den} * least(na, nb) >= {num} * greatest(na, nb) and least(na - pa, nb - pb) * {num + den} >= {num} * (na + nb)"
-    apart += " and get(array_intersect(toks_a, toks_b), 0) = tok"
-    apart += f" and (size(array_intersect(toks_a, toks_b)) + greatest(na - size(toks_a), nb - size(toks_b))) * {num + den} >= {num} * (na + nb)"
+    # in one lambda, so that a pair's prefixes are intersected once
+    apart += f" and exists(array(array_intersect(toks_a, toks_b)), x -> get(x, 0) = tok and (size(x) + greatest(na - size(toks_a), nb - size(toks_b))) * {num + den} >= {num} * (na + nb))"
     apart = meet(left, apart)
     more = cut(bounded(apart).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
