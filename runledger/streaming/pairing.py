@@ -2,7 +2,8 @@
 
 Events may come shuffled within the watermark's delay. A key (run, stage) holds back what the
 watermark has not passed, then takes it in order of time: an end closes the latest open start,
-unless that start's deadline was over; a start whose deadline passes unclosed is expired. State
+unless that start's deadline was over; a start whose deadline passes unclosed is expired. Keys
+are held and taken one by one, but come in groups by hash, a call for each group. State
 is what is younger than delay and deadline, whatever the stream's length; a restart goes on
 from the checkpoint. ``settled`` is the same question of a table, as one batch query.
 """
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Keys share this many groups by hash: a call from Spark costs milliseconds, whatever it brings.
+BUCKETS = 1024
 OUT = "run_id long, stage string, start_seq long, end_seq long, status string"
 
 
@@ -35,27 +38,36 @@ def _advance(pending: list, open_: list, passed: int, deadline: int) -> tuple[li
     return [e for e in pending if e[0] > passed], [s for s in open_ if s[0] + deadline > passed], out
 
 
-def paired(events: DataFrame, delay: str, deadline_seconds: int) -> DataFrame:
+def paired(events: DataFrame, delay: str, deadline_seconds: int, buckets: int = BUCKETS) -> DataFrame:
     """Streaming (run_id, stage, start_seq, end_seq, status) of events (run_id long, stage,
-    seq, ts, is_start); status paired or expired. A row comes out once, when it is settled."""
+    seq, ts, is_start); status paired or expired. A row comes out once, when it is settled.
+    ``buckets`` stays as it is for a checkpoint, as the number of state partitions does."""
     deadline = deadline_seconds * 1_000_000
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, open_ = json.loads(state.get[0]) if state.exists else ([], [])
+    def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple[list, list]] = {(r, s): (p, o) for r, s, p, o in json.loads(state.get[0])} if state.exists else {}
         for f in frames:
-            pending += [[int(t), int(s), int(b)] for t, s, b in zip(f["us"], f["seq"], f["is_start"])]
-        pending, open_, out = _advance(pending, open_, state.getCurrentWatermarkMs() * 1000, deadline)
-        if pending or open_:
-            state.update((json.dumps([pending, open_]),))
-            due = min([e[0] for e in pending] + [s[0] + deadline for s in open_])
-            state.setTimeoutTimestamp(max(-(-due // 1000), state.getCurrentWatermarkMs() + 1))
+            for r, stage, t, s, b in zip(*(f[c].tolist() for c in ("run_id", "stage", "us", "seq", "is_start"))):
+                held.setdefault((r, stage), ([], []))[0].append([t, s, b])
+        out, stay, due = [], [], []
+        for (r, stage), (pending, open_) in held.items():
+            pending, open_, done = _advance(pending, open_, state.getCurrentWatermarkMs() * 1000, deadline)
+            out += [(None if r is None else int(r), stage, *x) for x in done]
+            if pending or open_:
+                stay.append((r, stage, pending, open_))
+                due.append(min([e[0] for e in pending] + [s[0] + deadline for s in open_]))
+        if stay:
+            state.update((json.dumps(stay, separators=(",", ":")),))
+            # timers before the watermark fire, so this one fires as soon as the watermark is there
+            state.setTimeoutTimestamp(max(-(-min(due) // 1000) - 1, 1))
         elif state.exists:
             state.remove()
         if out:
-            yield pd.DataFrame([(key[0], key[1], *r) for r in out], columns=["run_id", "stage", "start_seq", "end_seq", "status"]).astype({"end_seq": "Int64"})
+            yield pd.DataFrame(out, columns=["run_id", "stage", "start_seq", "end_seq", "status"]).astype({"run_id": "Int64", "end_seq": "Int64"})
 
-    rows = events.withWatermark("ts", delay).select("run_id", "stage", "seq", "ts", F.unix_micros("ts").alias("us"), F.col("is_start").cast("int").alias("is_start"))
-    return rows.groupBy("run_id", "stage").applyInPandasWithState(run, OUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    # run_id as text, for pandas has no null among whole numbers
+    rows = events.withWatermark("ts", delay).select(F.pmod(F.xxhash64("run_id", "stage"), F.lit(buckets)).alias("bucket"), F.col("run_id").cast("string").alias("run_id"), "stage", "seq", "ts", F.unix_micros("ts").alias("us"), F.col("is_start").cast("int").alias("is_start"))
+    return rows.groupBy("bucket").applyInPandasWithState(run, OUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
