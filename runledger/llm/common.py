@@ -35,6 +35,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files go when the query that wrote them ends. Else they stay until the driver happens
+#: to collect its garbage, and the steps of an operator add up on disk.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> None:
+    """Write; only here are shuffle files removed, for an iterator may read its own after its query ended."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later stages start
     from files that survive a lost executor, and nothing above is computed twice."""
@@ -42,30 +58,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     for made in getattr(_open, "cuts", [])[-1:]:
         made.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    _write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _open = threading.local()
 
 
-#: Shuffle files go when the query that wrote them ends. Else they stay until the driver happens
-#: to collect its garbage, and the steps of an operator add up on disk.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """What is cut inside is removed at the end, also when it fails: nothing lazy may read it on.
-    Shuffle files of the queries inside are removed as each ends."""
+    """What is cut inside is removed at the end, also when it fails: nothing lazy may read it on."""
     levels = _open.__dict__.setdefault("cuts", [])
     levels.append([])
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
         for path in levels.pop():
             drop_path(spark, path)
 
@@ -83,7 +90,7 @@ def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             for made in outer:
                 made.append(path)
             result = f(*args, **kwargs)
-            result.write.option("compression", "zstd").parquet(path)
+            _write(result, path)
         return spark.read.schema(result.schema).parquet(path)
 
     return run
