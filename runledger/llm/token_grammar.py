@@ -16,9 +16,10 @@ uint64[docs + 1], rule left and right uint32[rules], expansion length uint32[rul
 symbols uint32[symbols], the last three kinds as four byte planes each. Symbols below
 FIRST_RULE are token ids; FIRST_RULE + r is rule r.
 
-The encoder takes pieces between single spaces, which the byte-level pre-tokenizer never
-joins across, and remembers the ids the library gives for a piece; a text in which white
-space follows a space, or which holds one of the tokenizer's added tokens, is encoded whole.
+The encoder cuts texts by the byte-level pre-tokenizer's own pattern and remembers the ids that
+the library's model gives for a pre-token. The pattern knows the characters whose kind has not
+changed since Unicode 3.2; what stands between two spaces with any other character in it, and a
+text that holds one of the tokenizer's added tokens, is encoded by the library as it is.
 
 Defined cases: null text is empty, so its only id is the end id; a null doc_id sorts first;
 repeated rows are encoded again each, in order of (doc_id, text); an empty table writes no
@@ -27,12 +28,13 @@ block; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from array import array
 from functools import lru_cache
-from itertools import chain
+from unicodedata import category, ucd_3_2_0
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +46,37 @@ from .common import cut, new_path, slots
 
 MAGIC, FIRST_RULE, END_ID = b"RPG1", 1 << 17, 2
 BLOCK_TOKENS = 1 << 20
-#: Texts encoded in one call of the library.
+#: Texts turned into Python strings at a time.
 GROUP = 512
 BLOCKS = "shard int, block int, min_id long, max_id long, n_docs int, n_tokens long, payload binary"
 
 
+@lru_cache(maxsize=1)
+def pretokens() -> tuple[re.Pattern, re.Pattern, dict[int, str]]:
+    """The byte-level pre-tokenizer's pattern over the characters of the basic plane whose kind
+    has been the same since Unicode 3.2, so that Python and the library agree about them, each
+    other character being a match of its own; one known character; the letters that stand for bytes."""
+    kinds: dict[str, list[int]] = {"L": [], "N": [], "O": [], "S": []}
+    for c in range(1 << 16):
+        kind = category(chr(c))
+        if kind == ucd_3_2_0.category(chr(c)) and kind not in ("Cn", "Cs"):
+            space = chr(c).isspace() and not 28 <= c <= 31
+            kinds["S" if space else kind[0] if kind[0] in "LN" else "O"].append(c)
+    known = {}
+    for kind, codes in kinds.items():
+        at = np.array(codes)
+        cuts = np.flatnonzero(np.diff(at) != 1)
+        known[kind] = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(at[[0, *(cuts + 1)]], at[[*cuts, -1]]))
+    pattern = re.compile(" ?[{L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{N}]+| ?[{O}]+|[{S}]+(?![^{S}])|[{S}]+|[\\s\\S]".format(**known))
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return pattern, re.compile("[{L}{N}{O}{S}]".format(**known)), dict(zip([*own, *rest], map(chr, [*own, *range(256, 256 + len(rest))])))
+
+
 class Pieces(dict):
-    """Ids, as bytes, of pieces that follow a space: at most MOST (some 200 MB), then anew."""
+    """Ids, as bytes, of pre-tokens: at most MOST (some 200 MB), then anew."""
 
-    MOST = 800_000
+    MOST, LONGEST = 800_000, 64
 
     def __init__(self, path: str):
         import os
@@ -61,64 +85,54 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line = self.alone("\n")
-        self.marks = {m: self.alone(m) for m in ".,"}
+        how = self.tokenizer.pre_tokenizer
+        how = json.loads(how.__getstate__()) if how else {}
+        self.plain = self.tokenizer.normalizer is None and how.get("type") == "ByteLevel" and how["use_regex"] and not how["add_prefix_space"]
+        self.pattern, self.known, self.letters = pretokens()
 
     def alone(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def word(self, piece: str) -> bytes:
-        """A space and ASCII letters are one pre-token: straight to the library's model."""
-        return array("I", [t.id for t in self.model.tokenize("\u0120" + piece)]).tobytes()
-
-    def each(self, pieces: list[str], lead: str) -> list[bytes]:
-        """Ids of each piece after ``lead``. Pieces without white space are encoded as lines
-        of one text: a line end is a token of its own, at which the ids come apart."""
-        out = {p: self.alone(lead + p) for p in pieces if p.split() != [p]}
-        if lead:
-            for p in pieces:
-                if p.isascii():
-                    if p.isalpha():
-                        out[p] = self.word(p)
-                    elif p[-1] in self.marks and p[:-1].isalpha():
-                        out[p] = self.word(p[:-1]) + self.marks[p[-1]]
-        plain = [p for p in pieces if p not in out]
-        if plain and len(self.line) == 4:
-            data = self.alone("\n".join([lead + p for p in plain]))
-            cuts = (np.flatnonzero(np.frombuffer(data, np.uint32) == np.frombuffer(self.line, np.uint32)[0]) * 4).tolist()
-            if len(cuts) != len(plain) - 1:
-                return [self.alone(lead + p) for p in pieces]
-            out.update(zip(plain, [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)])]))
-        return [out[p] if p in out else self.alone(lead + p) for p in pieces]
+    def __missing__(self, piece: str) -> bytes:
+        if piece[0] == " " and piece.isascii() and piece[1:].isalpha():
+            key = "\u0120" + piece[1:]
+        elif len(piece) > 1 or self.known.match(piece):
+            key = piece.encode().decode("latin-1").translate(self.letters)
+        else:
+            raise KeyError(piece)
+        data = array("I", [t.id for t in self.tokenize(key)]).tobytes()
+        if len(piece) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[piece] = data
+        return data
+
+    def cut(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.pattern.findall(text)))
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, little-endian uint32."""
+        if not self.plain or any(a in text for a in self.added):
+            return self.alone(text) if text else b""
+        try:
+            return self.cut(text)
+        except KeyError:
+            out = []
+            for part in _BEFORE_WORD.split(text):  # those with characters not known to be of one kind are the library's
+                try:
+                    out.append(self.cut(part))
+                except KeyError:
+                    out.append(self.alone(part))
+            return b"".join(out)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, little-endian uint32."""
-        joined = [not t or bool(_JOINED.search(t)) or any(a in t for a in self.added) for t in texts]
-        parts = [t.split(" ") for t, j in zip(texts, joined) if not j]
-        heads = iter(self.each([p[0] for p in parts], ""))
-        flat = list(chain.from_iterable(p[1:] for p in parts))
-        got = list(map(self.get, flat))
-        missing = list({p for p, g in zip(flat, got) if g is None})
-        if missing:
-            if len(self) + len(missing) > self.MOST:
-                self.clear()
-            self.update(zip(missing, self.each(missing, " ")))
-            got = [self[p] if g is None else g for p, g in zip(flat, got)]
-        out, at, own = [], 0, iter(parts)
-        for t, j in zip(texts, joined):
-            if j:
-                out.append(self.alone(t) if t else b"")
-            else:
-                n = len(next(own)) - 1
-                out.append(next(heads) + b"".join(got[at : at + n]))
-                at += n
-        return out
+        return [self.encode(t) for t in texts]
 
 
-#: A space before other white space or at the end, or other white space at the end of the first piece.
-_JOINED = re.compile(r" \s| \Z|\A\s")
+#: The pre-tokenizer never joins across a space and what follows it.
+_BEFORE_WORD = re.compile(r"(?= \S)")
 
 
 @lru_cache(maxsize=2)
@@ -132,15 +146,16 @@ def compress(seq: np.ndarray, last: np.ndarray, per_round: int = 1024, min_count
     n_rules = 0
     while len(seq) > 1:
         a, b = seq[:-1], seq[1:]
-        free = ~last[:-1]
-        bucket = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(14)
-        counts = np.bincount(bucket[free], minlength=1 << 18)
-        top = np.argpartition(counts, -per_round)[-per_round:]
+        bucket = (((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(14)).astype(np.intp)
+        bucket[last[:-1]] = 1 << 18  # never counted
+        counts = np.bincount(bucket, minlength=1 << 18)[: 1 << 18]
+        every = np.flatnonzero(counts >= min_count)
+        top = every[np.argpartition(counts[every], -per_round)[-per_round:]] if len(every) > per_round else every
         # a bucket may be full of rare pairs: if all of the top ones are, every full bucket is tried
-        for full in (top[counts[top] >= min_count], np.flatnonzero(counts >= min_count)):
-            hot = np.zeros(1 << 18, bool)
+        for full in (top, every):
+            hot = np.zeros((1 << 18) + 1, bool)
             hot[full] = True
-            at = np.flatnonzero(hot[bucket] & free)
+            at = np.flatnonzero(hot.take(bucket))
             pair = a[at].astype(np.uint64) << np.uint64(32) | b[at]
             kinds, which, n = np.unique(pair, return_inverse=True, return_counts=True)
             take = n >= min_count
@@ -155,7 +170,8 @@ def compress(seq: np.ndarray, last: np.ndarray, per_round: int = 1024, min_count
         begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         keep = (np.arange(len(at)) - begin) % 2 == 0
         at, which = at[keep], which[keep]
-        used, which = np.unique(which, return_inverse=True)
+        kept = np.bincount(which, minlength=len(kinds)) > 0
+        used, which = np.flatnonzero(kept), (np.cumsum(kept) - 1)[which]
         l, r = (kinds[used] >> np.uint64(32)).astype(np.uint32), (kinds[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         size = lambda s: np.where(s < FIRST_RULE, 1, length[np.maximum(s.astype(np.int64) - FIRST_RULE, 0)] if n_rules else 1)
         length = np.concatenate([length, (size(l) + size(r)).astype(np.uint32)])
@@ -277,8 +293,8 @@ def _encode(path: str, block_tokens: int):
         for batch in batches:
             for i in range(0, batch.num_rows, GROUP):
                 part = batch.slice(i, GROUP)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, data in zip(part.column(0).to_pylist(), pieces.encode_many(texts)):
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    data = pieces.encode(text or "")
                     ids.append(doc_id)
                     docs.append(data + end)
                     total += len(data) // 4 + 1
