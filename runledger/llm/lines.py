@@ -38,15 +38,16 @@ SHINGLE, BINS, BANDS = 12, 16, 8
 SKETCH = 1 << 18
 #: Bits of a band's hash: it only proposes pairs, which are verified, and takes 5 bytes of disk instead of 8.
 BAND_BITS = 40
-#: Characters shingled at a time, unless one line is longer.
-CHUNK = 1 << 18
+#: Characters shingled at a time, unless one line is longer: what the nearest caches hold.
+CHUNK = 1 << 16
 _SPACE = " \t\n\x0b\x0c\r"
 #: A shingle's hash is a polynomial in BASE over mixed code points, built from its parts of 1, 2, 4 and 8.
 _BASE = 0x9E3779B97F4A7C15
 _POWER = [np.uint64(pow(_BASE, k, 1 << 64)) for k in range(SHINGLE)]
-_CODE = tn.mix(np.arange(1, 129, dtype=np.uint64))
+_CODE = tn.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 #: The order in which bin i looks for a bin to borrow from: a fixed pseudo-random permutation each.
 _LENDERS = np.argsort(tn.mix(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(7)).reshape(BINS, BINS), 1)
+_ORDER = np.array([[i, *[j for j in row if j != i]] for i, row in enumerate(_LENDERS.tolist())])
 
 
 def lines_of(text: str | None) -> list[tuple[int, str]]:
@@ -70,28 +71,33 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(line, hash) of the distinct shingles of each line, ordered by line, then hash."""
     size = np.array([len(x) for x in lines], np.int64)
     text = "".join(lines)
-    if text.isascii():
-        codes = _CODE[np.frombuffer(text.encode("ascii"), np.uint8)]
+    try:
+        points = np.frombuffer(text.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if points.itemsize == 1 or points.max() < len(_CODE):
+        codes = _CODE.take(points)
     else:
-        codes = tn.mix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+        codes = tn.mix(points.astype(np.uint64) + np.uint64(1))
     begin = np.cumsum(size) - size
     count = np.maximum(size - SHINGLE, 0) + 1
-    owner = np.repeat(np.arange(len(lines)), count)
+    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), count)
     at = np.arange(len(owner)) + np.repeat(begin - (np.cumsum(count) - count), count)
     two = codes[:-1] * _POWER[1] + codes[1:]
     four = two[:-2] * _POWER[2] + two[2:]
     whole = (four[:-4] * _POWER[4] + four[4:])[:-4] * _POWER[4] + four[8:] if len(codes) >= SHINGLE else codes
-    h = whole[np.minimum(at, len(whole) - 1)]
+    h = whole.take(at, mode="clip")  # beyond the end are short lines only
     for i in np.flatnonzero(size < SHINGLE).tolist():  # a short line is one shingle
         k = int(size[i])
         x = (codes[begin[i] : begin[i] + k] * np.array(_POWER[:k], np.uint64)).sum(dtype=np.uint64) + np.uint64(k)
-        h[int(np.searchsorted(owner, i))] = x
+        h[int(np.searchsorted(owner, np.uint64(i)))] = x
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     # one sort of whole words: the line above, as many bits of the hash below as are left
     bits = np.uint64(max(1, (len(lines) - 1).bit_length()))
-    key = np.sort(owner.astype(np.uint64) << (np.uint64(64) - bits) | h >> bits)
+    key = owner << (np.uint64(64) - bits) | h >> bits
+    key.sort()
     fresh = np.ones(len(key), bool)
     fresh[1:] = key[1:] != key[:-1]
     key = key[fresh]
@@ -102,25 +108,22 @@ def signatures(line: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.
     """(distinct shingles, band hashes) of each of n lines, from ``shingles``."""
     count = np.bincount(line, minlength=n)
     cell = line * BINS + (h >> np.uint64(64 - (BINS.bit_length() - 1))).astype(np.int64)
-    first = np.ones(len(cell), bool)
-    first[1:] = cell[1:] != cell[:-1]
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])[: len(cell)])
     low = np.zeros(n * BINS, np.uint64)
     full = np.zeros(n * BINS, bool)
     # the lowest bits of a hash depend on how many lines were shingled together
     low[cell[first]], full[cell[first]] = h[first] >> np.uint64(24), True
     low, full = low.reshape(n, BINS), full.reshape(n, BINS)
-    out = np.empty((n, BINS), np.uint64)
-    for i in range(BINS):
-        order = np.concatenate([[i], _LENDERS[i][_LENDERS[i] != i]])
-        from_ = order[full[:, order].argmax(1)]
-        out[:, i] = low[np.arange(n), from_] + from_.astype(np.uint64)
-    width = BINS // BANDS
-    bands = np.empty((n, BANDS), np.uint64)
-    for k in range(BANDS):
-        x = np.full(n, k + 1, np.uint64)
-        for j in range(width):
-            x = tn.mix(x * np.uint64(0x9E3779B97F4A7C15) + out[:, k * width + j])
-        bands[:, k] = x >> np.uint64(64 - BAND_BITS)
+    out = low + np.arange(BINS, dtype=np.uint64)
+    some = np.flatnonzero(~full.all(1))  # lines with an empty bin: most are short
+    if len(some):
+        from_ = _ORDER[np.arange(BINS), full[some][:, _ORDER].argmax(2)]
+        out[some] = low[some[:, None], from_] + from_.astype(np.uint64)
+    out = out.reshape(n, BANDS, BINS // BANDS)
+    bands = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (n, 1))
+    for j in range(BINS // BANDS):
+        bands = tn.mix(bands * np.uint64(0x9E3779B97F4A7C15) + out[:, :, j])
+    bands >>= np.uint64(64 - BAND_BITS)
     return count, bands
 
 
@@ -132,14 +135,15 @@ def _scan(batches):
         row = np.repeat(np.arange(len(each)), [len(x) for x in each])
         number = [i for x in each for i, _ in x]
         lines = [s for x in each for _, s in x]
-        for i, j in chunks([len(s) for s in lines]):
-            own = lines[i:j]
-            count, bands = signatures(*shingles(own), len(own))
-            node = [blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest() for s in own]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row[i:j])), pa.array(number[i:j], pa.int64()), pa.array(node, pa.binary()), pa.array(count, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * BANDS), pa.array(tn.signed(bands.ravel())))],
-                ["doc_id", "line_no", "node", "n", "toks"],
-            )
+        parts = [signatures(*shingles(lines[i:j]), j - i) for i, j in chunks([len(s) for s in lines])]
+        if not parts:
+            continue
+        count, bands = (np.concatenate(x) for x in zip(*parts))
+        node = [blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest() for s in lines]
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(row)), pa.array(number, pa.int64()), pa.array(node, pa.binary()), pa.array(count, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * BANDS), pa.array(tn.signed(bands.ravel())))],
+            ["doc_id", "line_no", "node", "n", "toks"],
+        )
 
 
 def _texts(wanted):
